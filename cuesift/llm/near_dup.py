@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuesift.llm.components import bucket_groups
+from cuesift.llm.components import connected_components
 from cuesift.llm.storage import remove, written
 from cuesift.llm.words import mix, pieces, shingle_hashes, word_hashes
 
@@ -111,6 +111,70 @@ def _shingled(k: int):
     return run
 
 
+#: Sets, and shingles of them, in a block of those compared with each other.
+BLOCK_SETS, BLOCK_SHINGLES = 1024, 2_000_000
+
+
+def _forest(percent: int):
+    """One pair of blocks of a centre's sets -> links between groups, at most one less than groups."""
+
+    def run(table: pa.Table) -> pa.Table:
+        group = table["label"].to_numpy()
+        side = table["block"].to_numpy() == table["i"].to_numpy()
+        other = table["block"].to_numpy() == table["j"].to_numpy()
+        lists = table["shingles"].combine_chunks()
+        size = lists.value_lengths().to_numpy()
+        of = np.repeat(np.arange(len(size)), size)
+        values, place, often = np.unique(lists.flatten().to_numpy(), return_inverse=True, return_counts=True)
+        use = often[place] > 1  # a shingle of one set adds to no intersection
+        column = (np.cumsum(often > 1) - 1)[place[use]]
+        of, order = of[use], np.argsort(column, kind="stable")
+        of, column = of[order], column[order]
+        common = np.zeros((len(size), len(size)), np.float32)
+        for start in range(0, int((often > 1).sum()), 2048):
+            a, b = np.searchsorted(column, [start, start + 2048])
+            x = np.zeros((len(size), 2048), np.float32)
+            x[of[a:b], column[a:b] - start] = 1
+            common += x @ x.T
+        linked = 100 * common >= percent * (size[:, None] + size[None, :] - common)
+        linked &= (side[:, None] & other[None, :]) & (group[:, None] != group[None, :])
+        a, b = np.nonzero(linked)
+        names, at = np.unique(group, return_inverse=True)
+        parent = list(range(len(names)))
+
+        def root(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        out = []
+        for u, v in np.unique(np.sort(np.stack([at[a], at[b]], 1), axis=1), axis=0).tolist():
+            if root(u) != root(v):
+                parent[root(u)] = root(v)
+                out.append((names[u], names[v]))
+        found = np.array(out, np.int64).reshape(-1, 2)
+        return pa.table({"u": found[:, 0], "v": found[:, 1]})
+
+    return run
+
+
+def _rest(pairs: DataFrame, label: DataFrame, shingles: DataFrame, percent: int) -> DataFrame:
+    """Links between groups among sets that were compared with the same centre.
+
+    Centres all of whose sets are in one group are left out. A centre's sets are dealt to blocks
+    by hash; a set goes to each pair of blocks that has its own, so a row is copied
+    as often as its centre has blocks.
+    """
+    of = pairs.select(F.col("a").alias("centre"), F.col("b").alias("id"), F.col("b_n").alias("n")).join(label, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    whole = of.groupBy("centre").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("sets"), F.sum("n").alias("total")).where("lo != hi")
+    blocks = F.greatest(F.ceil(F.col("sets") / BLOCK_SETS), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int")
+    of = of.join(whole.select("centre", blocks.alias("blocks")), "centre").withColumn("block", F.pmod(F.xxhash64("id", "centre"), "blocks").cast("int"))
+    of = of.join(shingles.withColumnRenamed("set_id", "id"), "id").withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    of = of.select("centre", "label", "block", F.least("block", "k").alias("i"), F.greatest("block", "k").alias("j"), "shingles")
+    return of.groupBy("centre", "i", "j").applyInArrow(_forest(percent), "u bigint, v bigint")
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """Group documents whose sets of k-word shingles have a Jaccard similarity >= percent / 100.
 
@@ -120,8 +184,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
 
     Steps: signatures and an id of the set for each document; one representative
     for each set, so exact copies cost one row; ``bands`` buckets of ``rows``
-    components each; ``bucket_groups`` compares within buckets and confirms on the full
-    sets. A pair at 0.8 misses all of 32 bands of 4 with a chance of 5e-8.
+    components each. A bucket compares its sets with its smallest one only; then, of the sets
+    compared with the same centre, those that aren't in one group by now are compared with
+    each other, in blocks that return no more than a spanning forest. All links are
+    confirmed on the full sets, and no pair of sets that share a bucket stays undecided.
+    A pair at 0.8 misses all of 32 bands of 4 with a chance of 5e-8.
 
     Null text is empty; an empty set links with nothing, so such a document is kept.
     Null doc_ids come back with a null component_id and kept = true, each on its own.
@@ -148,12 +215,19 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
         both = pairs.join(a, "a").join(b, "b").withColumn("i", F.size(F.array_intersect("x", "y")))
         return both.where(F.lit(100) * F.col("i") >= F.lit(percent) * (F.size("x") + F.size("y") - F.col("i"))).select("a", "b")
 
+    # every bucket compares its members with its smallest id
+    centre = members.groupBy("key").agg(F.min(F.struct("id", "n")).alias("c"))
+    pairs = members.join(centre, "key").select(F.col("c.id").alias("a"), F.col("id").alias("b"), F.col("c.n").alias("a_n"), F.col("n").alias("b_n"))
+    pairs = written(pairs.where("a != b").distinct(), "pairs")
     close = f"100 * least(a_n, b_n) >= {percent} * greatest(a_n, b_n)"
-    label = bucket_groups(members, verify, close)
+    links = written(verify(pairs.where(close).select("a", "b")).select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
+    label = connected_components(links)
+    more = written(_rest(pairs, label, shingles, percent), "links")
+    label = connected_components(links.unionByName(more))
     named = sets.join(label.withColumnRenamed("id", "set_id"), "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
     least = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     named = written(named.join(least, "label").select("set_id", "component_id"), "named")
-    for x in (members, shingles):
+    for x in (members, shingles, pairs, links, more):
         remove(x)
     out = signed.drop("bands").join(named, "set_id", "left")
     own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
