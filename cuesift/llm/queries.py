@@ -5,23 +5,66 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+import public_tokenizers
+
+from cuesift.llm.bpe import read_ranks, round_trip
+from cuesift.llm.labelled import fold
+from cuesift.llm.lines import line_groups
+from cuesift.llm.mixing import TAKEN_SQL, taken
 from cuesift.llm.near_dup import near_duplicates
+from cuesift.llm.quality import quality
+from cuesift.llm.toxicity import toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def _scored(scored: DataFrame) -> DataFrame:
+    return scored.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "score", "predicted")
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored(toxicity(_documents(spark, sf_dir).select("doc_id", "text"), _labels(spark, sf_dir), threshold=0.3))
+
+
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return taken(_documents(spark, sf_dir))
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_groups(_documents(spark, sf_dir))
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored(quality(_documents(spark, sf_dir).select("doc_id", "text"), _labels(spark, sf_dir), threshold=0.7))
+
+
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    return round_trip(_documents(spark, sf_dir), raw, public_tokenizers.PATTERN)
+
+
 def op10_super_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_documents(spark, sf_dir), k=4, percent=80)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_toxicity": op1_toxicity,
+        "op2_mixing": op2_mixing,
+        "op3_line_dedup": op3_line_dedup,
+        "op4_quality": op4_quality,
+        "op8_bpe": op8_bpe,
         "op10_super_minhash": op10_super_minhash,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_mixing": TAKEN_SQL}
