@@ -12,10 +12,13 @@ import public_tokenizers
 from cuesift.llm.bpe import read_ranks, round_trip
 from cuesift.llm.labelled import fold
 from cuesift.llm.lines import line_groups
+from cuesift.llm.matroska import stored_texts
 from cuesift.llm.mixing import TAKEN_SQL, taken
 from cuesift.llm.near_dup import near_duplicates
 from cuesift.llm.quality import quality
+from cuesift.llm.suffix_tree import suffix_tree_scores
 from cuesift.llm.toxicity import toxicity
+from cuesift.llm.vectors import embedding_groups
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,11 +49,23 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(quality(_documents(spark, sf_dir).select("doc_id", "text"), _labels(spark, sf_dir), threshold=0.7))
 
 
+def op6_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored_texts(_documents(spark, sf_dir))
+
+
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_groups(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), threshold=0.9)
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     return round_trip(_documents(spark, sf_dir), raw, public_tokenizers.PATTERN)
 
 
+def op9_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree_scores(_documents(spark, sf_dir))
+
+
 def op10_super_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_documents(spark, sf_dir), k=4, percent=80)
 
@@ -61,7 +76,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_mixing": op2_mixing,
         "op3_line_dedup": op3_line_dedup,
         "op4_quality": op4_quality,
+        "op6_matroska": op6_matroska,
+        "op7_embedding_dedup": op7_embedding_dedup,
         "op8_bpe": op8_bpe,
+        "op9_suffix_tree": op9_suffix_tree,
         "op10_super_minhash": op10_super_minhash,
     }
 
