@@ -16,6 +16,7 @@ from cuesift.llm.matroska import stored_texts
 from cuesift.llm.mixing import TAKEN_SQL, taken
 from cuesift.llm.near_dup import near_duplicates
 from cuesift.llm.quality import quality
+from cuesift.llm.shards import training_order
 from cuesift.llm.suffix_tree import suffix_tree_scores
 from cuesift.llm.toxicity import toxicity
 from cuesift.llm.vectors import embedding_groups
@@ -49,6 +50,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(quality(_documents(spark, sf_dir).select("doc_id", "text"), _labels(spark, sf_dir), threshold=0.7))
 
 
+def op5_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return training_order(_documents(spark, sf_dir))
+
+
 def op6_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored_texts(_documents(spark, sf_dir))
 
@@ -76,6 +81,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_mixing": op2_mixing,
         "op3_line_dedup": op3_line_dedup,
         "op4_quality": op4_quality,
+        "op5_training_order": op5_training_order,
         "op6_matroska": op6_matroska,
         "op7_embedding_dedup": op7_embedding_dedup,
         "op8_bpe": op8_bpe,
