@@ -19,13 +19,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from cuesift.llm.packed import pack, unpack
-from cuesift.llm.storage import written
 
 #: Distinct pre-tokens at which a chunk is closed (after the document that reaches it).
 CHUNK_WORDS = 400_000
+#: Words whose ids a task gathers by chunk before it passes them on.
+GATHERED = 500_000
 #: A chunk's number and a word's place in it share a long.
 _PLACE_BITS = 31
 
@@ -61,8 +62,32 @@ def token_bytes(raw: bytes) -> list[bytes]:
     return out
 
 
+def _stream(**columns: pa.Array) -> bytes:
+    """Columns as compressed Arrow bytes."""
+    batch, sink = pa.RecordBatch.from_pydict(columns), pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def _table(data: bytes) -> pa.Table:
+    return pa.ipc.open_stream(data).read_all()
+
+
+def _squeezed(data: bytes) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=3).compress(data)
+
+
+def _restored(data: bytes) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdDecompressor().decompress(data)
+
+
 def _chunks(pattern: str, most: int, id_type: pa.DataType):
-    """doc_id, text -> one row per chunk: its number, doc_ids, token counts, packed positions, words."""
+    """doc_id, text -> one row per chunk: number, documents (ids and token counts), packed places, words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
@@ -72,9 +97,9 @@ def _chunks(pattern: str, most: int, id_type: pa.DataType):
         ids, counts, places, words = [], [], [], {}
 
         def closed() -> pa.RecordBatch:
-            one = lambda values, kind: pa.array([values], pa.list_(kind))
-            columns = [pa.array([number], pa.int64()), one(ids, id_type), one(counts, pa.int64()), pa.array([b"".join(places)], pa.binary()), one(list(words), pa.string())]
-            return pa.RecordBatch.from_arrays(columns, names=["chunk", "doc_ids", "counts", "places", "words"])
+            docs = _stream(doc_id=pa.array(ids, id_type), count=pa.array(counts, pa.int64()))
+            values = (docs, _squeezed(b"".join(places)), _stream(word=pa.array(list(words), pa.large_string())))
+            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *[pa.array([v], pa.binary()) for v in values]], names=["chunk", "docs", "places", "words"])
 
         for batch in batches:
             for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
@@ -94,18 +119,45 @@ def _chunks(pattern: str, most: int, id_type: pa.DataType):
     return run
 
 
+def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Chunks -> a row per distinct word of each: its place (chunk and index) and itself."""
+    for batch in batches:
+        for chunk, data in zip(batch["chunk"].to_pylist(), batch["words"], strict=True):
+            words = _table(data.as_py())["word"].combine_chunks()
+            place = np.arange(len(words), dtype=np.int64) + (chunk << _PLACE_BITS)
+            for at in range(0, len(words), 10_000):
+                yield pa.RecordBatch.from_arrays([pa.array(place[at : at + 10_000]), words.slice(at, 10_000).cast(pa.string())], names=["place", "word"])
+
+
 def _encoded(raw: bytes, pattern: str):
-    """place, word (sorted by word) -> place, ids as little-endian 32-bit integers."""
+    """place, word (sorted by word) -> a row per chunk met: gaps between places, ids' numbers, ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, last, ids = _encoder(raw, pattern), None, b""
+        places, out = [], []
+
+        def gathered() -> Iterator[pa.RecordBatch]:
+            place = np.concatenate(places)
+            order = np.argsort(place)
+            place = place[order]
+            chunk, index = place >> _PLACE_BITS, place & ((1 << _PLACE_BITS) - 1)
+            edge = np.flatnonzero(np.diff(chunk, prepend=-1, append=-1))
+            for a, b in zip(edge[:-1], edge[1:], strict=True):
+                part = [out[i] for i in order[a:b].tolist()]
+                values = (pack(np.diff(index[a:b], prepend=0)), pack(np.fromiter(map(len, part), np.int64, b - a) // 4), b"".join(part))
+                yield pa.RecordBatch.from_arrays([pa.array([chunk[a]], pa.int64()), *[pa.array([_squeezed(v)], pa.binary()) for v in values]], names=["chunk", "gaps", "sizes", "ids"])
+
         for batch in batches:
-            out = []
+            places.append(batch["place"].to_numpy())
             for word in batch["word"].to_pylist():
                 if word != last:
                     last, ids = word, np.array(encode(word.encode()), "<u4").tobytes()
                 out.append(ids)
-            yield pa.RecordBatch.from_arrays([batch["place"], pa.array(out, pa.binary())], names=["place", "ids"])
+            if len(out) >= GATHERED:
+                yield from gathered()
+                places, out = [], []
+        if out:
+            yield from gathered()
 
     return run
 
@@ -113,14 +165,17 @@ def _encoded(raw: bytes, pattern: str):
 def _reassembled(raw: bytes, id_type: pa.DataType):
     """A chunk and its words' ids -> a row per document."""
 
-    def run(chunk: pa.Table, words: pa.Table) -> pa.Table:
-        table = token_bytes(raw)
-        order = np.argsort(words["place"].to_numpy())
-        ids_of = words["ids"].take(pa.array(order)).to_pylist()
+    def run(chunk: pa.Table, found: pa.Table) -> pa.Table:
+        table, ids_of = token_bytes(raw), {}
+        for row in found.to_pylist():
+            places = np.cumsum(unpack(_restored(row["gaps"]))).tolist()
+            end = np.cumsum(unpack(_restored(row["sizes"])) * 4).tolist()
+            ids = _restored(row["ids"])
+            ids_of.update(zip(places, map(ids.__getitem__, map(slice, [0, *end[:-1]], end)), strict=True))
         out = {"doc_id": [], "n_tokens": [], "ids_sha256": [], "decoded_sha256": []}
-        for doc_ids, counts, places in zip(chunk["doc_ids"].to_pylist(), chunk["counts"].to_pylist(), chunk["places"], strict=True):
-            at, end = unpack(places.as_py()), 0
-            for doc_id, n in zip(doc_ids, counts, strict=True):
+        for row in chunk.to_pylist():
+            docs, at, end = _table(row["docs"]), unpack(_restored(row["places"])), 0
+            for doc_id, n in zip(docs["doc_id"].to_pylist(), docs["count"].to_pylist(), strict=True):
                 ids = b"".join(map(ids_of.__getitem__, at[end : end + n].tolist()))
                 end += n
                 decoded = b"".join(map(table.__getitem__, np.frombuffer(ids, "<u4").tolist()))
@@ -133,17 +188,17 @@ def _reassembled(raw: bytes, id_type: pa.DataType):
 
 
 def encode_words(docs: DataFrame, raw: bytes, pattern: str, chunk_words: int = CHUNK_WORDS) -> tuple[DataFrame, DataFrame]:
-    """(chunks, ids): chunks of documents and, for every chunk's words, place and ids.
+    """(chunks, ids): chunks of documents, and the ids of every chunk's words.
 
-    ``place`` is chunk << 31 | index of the word in the chunk's ``words``.
+    Both read the same exchange of chunks by number, which Spark runs once: all its columns
+    are taken on either side so that the exchanges stay equal. Lost shuffle files are made
+    again from the documents.
     """
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    kind = docs.schema["doc_id"].dataType
-    schema = f"chunk bigint, doc_ids array<{kind.simpleString()}>, counts array<bigint>, places binary, words array<string>"
-    chunks = written(docs.select("doc_id", "text").mapInArrow(_chunks(pattern, chunk_words, to_arrow_type(kind)), schema), "chunks")
-    words = chunks.select("chunk", F.posexplode("words").alias("i", "word")).select((F.shiftleft("chunk", _PLACE_BITS) + F.col("i")).alias("place"), "word")
-    ids = words.repartition("word").sortWithinPartitions("word").mapInArrow(_encoded(raw, pattern), "place bigint, ids binary")
+    kind = to_arrow_type(docs.schema["doc_id"].dataType)
+    made = docs.select("doc_id", "text").mapInArrow(_chunks(pattern, chunk_words, kind), "chunk bigint, docs binary, places binary, words binary")
+    chunks = made.repartition("chunk")
+    words = chunks.mapInArrow(_exploded, "place bigint, word string")
+    ids = words.repartition("word").sortWithinPartitions("word").mapInArrow(_encoded(raw, pattern), "chunk bigint, gaps binary, sizes binary, ids binary")
     return chunks, ids
 
 
@@ -155,13 +210,10 @@ def round_trip(docs: DataFrame, raw: bytes, pattern: str, chunk_words: int = CHU
     have no tokens; null and repeated doc_ids come back row by row; an empty table
     gives no rows; a very long text is one document of one chunk, read whole.
     """
-    from pyspark.sql.pandas.types import to_arrow_type
-
     kind = docs.schema["doc_id"].dataType
     chunks, ids = encode_words(docs, raw, pattern, chunk_words)
-    left = chunks.select("chunk", "doc_ids", "counts", "places").groupBy("chunk")
-    right = ids.withColumn("chunk", F.shiftright("place", _PLACE_BITS)).groupBy("chunk")
-    return left.cogroup(right).applyInArrow(_reassembled(raw, to_arrow_type(kind)), f"doc_id {kind.simpleString()}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    schema = f"doc_id {kind.simpleString()}, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
+    return chunks.groupBy("chunk").cogroup(ids.groupBy("chunk")).applyInArrow(_reassembled(raw, to_arrow_type(kind)), schema)
 
 
 def decode(tokens: DataFrame, raw: bytes) -> DataFrame:
