@@ -171,7 +171,7 @@ def select(truth: DataFrame, k: int, strategy: Strategy, fps: float = 1.0, keys:
         rows = rows.sort_values("frame_idx", ignore_index=True)
         # a curve is rounded so that frames that differ by the last bits tie
         at, phase = strategy.choose(rows["score"].round(12).to_numpy(), k, fps)
-        out = rows.loc[at, [*keys, "frame_idx", "score"]].reset_index(drop=True)
-        return out.assign(rank=np.arange(1, len(at) + 1), phase=phase)[[*keys, "rank", "frame_idx", "score", "phase"]]
+        out = rows.iloc[at][[*keys, "frame_idx", "score"]].reset_index(drop=True)
+        return out.assign(rank=np.arange(1, len(at) + 1), phase=np.array(phase, object))[[*keys, "rank", "frame_idx", "score", "phase"]]
 
     return truth.select(*keys, "frame_idx", F.col("score").cast("double").alias("score")).groupBy(*keys).applyInPandas(run, schema)

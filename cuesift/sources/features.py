@@ -43,8 +43,9 @@ class FeatureStore:
 
     def load(self, feature: str, videos: DataFrame | None = None, fps: float | None = None) -> DataFrame:
         """Rows of a feature, of the given videos' keys if given; empty where nothing was saved."""
+        there = self._exists(feature)
         schema = f"{FEATURES[feature]}, cache_key string"
-        if not self._exists(feature):
+        if not there:
             return self.spark.createDataFrame([], schema)
         rows = self.spark.read.schema(schema).parquet(self._at(feature))
         if videos is None:
