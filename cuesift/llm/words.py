@@ -80,7 +80,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     h = total[ends]
     h[1:] -= total[starts[1:] - 1]
     if starts[0]:
-        h[0] -= total[starts[0] - 1]
+        h[:1] -= total[starts[:1] - 1]
     h += (ends - starts + 1).astype(np.uint64) * _STEP
     return mix(h), np.searchsorted(starts, offsets).astype(np.int64)
 
