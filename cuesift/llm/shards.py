@@ -64,12 +64,28 @@ def unpermuted(slot: np.ndarray, n: int, key: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def _cut(first: dict[int, tuple[int, int]], total: int, key: int, stride: int, width: int):
-    """doc_id, ids (bytes) -> a row per sequence with its slot; ``first`` has each partition's first index."""
+#: Bytes of sequences that a task gathers before it passes them on by shard.
+GATHERED = 32_000_000
+
+
+def _packed(rows: list[pa.RecordBatch], per_shard: int) -> Iterator[pa.RecordBatch]:
+    """Gathered sequences -> a row per shard: its number and its sequences as compressed Arrow bytes."""
+    table = pa.Table.from_batches(rows).sort_by("slot")
+    shard = table["slot"].to_numpy() // per_shard
+    edge = np.flatnonzero(np.diff(shard, prepend=-1, append=-1))
+    for a, b in zip(edge[:-1], edge[1:], strict=True):
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            out.write_table(table.slice(a, b - a).combine_chunks())
+        yield pa.RecordBatch.from_arrays([pa.array([shard[a]], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["shard", "body"])
+
+
+def _cut(first: dict[int, tuple[int, int]], total: int, key: int, stride: int, width: int, per_shard: int):
+    """doc_id, ids (bytes) -> sequences with their slots, packed by shard; ``first`` has each partition's first index."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, count = first.get(TaskContext.get().partitionId(), (0, 0))
-        end = at + count
+        end, rows, held = at + count, [], 0
         for batch in batches:
             for a, b, data, offsets in pieces(batch["ids"]):
                 size = np.diff(offsets)
@@ -84,10 +100,18 @@ def _cut(first: dict[int, tuple[int, int]], total: int, key: int, stride: int, w
                 body[inside] = data[(start[:, None] + column)[inside]]
                 slot = permuted(at + np.arange(len(doc)), total, key)
                 at += len(doc)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(slot), batch["doc_id"].slice(a, b - a).take(pa.array(doc)), pa.array(piece.astype(np.int32)), pa.array((length // width).astype(np.int32)), pa.FixedSizeBinaryArray.from_buffers(pa.binary(stride), len(doc), [None, pa.py_buffer(body)]).cast(pa.binary())],
-                    names=["slot", "doc_id", "piece", "n_tokens", "ids"],
+                held += body.size
+                rows.append(
+                    pa.RecordBatch.from_arrays(
+                        [pa.array(slot), batch["doc_id"].slice(a, b - a).take(pa.array(doc)), pa.array(piece.astype(np.int32)), pa.array((length // width).astype(np.int32)), pa.FixedSizeBinaryArray.from_buffers(pa.binary(stride), len(doc), [None, pa.py_buffer(body)])],
+                        names=["slot", "doc_id", "piece", "n_tokens", "ids"],
+                    )
                 )
+                if held >= GATHERED:
+                    yield from _packed(rows, per_shard)
+                    rows, held = [], 0
+        if rows:
+            yield from _packed(rows, per_shard)
         if at != end:
             raise ValueError("the input's partitions changed between counting and cutting; give a table that reads alike each time")
 
@@ -101,8 +125,8 @@ def shard_name(shard: int) -> str:
 def _write(path: str, per_shard: int, stride: int, id_type: pa.DataType):
     """The sequences of a shard -> its file, and a directory row for each, checked against the file."""
 
-    def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by("slot")
+    def run(packed: pa.Table) -> pa.Table:
+        table = pa.concat_tables([pa.ipc.open_stream(x.as_py()).read_all() for x in packed["body"]]).sort_by("slot")
         slot = table["slot"].to_numpy()
         shard = int(slot[0]) // per_shard
         base = shard * per_shard
@@ -152,9 +176,9 @@ def materialise(sequences: DataFrame, path: str, key: int = 1, length: int = LEN
         first[row["p"]] = (total, row["n"])
         total += row["n"]
     kind = src.schema["doc_id"].dataType
-    cut = src.mapInArrow(_cut(first, total, key, stride, width), f"slot bigint, doc_id {kind.simpleString()}, piece int, n_tokens int, ids binary")
+    cut = src.mapInArrow(_cut(first, total, key, stride, width, per_shard), "shard bigint, body binary")
     out = f"slot bigint, shard int, byte_offset bigint, doc_id {kind.simpleString()}, piece int, n_tokens int, crc32 bigint"
-    return cut.groupBy(F.floor(F.col("slot") / per_shard).alias("_shard")).applyInArrow(_write(path, per_shard, stride, to_arrow_type(kind)), out)
+    return cut.groupBy("shard").applyInArrow(_write(path, per_shard, stride, to_arrow_type(kind)), out)
 
 
 def training_order(docs: DataFrame, key: int = 1, length: int = LENGTH, per_shard: int = SHARD_SEQUENCES) -> DataFrame:
