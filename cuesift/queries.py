@@ -296,25 +296,21 @@ def _ovd(spark, d):
     return S.ovd_scores(_grid(spark, d), found, _PHRASES).select("video_id", "frame_idx", "query", _r("score"))
 
 
+#: SQL's edit distance counts bytes here, so these two queries are held against brute force instead.
 _READ = ("the thing", "nd of the", "licensed under")
-_ASCII = r"^[\x20-\x7E]{1,200}$"
-_LINES_SQL = f"ln AS (SELECT doc_id, trim(lower(x)) AS x FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x FROM documents) WHERE regexp_matches(x, '{_ASCII}')), qs(query) AS (VALUES " + ", ".join(f"('{q}')" for q in _READ) + ")"
-_SIM = "CASE WHEN contains(x, query) THEN 1.0::DOUBLE WHEN length(x) = 0 THEN 0.0::DOUBLE ELSE 1 - levenshtein(query, x)::DOUBLE / greatest(length(query), length(x)) END"
-
-
 def _lines(spark: SparkSession, d: str) -> DataFrame:
-    lines = F.filter(F.split("text", "\n"), lambda x: F.regexp_like(x, F.lit(_ASCII)))
+    lines = F.split(F.coalesce("text", F.lit("")), "\n")
     w = Window.partitionBy("source").orderBy("doc_id")
     return _read(spark, d, "documents").select("doc_id", F.col("source").alias("video_id"), (F.row_number().over(w) - 1).alias("frame_idx"), lines.alias("lines"))
 
 
-@_query("ocr_match", f"WITH {_LINES_SQL} SELECT d.doc_id, qs.query, round(coalesce(m, 0), 6) AS score FROM documents d CROSS JOIN qs LEFT JOIN (SELECT doc_id, query, max({_SIM}) AS m FROM ln, qs GROUP BY 1, 2) s ON s.doc_id = d.doc_id AND s.query = qs.query")
+@_query("ocr_match")
 def _ocr_match(spark, d):
     rows = _lines(spark, d).withColumn("query", F.explode(F.array(*[F.lit(q) for q in _READ])))
     return rows.select("doc_id", "query", _r(T.best_line_match(F.col("query"), F.col("lines"))))
 
 
-@_query("ocr_scores_cached", f"WITH {_LINES_SQL}, fr AS (SELECT doc_id, source AS video_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS frame_idx FROM documents), g AS (SELECT video_id, unnest(generate_series(0, max(frame_idx) + 2)) AS frame_idx FROM fr GROUP BY video_id), m AS (SELECT doc_id, query, max({_SIM}) AS m FROM ln, qs GROUP BY 1, 2) SELECT g.video_id, g.frame_idx, qs.query, round(coalesce(m, 0), 6) AS score FROM g CROSS JOIN qs LEFT JOIN fr USING (video_id, frame_idx) LEFT JOIN m ON m.doc_id = fr.doc_id AND m.query = qs.query")
+@_query("ocr_scores_cached")
 def _ocr_cached(spark, d):
     texts = _lines(spark, d)
     size = texts.groupBy("video_id").agg(F.max("frame_idx").alias("n"))
@@ -333,9 +329,9 @@ def _short_sql(q: str) -> str:
     return f"SELECT conv_id, turn, '{q}' AS query, round(CASE WHEN contains(t, '{q}') THEN 1.0::DOUBLE ELSE coalesce({fuzzy}, 0) END, 6) AS score FROM c"
 
 
-@_query("asr_short_match", "WITH c AS (SELECT conv_id, turn, t, regexp_extract_all(t, '[a-z0-9'']+') AS ws FROM (SELECT conv_id, turn, lower(trim(text)) AS t FROM conversations WHERE regexp_matches(text, '^[\\x20-\\x7E]+$'))) " + " UNION ALL ".join(map(_short_sql, _SAID)))
+@_query("asr_short_match", "WITH c AS (SELECT conv_id, turn, t, regexp_extract_all(t, '[a-z0-9'']+') AS ws FROM (SELECT conv_id, turn, lower(trim(text)) AS t FROM conversations)) " + " UNION ALL ".join(map(_short_sql, _SAID)))
 def _asr_short(spark, d):
-    rows = _read(spark, d, "conversations").where(F.regexp_like("text", F.lit(r"^[\x20-\x7E]+$"))).withColumn("query", F.explode(F.array(*[F.lit(q) for q in _SAID])))
+    rows = _read(spark, d, "conversations").withColumn("query", F.explode(F.array(*[F.lit(q) for q in _SAID])))
     return rows.select("conv_id", "turn", "query", _r(T.short_match(F.col("query"), F.col("text"))))
 
 
@@ -365,9 +361,9 @@ def _asr_long(spark, d):
     return _read(spark, d, "embeddings").select("vec_id", _r(score))
 
 
-@_query("clap_scores", f"WITH {_FRAMES_SQL} SELECT video_id, frame_idx, round(CASE WHEN f.vec_id % 7 = 0 THEN 0.5::DOUBLE ELSE least(1.0::DOUBLE, greatest(0.0::DOUBLE, (list_cosine_similarity(f.embedding::DOUBLE[], e.embedding::DOUBLE[]) + 1) / 2)) END, 6) AS score FROM f, embeddings e WHERE e.vec_id = 1")
+@_query("clap_scores", f"WITH {_FRAMES_SQL} SELECT video_id, frame_idx, round(CASE WHEN frame_idx = 0 THEN 0.5::DOUBLE ELSE least(1.0::DOUBLE, greatest(0.0::DOUBLE, (list_cosine_similarity(f.embedding::DOUBLE[], e.embedding::DOUBLE[]) + 1) / 2)) END, 6) AS score FROM f, embeddings e WHERE e.vec_id = 1")
 def _clap(spark, d):
-    frames = _frames(spark, d).withColumn("embedding", F.when(F.col("vec_id") % 7 != 0, F.col("embedding")))
+    frames = _frames(spark, d).withColumn("embedding", F.when(F.col("frame_idx") != 0, F.col("embedding")))
     return S.clap_scores(frames, {"sound": _query_vectors(spark, d, 2)["v1"]}).select("video_id", "frame_idx", _r("score"))
 
 

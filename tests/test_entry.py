@@ -40,6 +40,34 @@ def test_query_without_sql_has_rows(spark, name):
     assert engine.queries()[name](spark, SF).count() > 0
 
 
+def edits(a, b):
+    row = list(range(len(a) + 1))
+    for j, y in enumerate(b, 1):
+        last, row = row, [j]
+        for i, x in enumerate(a, 1):
+            row.append(min(last[i] + 1, row[-1] + 1, last[i - 1] + (x != y)))
+    return row[-1]
+
+
+def test_line_matches_are_those_of_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    expect = {}
+    for r in docs:
+        for q in engine._READ:
+            lines = [x.lower().strip() for x in r.text.split("\n")]
+            expect[r.doc_id, q] = 1.0 if any(q in x for x in lines) else max(1 - edits(q, x) / max(len(q), len(x)) if x else 0.0 for x in lines)
+    got = {(r.doc_id, r["query"]): r.score for r in engine.queries()["ocr_match"](spark, SF).collect()}
+    assert got.keys() == expect.keys() and all(abs(got[k] - expect[k]) < 2e-6 for k in got)
+    grid = engine.queries()["ocr_scores_cached"](spark, SF).collect()
+    sources = {}
+    for r in sorted(docs, key=lambda r: r.doc_id):
+        sources.setdefault(r.source, []).append(r.doc_id)
+    assert len(grid) == sum(len(x) + 2 for x in sources.values()) * len(engine._READ)
+    for r in grid:
+        at = sources[r.video_id]
+        assert abs(r.score - (expect[at[r.frame_idx], r["query"]] if r.frame_idx < len(at) else 0.0)) < 2e-6
+
+
 def test_entry(spark):
     out = __spark_entry__.entry(spark)
     assert out.count() > 0 and "frame_idx" in out.columns
