@@ -45,3 +45,21 @@ def accuracy(answers: DataFrame) -> DataFrame:
     """(answer, answer_letter) -> correct, total, accuracy; an answer is right if it has the letter in it."""
     right = F.contains(F.col("answer"), F.col("answer_letter")).cast("long")
     return answers.agg(F.sum(right).alias("correct"), F.count("*").alias("total"), F.avg(right).alias("accuracy"))
+
+
+def selection_prompt(selected: DataFrame, segments: DataFrame, questions: DataFrame) -> DataFrame:
+    """One prompt per video and question: frame times in order, subtitles, the question and lettered options.
+
+    ``selected`` (video_id, qid, ts), ``segments`` as in ``subtitle_prompt``, ``questions`` (qid, question, candidates).
+    """
+    times = selected.groupBy("video_id", "qid").agg(F.array_join(F.transform(F.array_sort(F.collect_set("ts")), lambda t: clock(t)), " ").alias("_times"))
+    letters = F.transform("candidates", lambda c, i: F.concat(F.substring(F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), i + 1, F.lit(1)), F.lit(". "), c))
+    asked = questions.select("qid", "question", F.coalesce(F.array_join(letters, "\n"), F.lit("")).alias("_options"))
+    rows = times.join(asked, "qid").join(subtitle_prompt(segments).withColumnRenamed("prompt", "_subtitles"), "video_id", "left")
+    parts = (F.concat(F.lit("Frames at: "), "_times"), F.concat(F.lit("Subtitles:\n"), F.col("_subtitles")), F.concat(F.lit("Question: "), "question"), F.when(F.col("_options") != "", F.concat(F.lit("Options:\n"), "_options")))
+    return rows.select("video_id", "qid", F.concat_ws("\n\n", *parts).alias("prompt"))
+
+
+def encoded_frames(frames: DataFrame) -> DataFrame:
+    """(…, image binary) with the image as base64 text, for models that take pictures inline."""
+    return frames.withColumn("image", F.base64("image"))

@@ -217,3 +217,25 @@ def test_streaming_selects_a_video_at_its_end(spark, tmp_path):
     (tmp_path / "in/2.json").write_text("\n".join(json.dumps(r) for r in [*rows[3:], {"video_id": "a", "is_end": True}]))
     run()
     assert [(r.video_id, r.score, r.n) for r in spark.read.parquet(at["out"]).collect()] == [("a", 0.4, 5)]
+
+
+def test_tables_of_trees(spark):
+    from cuesift.plans import bulk
+
+    leaf = Node.leaf("OVD", "a").to_dict()
+    rows = [("good", json.dumps({"op": "RIGHT_AFTER", "children": [leaf] * 3})), ("bad", json.dumps({"op": "XOR", "children": [leaf]})), ("text", "{"), ("null", None)]
+    trees = spark.createDataFrame(rows, "qid string, tree string").withColumn("tree", bulk.repaired("tree"))
+    assert {r.qid for r in bulk.problems(trees).collect()} == {"bad", "text", "null"}
+    got = bulk.flattened(trees.where("qid = 'good'")).orderBy("node_id").collect()
+    assert [(r.node_id, r["query"], r.path) for r in got] == [(0, "a", "0.0"), (1, "a", "0.1.0"), (2, "a", "0.1.1")]
+
+
+def test_selection_prompt_and_frames(spark):
+    from cuesift.sources.text import encoded_frames, selection_prompt
+
+    selected = spark.createDataFrame([("v", "q", 61.0), ("v", "q", 2.0)], "video_id string, qid string, ts double")
+    segments = spark.createDataFrame([("v", 0, 1.0, 2.0, "hi")], "video_id string, seg_idx int, start double, end double, text string")
+    questions = spark.createDataFrame([("q", "What?", ["x", "y"])], "qid string, question string, candidates array<string>")
+    prompt = selection_prompt(selected, segments, questions).first()["prompt"]
+    assert prompt == "Frames at: [00:00:02] [00:01:01]\n\nSubtitles:\n[00:00:01] hi\n\nQuestion: What?\n\nOptions:\nA. x\nB. y"
+    assert encoded_frames(spark.createDataFrame([(1, bytearray(b"abc"))], "i int, image binary")).first()["image"] == "YWJj"
