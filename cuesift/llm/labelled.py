@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,12 +18,12 @@ def fold(doc_id: Column, n: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % n, F.lit(0))
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> list[tuple[str, int]]:
-    """(text, label) of at most ``max_rows`` labelled rows outside fold 2 of 4, whole texts.
+def _sampled(docs: DataFrame, labels: DataFrame, label: str, max_rows: int, max_bytes: int) -> DataFrame:
+    """(text, y) of at most ``max_rows`` labelled rows outside fold 2 of 4, whole texts, in one sorted partition.
 
     Rows are taken in the order of a hash of the id until ``max_rows`` or ``max_bytes`` is
-    reached, whichever is first, so the sample is uniform and what the
-    driver and the model hold is bounded at any size of input. Null labels are left out.
+    reached, whichever is first, so the sample is uniform and what the fit and
+    the model hold is bounded at any size of input. Null labels are left out.
     """
     rows = labels.select("doc_id", F.col(label).cast("int").alias("y")).where("y is not null and doc_id is not null").where(fold(F.col("doc_id"), 4) != 2)
     rows = rows.distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(max_rows)
@@ -31,9 +35,22 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: int = MAX_R
         if total > max_bytes and ids:
             break
         ids.append((row["doc_id"], row["y"]))
-    spark = docs.sparkSession
-    if not ids:
-        return []
-    chosen = F.broadcast(spark.createDataFrame(ids, rows.schema).distinct())
-    got = docs.select("doc_id", "text").join(chosen, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "y", "text").limit(max_rows).collect()
-    return [(row["text"] or "", row["y"]) for row in got]
+    chosen = F.broadcast(docs.sparkSession.createDataFrame(ids, rows.schema).distinct())
+    got = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(chosen, "doc_id").repartition(1)
+    return got.sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", "y", "text").select("text", "y")
+
+
+def sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> list[tuple[str, int]]:
+    """The sample's (text, label)."""
+    return [(row["text"], row["y"]) for row in _sampled(docs, labels, label, max_rows, max_bytes).collect()]
+
+
+def fitted(docs: DataFrame, labels: DataFrame, label: str, fit: Callable[[list[tuple[str, int]]], object], max_rows: int, max_bytes: int) -> object:
+    """``fit`` of the sample, run in one task on an executor; only the model comes to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        examples = [pair for batch in batches for pair in zip(batch["text"].to_pylist(), batch["y"].to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(examples))], pa.binary())], names=["model"])
+
+    found = _sampled(docs, labels, label, max_rows, max_bytes).mapInArrow(run, "model binary").collect()
+    return pickle.loads(found[0]["model"]) if found else fit([])

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuesift.llm.labelled import sample
+from cuesift.llm.labelled import fitted
 from cuesift.llm.toxicity import with_score
 from cuesift.llm.words import pieces, word_hashes
 
@@ -91,7 +91,8 @@ def fit(examples: list[tuple[str, int]], rank: int = RANK) -> Space:
     blocks = [_terms(data, offsets) for _, _, data, offsets in pieces(column)]
     df = sum(((b > 0).sum(0) for b in blocks), np.zeros(_TERMS, np.int64))
     idf = np.log((1 + len(labels)) / (1 + df)).astype(np.float32) + 1
-    blocks = [_weighed(b, idf) for b in blocks]
+    for i, b in enumerate(blocks):  # one at a time: counts and weights together would be twice as much
+        blocks[i] = _weighed(b, idf)
     if not blocks:
         return Space(idf, np.zeros((_TERMS, 1), np.float32), np.zeros((0, 1), np.float32), labels)
     rng = np.random.default_rng(7)
@@ -125,7 +126,7 @@ def vote(column: pa.Array, space: Space, neighbours: int = NEIGHBOURS, sharpness
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_LABELLED, max_bytes: int = MAX_LABELLED_BYTES) -> Space:
     """A space of ``labels.quality``, from a bounded sample outside fold 2 of 4."""
-    return fit(sample(docs, labels, "quality", max_rows, max_bytes))
+    return fitted(docs, labels, "quality", fit, max_rows, max_bytes)
 
 
 def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **bounds: int) -> DataFrame:

@@ -18,12 +18,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from cuesift.llm.labelled import MAX_BYTES, MAX_ROWS, fold, sample
+from cuesift.llm.labelled import MAX_BYTES, MAX_ROWS, fitted, fold
 from cuesift.llm.words import pieces
 
 ORDERS = (3, 4, 5)
 BITS = 20
 FEATURES = 1024
+#: Bytes of text that a fit looks at together.
+FIT_PIECE = 1 << 18
 _LOWER = np.arange(256, dtype=np.uint32)
 _LOWER[65:91] += 32
 
@@ -62,7 +64,7 @@ def fit(examples: list[tuple[str, int]], features: int = FEATURES, l2: float = 3
         return Model(np.zeros(0, np.int64), np.zeros(0), 4.0 if len(y) and y[0] else -4.0)
     count = np.zeros((2, 1 << BITS), np.float32)
     column = pa.array([text for text, _ in examples], pa.large_string())
-    for start, _, data, offsets in pieces(column):
+    for start, _, data, offsets in pieces(column, FIT_PIECE):
         hit = _hits(data, offsets, None)
         for c in (0, 1):
             count[c] += np.bincount(hit[y[start + (hit >> BITS)] == c] & ((1 << BITS) - 1), minlength=1 << BITS)
@@ -78,14 +80,15 @@ def fit(examples: list[tuple[str, int]], features: int = FEATURES, l2: float = 3
     best = np.sort(np.argsort(-gain, kind="stable")[:features])
     best = best[gain[best] > 0]
     ratio = np.log((count[1, best] + 1) / (n[1] + 2)) - np.log((count[0, best] + 1) / (n[0] + 2))
-    x = np.zeros((len(y), len(best)), np.float32)
+    x = np.zeros((len(y), len(best) + 1), np.float32)
+    x[:, -1] = 1
     chosen, place = np.zeros(1 << BITS, bool), np.zeros(1 << BITS, np.int32)
     chosen[best], place[best] = True, np.arange(len(best))
-    for start, _, data, offsets in pieces(column):
+    for start, _, data, offsets in pieces(column, FIT_PIECE):
         hit = _hits(data, offsets, chosen)
         at = place[hit & ((1 << BITS) - 1)]
         x[start + (hit >> BITS), at] = ratio[at]
-    w = _newton(np.hstack([x, np.ones((len(y), 1), np.float32)]), y, l2, steps)
+    w = _newton(x, y, l2, steps)
     w, b = w[:-1], w[-1]
     return Model(best, (w * ratio).astype(np.float64), float(b))
 
@@ -146,7 +149,7 @@ def with_score(docs: DataFrame, score, name: str = "score") -> DataFrame:
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> Model:
     """A model of ``labels.toxic``, fitted on a bounded sample outside fold 2 of 4."""
-    return fit(sample(docs, labels, "toxic", max_rows, max_bytes))
+    return fitted(docs, labels, "toxic", fit, max_rows, max_bytes)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **bounds: int) -> DataFrame:
