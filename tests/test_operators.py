@@ -140,6 +140,16 @@ def test_right_after_by_lags_and_by_fold(spark, kappa, fps):
     np.testing.assert_allclose(values(logic.right_after(wide(spark, c, e), "n0", "n1", KEYS, "score", kappa, fps)), np_right_after(c, e, kappa, fps), atol=1e-12)
 
 
+def test_faded_sums_over_many_blocks():
+    x = RNG.random(3000)
+    for rate in (0.05, 1.0, 5.0):
+        h, expect = 0.0, []
+        for v in x:
+            expect.append(h)
+            h = (h + v) * math.exp(-rate)
+        np.testing.assert_allclose(logic.faded(x, rate)[1:], np.array([(expect[i - 1] + x[i - 1]) * math.exp(-rate) for i in range(1, 3000)]), rtol=1e-9)
+
+
 def rescaled(x, lo=0.5, hi=1.0):
     return lo + (hi - lo) * (x - x.min()) / np.ptp(x) if np.ptp(x) > 1e-8 else np.full_like(x, (lo + hi) / 2)
 
