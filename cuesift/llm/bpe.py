@@ -162,31 +162,47 @@ def _encoded(raw: bytes, pattern: str):
     return run
 
 
-def _reassembled(raw: bytes, id_type: pa.DataType):
-    """A chunk and its words' ids -> a row per document."""
+def _documents(chunk: pa.Table, found: pa.Table) -> Iterator[tuple[object, bytes]]:
+    """A chunk and its words' ids -> each document's id and its token ids as bytes, by position."""
+    ids_of: dict[int, bytes] = {}
+    for row in found.to_pylist():
+        places = np.cumsum(unpack(_restored(row["gaps"]))).tolist()
+        end = np.cumsum(unpack(_restored(row["sizes"])) * 4).tolist()
+        ids = _restored(row["ids"])
+        ids_of.update(zip(places, map(ids.__getitem__, map(slice, [0, *end[:-1]], end)), strict=True))
+    for row in chunk.to_pylist():
+        docs, at, end = _table(row["docs"]), unpack(_restored(row["places"])), 0
+        for doc_id, n in zip(docs["doc_id"].to_pylist(), docs["count"].to_pylist(), strict=True):
+            yield doc_id, b"".join(map(ids_of.__getitem__, at[end : end + n].tolist()))
+            end += n
+
+
+def _digested(raw: bytes, id_type: pa.DataType):
+    """A chunk and its words' ids -> a row per document: digests of ids and of what they decode to."""
 
     def run(chunk: pa.Table, found: pa.Table) -> pa.Table:
-        table, ids_of = token_bytes(raw), {}
-        for row in found.to_pylist():
-            places = np.cumsum(unpack(_restored(row["gaps"]))).tolist()
-            end = np.cumsum(unpack(_restored(row["sizes"])) * 4).tolist()
-            ids = _restored(row["ids"])
-            ids_of.update(zip(places, map(ids.__getitem__, map(slice, [0, *end[:-1]], end)), strict=True))
+        table = token_bytes(raw)
         out = {"doc_id": [], "n_tokens": [], "ids_sha256": [], "decoded_sha256": []}
-        for row in chunk.to_pylist():
-            docs, at, end = _table(row["docs"]), unpack(_restored(row["places"])), 0
-            for doc_id, n in zip(docs["doc_id"].to_pylist(), docs["count"].to_pylist(), strict=True):
-                ids = b"".join(map(ids_of.__getitem__, at[end : end + n].tolist()))
-                end += n
-                decoded = b"".join(map(table.__getitem__, np.frombuffer(ids, "<u4").tolist()))
-                for name, value in zip(out, (doc_id, len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest()), strict=True):
-                    out[name].append(value)
+        for doc_id, ids in _documents(chunk, found):
+            decoded = b"".join(map(table.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+            for name, value in zip(out, (doc_id, len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest()), strict=True):
+                out[name].append(value)
         kinds = (id_type, pa.int64(), pa.string(), pa.string())
         return pa.table({name: pa.array(values, kind) for (name, values), kind in zip(out.items(), kinds, strict=True)})
 
     return run
 
 
+def _listed(id_type: pa.DataType):
+    """A chunk and its words' ids -> doc_id, ids."""
+
+    def run(chunk: pa.Table, found: pa.Table) -> pa.Table:
+        rows = [(doc_id, np.frombuffer(ids, "<u4").astype(np.int32)) for doc_id, ids in _documents(chunk, found)]
+        return pa.table({"doc_id": pa.array([r[0] for r in rows], id_type), "ids": pa.array([r[1] for r in rows], pa.list_(pa.int32()))})
+
+    return run
+
+
 def encode_words(docs: DataFrame, raw: bytes, pattern: str, chunk_words: int = CHUNK_WORDS) -> tuple[DataFrame, DataFrame]:
     """(chunks, ids): chunks of documents, and the ids of every chunk's words.
 
@@ -202,6 +218,13 @@ def encode_words(docs: DataFrame, raw: bytes, pattern: str, chunk_words: int = C
     return chunks, ids
 
 
+def encode(docs: DataFrame, raw: bytes, pattern: str, chunk_words: int = CHUNK_WORDS) -> DataFrame:
+    """(doc_id, ids array<int>), a row per row of ``docs``. Cases as in ``round_trip``."""
+    kind = docs.schema["doc_id"].dataType
+    chunks, ids = encode_words(docs, raw, pattern, chunk_words)
+    return chunks.groupBy("chunk").cogroup(ids.groupBy("chunk")).applyInArrow(_listed(to_arrow_type(kind)), f"doc_id {kind.simpleString()}, ids array<int>")
+
+
 def round_trip(docs: DataFrame, raw: bytes, pattern: str, chunk_words: int = CHUNK_WORDS) -> DataFrame:
     """Encode every text, decode the ids, and return a digest of both per row of ``docs``.
 
@@ -213,7 +236,7 @@ def round_trip(docs: DataFrame, raw: bytes, pattern: str, chunk_words: int = CHU
     kind = docs.schema["doc_id"].dataType
     chunks, ids = encode_words(docs, raw, pattern, chunk_words)
     schema = f"doc_id {kind.simpleString()}, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
-    return chunks.groupBy("chunk").cogroup(ids.groupBy("chunk")).applyInArrow(_reassembled(raw, to_arrow_type(kind)), schema)
+    return chunks.groupBy("chunk").cogroup(ids.groupBy("chunk")).applyInArrow(_digested(raw, to_arrow_type(kind)), schema)
 
 
 def decode(tokens: DataFrame, raw: bytes) -> DataFrame:

@@ -343,6 +343,13 @@ def test_bpe_chunks_are_made_once(spark):
     assert bpe.round_trip(spark.createDataFrame([], SCHEMA), RAW, public_tokenizers.PATTERN).count() == 0
 
 
+def test_encode_gives_ids_that_decode_to_the_text(spark):
+    docs = spark.createDataFrame(ODD, SCHEMA)
+    got = bpe.encode(docs, RAW, public_tokenizers.PATTERN).withColumn("row", F.lit(0))
+    back = sorted(((r.doc_id, bytes(r.bytes)) for r in bpe.decode(got, RAW).collect()), key=str)
+    assert back == sorted(((i, (t or "").encode()) for i, t in ODD), key=str)
+
+
 def test_decode(spark):
     import tiktoken
 
