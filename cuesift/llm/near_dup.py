@@ -130,7 +130,7 @@ def _forest(percent: int):
         column = (np.cumsum(often > 1) - 1)[place[use]]
         of, order = of[use], np.argsort(column, kind="stable")
         of, column = of[order], column[order]
-        common = np.zeros((len(size), len(size)), np.float32)
+        common = np.zeros((len(size), len(size)))  # sums of whole numbers in double precision are exact
         for start in range(0, int((often > 1).sum()), 2048):
             a, b = np.searchsorted(column, [start, start + 2048])
             x = np.zeros((len(size), 2048), np.float32)
