@@ -116,18 +116,19 @@ def curriculum(docs: DataFrame, first: Column | None = None, last: Column | None
     ``first`` and ``last`` are a source's weights at the start and the end of training (expressions of
     docs' columns); a source whose weight rises comes late. Documents that the
     mix doesn't take are gone. ``position`` is the time at which a pass is due, in [0, 1];
-    equal positions are ordered by id. Cases as in ``taken``; columns named size,
-    source_size, target, weight, demand or position are replaced.
+    equal positions are ordered by id. Cases as in ``taken``; other columns are
+    kept as they are, but one named position is replaced.
     """
-    own = ("size", "source_size", "target", "weight", "demand", "position")
-    columns = [c for c in docs.columns if c.lower() not in own]
+    columns = [c for c in docs.columns if c.lower() != "position"]
     weights = {"_first": first, "_last": last}
-    sized = docs.select(*[F.col(f"`{c}`") for c in columns], size_of(F.col("text")).alias("size"), *[w.alias(c) for c, w in weights.items() if w is not None])
+    # the document's own columns travel in one struct, so that none can clash with those made here
+    row = F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row")
+    sized = docs.select(row, "doc_id", "source", size_of(F.col("text")).alias("size"), *[w.alias(c) for c, w in weights.items() if w is not None])
     planned = _with_demand(sized)
     n = passes_of(F.col("size"), F.col("source_size"), F.col("target"), F.col("demand"))
     each = planned.withColumn("_n", n).where("_n > 0").withColumn("_turn", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
     ends = _weights(*[None if w is None else F.col(c) for c, w in weights.items()])
-    out = each.withColumn("position", _position(*ends, F.col("_turn"))).select(*[F.col(f"`{c}`") for c in columns], "position")
+    out = each.withColumn("position", _position(*ends, F.col("_turn"))).select(*[F.col("_row").getField(c).alias(c) for c in columns], "position")
     keys = [F.col("position"), F.col("doc_id")]
     out = out.repartitionByRange(partitions, *keys) if partitions else out.repartitionByRange(*keys)
     return out.sortWithinPartitions(*keys)

@@ -197,6 +197,24 @@ def test_pipeline_stages_on_what_is_before_them(spark):
         before = after
 
 
+def test_stages_on_odd_documents(spark):
+    clash = {c: F.lit("clash") for c in ("_row", "_gone", "_text", "_key", "_n", "size", "weight", "target", "h", "label")}
+    rows = [(1, None, None, None, None), (None, "a b c d e f g", "en", "s", 13), (2, "", "en", None, 0), (3, "a b c d e f g\n", None, "s", 14), (3, "a b c d e f g\n", None, "s", 14), (4, "x" * 70_000, "de", "t", 70_000), (5, "A, B c d e F g", "en", "t", 14), (6, "idle words", "en", "t", 10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumns(clash)
+    empty = docs.where("false")
+    for name, stage in corpus_pipeline.STAGES:
+        docs, empty = storage.written(stage(spark, docs, SF), "test"), stage(spark, empty, SF)
+        got = docs.collect()
+        assert empty.count() == 0 and (name == "bpe" or set(docs.columns) >= {"doc_id", "text", "lang", "source", "n_chars", *clash})
+        if name == "line_dedup":
+            assert sorted((r.doc_id or 0, r.text or "") for r in got) == [(0, "a b c d e f g"), (1, ""), (2, ""), (3, "a b c d e f g\n"), (3, "a b c d e f g\n"), (4, "x" * 70_000), (5, ""), (6, "idle words")]
+            assert all(r.target == "clash" and r._gone == "clash" for r in got)
+        if name == "near_dedup":
+            assert Counter(r.doc_id for r in got) == Counter([None, 1, 2, 3, 3, 4, 5, 6])
+        if name == "mixing":
+            assert all(r.text and r._n == "clash" for r in got)
+
+
 def test_run_is_the_stages(spark):
     out = corpus_pipeline.run(spark, SF)
     assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and out.count() > 50
