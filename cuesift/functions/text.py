@@ -32,7 +32,9 @@ def best_line_match(query: Column, lines: Column) -> Column:
     q = strip(F.lower(query))
     clean = F.transform(lines, lambda t: strip(F.lower(t)))
     found = F.exists(clean, lambda t: F.contains(t, q))
-    best = F.array_max(F.transform(clean, lambda t: similarity(q, t)))
+    # a similarity is at most the shorter length over the longer, so most lines needn't be compared
+    bound = lambda t: F.try_divide(F.least(F.length(q), F.length(t)), F.greatest(F.length(q), F.length(t)))
+    best = F.aggregate(clean, F.lit(0.0), lambda most, t: F.when(bound(t) <= most, most).otherwise(F.greatest(most, similarity(q, t))))
     return F.when(F.size(lines) <= 0, F.lit(0.0)).when(found, F.lit(1.0)).otherwise(F.coalesce(best, F.lit(0.0)))
 
 
