@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuesift.llm.bpe import read_ranks, round_trip
-from cuesift.llm.lines import dedup_lines
+from cuesift.llm.lines import dedup_lines, like_lines, whole_lines
 from cuesift.llm.mixing import curriculum
 from cuesift.llm.near_dup import near_duplicates
 from cuesift.llm.storage import written
@@ -29,7 +29,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, each group of like lines kept at its first place only."""
-    return dedup_lines(docs)
+    return dedup_lines(docs, grouping=like_lines, cut=whole_lines)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ import public_tokenizers
 
 from cuesift.llm.bpe import read_ranks, round_trip
 from cuesift.llm.labelled import fold
-from cuesift.llm.lines import line_groups
+from cuesift.llm.lines import like_lines
 from cuesift.llm.matroska import stored_texts
 from cuesift.llm.mixing import TAKEN_SQL, taken
 from cuesift.llm.near_dup import near_duplicates
@@ -43,7 +43,7 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_groups(_documents(spark, sf_dir))
+    return like_lines(_documents(spark, sf_dir))
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

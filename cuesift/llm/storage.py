@@ -8,6 +8,7 @@ The folder is the session's ``spark.checkpoint.dir``; only where that is unset
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -48,6 +49,12 @@ def remove(df: DataFrame) -> None:
     _delete(df.sparkSession, df._path)
 
 
+def drop_shuffles(spark: SparkSession) -> None:
+    """Have Spark delete the shuffle files of plans that nothing refers to, else they wait for the driver's next full collection."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     jvm = spark._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
