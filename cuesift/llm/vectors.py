@@ -18,12 +18,27 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from cuesift.llm.components import connected_components
-from cuesift.llm.storage import remove, written
+from cuesift.llm.storage import drop_shuffles, remove, written
 
 PASSES, WINDOW, BITS = 12, 128, 60
 THRESHOLD = 0.9
+#: Chance that a pair at the threshold is found, by which passes beyond ``PASSES`` are added as vectors grow.
+RECALL = 0.999
 #: Vectors of a component in a block, and sorted rows to a partition of a pass at least.
 BLOCK, PARTITION_ROWS = 1024, 4096
+#: Passes in one exchange.
+AT_ONCE = 12
+
+
+def passes_for(count: int, threshold: float = THRESHOLD, window: int = WINDOW, least: int = PASSES, recall: float = RECALL) -> int:
+    """Passes after which a pair at ``threshold`` among ``count`` vectors has been neighbours with a chance of ``recall``.
+
+    A pair is in one window if it agrees on the first signs that part the vectors into runs
+    of the window's length; it agrees on a sign with a chance of 1 - angle / pi.
+    """
+    agree = 1 - np.arccos(np.clip(threshold, -1, 1)) / np.pi
+    found = agree ** max(0.0, np.log2(max(count, 1) / window))
+    return least if found >= 1 else max(least, int(np.ceil(np.log(1 - recall) / np.log1p(-found))))
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -35,14 +50,14 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def _hashed(passes: int, dim: int, seed: int):
+def _hashed(passes: range, dim: int, seed: int):
     """id, embedding -> a row per pass with the projections' signs as a number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.int64(1) << np.arange(BITS - 1, -1, -1, dtype=np.int64)
         for batch in batches:
             x = _matrix(batch["embedding"])
-            for p in range(passes):
+            for p in passes:
                 planes = np.random.default_rng([seed, p, dim]).standard_normal((dim, BITS))
                 key = ((x @ planes) >= 0) @ bits
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), p, np.int32)), pa.array(key), batch["id"], batch["embedding"]], names=["turn", "key", "id", "embedding"])
@@ -149,7 +164,8 @@ def embedding_groups(vectors: DataFrame, threshold: float = THRESHOLD, passes: i
     Equal embeddings are one item with a number of copies. A pass sorts all items;
     links across the borders of its partitions are looked for in a second step. A cosine
     of 0.9 agrees on a sign with a chance of 0.86, so a pair is neighbours in one of the passes with
-    a chance that grows with its cosine; no link below the threshold is ever made.
+    a chance that grows with its cosine; ``passes`` are the least number, and
+    ``passes_for`` adds to them by the number of vectors; no link below the threshold is ever made.
     n_links are exact within a component.
 
     Null embeddings, those with null or non-finite components and zero vectors link with
@@ -164,15 +180,21 @@ def embedding_groups(vectors: DataFrame, threshold: float = THRESHOLD, passes: i
     edges, scratch = None, [items]
     for row in items.groupBy("dim").count().collect():  # one round for each length of vector
         some = items.where(F.col("dim") == row["dim"]).select("id", "embedding")
-        keyed = some.mapInArrow(_hashed(passes, row["dim"], seed), f"turn int, key bigint, id bigint, embedding {kind_name}")
-        parts = max(1, min(row["count"] * passes // PARTITION_ROWS, 100_000))
-        ordered = keyed.repartitionByRange(parts, "turn", "key", "id").sortWithinPartitions("turn", "key", "id")
         kind = to_arrow_type(vectors.schema["embedding"].dataType)
-        found = written(ordered.mapInArrow(_windows(window, threshold, kind), _FOUND.format(kind=kind_name)), "found")
-        border = found.where("border >= 0").groupBy("border").applyInArrow(_border(window, threshold), "u bigint, v bigint")
-        here = found.where("border < 0").select("u", "v").unionByName(border)
-        edges = here if edges is None else edges.unionByName(here)
-        scratch.append(found)
+        turns = passes_for(row["count"], threshold, window, passes)
+        for first in range(0, turns, AT_ONCE):  # passes that are sorted together, so that the disk holds copies for no more
+            some_turns = range(first, min(first + AT_ONCE, turns))
+            keyed = some.mapInArrow(_hashed(some_turns, row["dim"], seed), f"turn int, key bigint, id bigint, embedding {kind_name}")
+            parts = max(1, min(row["count"] * len(some_turns) // PARTITION_ROWS, 100_000))
+            ordered = keyed.repartitionByRange(parts, "turn", "key", "id").sortWithinPartitions("turn", "key", "id")
+            found = written(ordered.mapInArrow(_windows(window, threshold, kind), _FOUND.format(kind=kind_name)), "found")
+            border = found.where("border >= 0").groupBy("border").applyInArrow(_border(window, threshold), "u bigint, v bigint")
+            links = written(found.where("border < 0").select("u", "v").unionByName(border).distinct(), "links")
+            edges = links if edges is None else edges.unionByName(links)
+            remove(found)
+            scratch.append(links)
+            del keyed, ordered, border
+            drop_shuffles(vectors.sparkSession)
     if edges is None:
         label = items.select("id", F.col("id").alias("label"))
         n = items.select("id", F.lit(0).cast("long").alias("n")).where("false")
