@@ -125,61 +125,54 @@ SIGNS = re.compile(r"[\x00-/:-@\[-`{-\x7f]+")
 
 
 def line_parts(text):
-    return re.findall(rf"[^\n]{{1,{lines.PIECE_CHARS}}}\n?|\n", text or "")
+    return re.findall(r"[^\n]+\n?|\n", text or "")
 
 
-def brute_lines(spark, rows, min_words=5, percent=80):
-    """All pairs: forms within a block's reach and the edit distance."""
-    import xxhash
-
-    signed = lambda x: x - 2**64 if x >= 2**63 else x
-    occurrences = defaultdict(list)
+def brute_lines(rows, percent=80):
+    """All pairs of distinct forms by edit distance in characters: (links, the places of each form)."""
+    places = defaultdict(list)
     for doc, text in rows:
         for n, part in enumerate(line_parts(text)):
-            form = SIGNS.sub(" ", part.lower()).strip(" ")
-            if len(form.split(" ")) >= min_words:
-                occurrences[form].append((doc, n))
-    second = {r.x: r.y for r in spark.createDataFrame([(signed(xxhash.xxh64(w.encode(), seed=42).intdigest()),) for f in occurrences for w in f.split(" ")], "x long").select("x", F.xxhash64("x").alias("y")).distinct().collect()}
-
-    def blocks(form):
-        w = list(dict.fromkeys(form.split(" ")))
-        x = [signed(xxhash.xxh64(a.encode(), seed=42).intdigest()) for a in w]
-        out = []
-        for h in (x, [second[a] for a in x]):
-            bits = sum(1 << i for i in range(64) if 2 * sum(a >> i & 1 for a in h) > len(h))
-            out += [bits >> 32, bits & 0xFFFFFFFF]
-        return out
-
-    def edits(a, b):
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            last, row = row, [i]
-            for j, y in enumerate(b, 1):
-                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
-        return row[-1]
-
-    forms = list(occurrences)
-    key = {f: blocks(f) for f in forms}
-    link = []
-    for n, a in enumerate(forms):
-        for b in forms[:n]:
-            if any(x == y for x, y in zip(key[a], key[b], strict=True)):
-                u, v = a.split(" "), b.split(" ")
-                if edits(u, v) <= max(len(u), len(v)) * (100 - percent) // 100:
-                    link.append((a, b))
-    parent = {f: f for f in forms}
+            if form := SIGNS.sub(" ", part.lower()).strip(" "):
+                places[form].append((doc, n))
+    # DuckDB compares bytes: every other character gets a byte that no form has
+    strange = sorted({x for f in places for x in f if ord(x) > 127})
+    spare = [chr(x) for x in (*range(1, 32), *range(33, 48), *range(58, 65), *range(91, 97), *range(123, 128))]
+    assert len(strange) <= len(spare)
+    table = str.maketrans(dict(zip(strange, spare, strict=False)))
+    forms = list(places)
+    c = duckdb.connect()
+    c.register("f", pa.table({"i": np.arange(len(forms)), "t": [x.translate(table) for x in forms], "n": [len(x) for x in forms]}))
+    found = c.sql(f"""SELECT a.i, b.i FROM f a JOIN f b ON a.i < b.i AND abs(a.n - b.n) * 100 <= greatest(a.n, b.n) * {100 - percent}
+                      WHERE levenshtein(a.t, b.t) * 100 <= greatest(a.n, b.n) * {100 - percent}""").fetchall()
+    return [(forms[i], forms[j]) for i, j in found], places
+
+
+def check_groups(spark, rows, most_missed):
+    """Groups only join what links join, and few links are missed; keepers are the first places."""
+    got = {(r.doc_id, r.line_no): ((r.keeper_doc_id, r.keeper_line_no), r.kept) for r in lines.like_lines(spark.createDataFrame(rows, SCHEMA)).collect()}
+    links, places = brute_lines(rows)
+    assert set(got) == {x for at in places.values() for x in at}
+    parent = {f: f for f in places}
 
     def root(x):
         while parent[x] != x:
             x = parent[x]
         return x
 
-    for a, b in link:
+    for a, b in links:
         parent[root(a)] = root(b)
-    first = {}
-    for f in forms:
-        first[root(f)] = min(first.get(root(f), (float("inf"), 0)), min(occurrences[f]))
-    return {o: first[root(f)] for f in forms for o in occurrences[f]}, link
+    members = defaultdict(set)
+    for f, at in places.items():
+        keeper = {got[x][0] for x in at}
+        assert len(keeper) == 1  # equal lines are in one group
+        members[keeper.pop()].add(f)
+    for keeper, forms in members.items():
+        assert len({root(f) for f in forms}) == 1 and keeper == min(x for f in forms for x in places[f])
+    assert all(kept == (x == keeper) for x, (keeper, kept) in got.items())
+    long = [(a, b) for a, b in links if min(len(a), len(b)) >= lines.MIN_CHARS]
+    assert sum(got[places[a][0]][0] != got[places[b][0]][0] for a, b in long) <= most_missed * len(long)
+    return len(long)
 
 
 def line_corpus():
@@ -199,40 +192,49 @@ def line_corpus():
     return rows
 
 
-def test_line_groups_are_those_of_all_pairs(spark):
-    rows = line_corpus()
-    got = {(r.doc_id, r.line_no): ((r.keeper_doc_id, r.keeper_line_no), r.kept) for r in lines.line_groups(spark.createDataFrame(rows, SCHEMA)).collect()}
-    expect, link = brute_lines(spark, rows)
-    assert link and {k: v[0] for k, v in got.items()} == expect
-    assert all(kept == (k == keeper) for k, (keeper, kept) in got.items())
+def test_line_groups_against_all_pairs(spark):
+    # its words share a stem, so lines with a third of their words replaced link too, and some of those are missed
+    assert check_groups(spark, line_corpus(), 0.2) > 100
 
 
-def test_supplied_lines_match_all_pairs(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    got = {(r.doc_id, r.line_no): (r.keeper_doc_id, r.keeper_line_no) for r in lines.line_groups(docs).collect()}
-    assert got == brute_lines(spark, [(r.doc_id, r.text) for r in docs.collect()])[0]
+def test_supplied_lines_against_all_pairs(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    assert check_groups(spark, [(r.doc_id, r.text) for r in docs], 0.1) > 10
 
 
 def test_dedup_lines_keeps_texts_but_for_dropped_lines(spark):
     rows = line_corpus()
     df = spark.createDataFrame(rows, SCHEMA).withColumn("n_chars", F.length("text")).withColumn("h", F.lit("clash"))
-    keeper = brute_lines(spark, rows)[0]
+    kept = {(r.doc_id, r.line_no): r.kept for r in lines.like_lines(df).collect()}
+    assert not all(kept.values())
     out = {r.doc_id: r for r in lines.dedup_lines(df).collect()}
     for doc, text in rows:
-        left = "".join(p for n, p in enumerate(line_parts(text)) if keeper.get((doc, n), (doc, n)) == (doc, n))
+        left = "".join(p for n, p in enumerate(line_parts(text)) if kept.get((doc, n), True))
         assert out[doc].text == left and out[doc].n_chars == len(left) and out[doc].h == "clash"
 
 
-def test_lines_plan_has_no_python(spark):
-    plan = lines.fingerprints(spark.createDataFrame(ODD, SCHEMA))._jdf.queryExecution().executedPlan().toString()
-    assert not re.search("Python|Pandas|Arrow", plan)
+def test_lines_run_without_python(spark):
+    """No plan of the whole operator, written tables included, has a Python node."""
+    plans = []
+    original = lines.written
+
+    def spied(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return original(df, name)
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(lines, "written", spied)
+        patch.setattr("cuesift.llm.components.written", spied)
+        out = lines.like_lines(spark.createDataFrame(line_corpus(), SCHEMA))
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) > 10 and not any(re.search("Python|Pandas|Arrow", p) for p in plans)
 
 
 def test_lines_of_odd_documents(spark):
-    assert {r.kept for r in lines.line_groups(odd(spark)).where("doc_id = 4 or doc_id = 6").collect()} <= {True}
+    assert {r.kept for r in lines.like_lines(odd(spark)).where("doc_id = 4 or doc_id = 6").collect()} <= {True}
     kept = lines.dedup_lines(odd(spark)).orderBy("doc_id").collect()
     assert sorted((str(r.doc_id), r.text) for r in kept if r.text) == sorted((str(i), t) for i, t in ODD if t)
-    assert lines.line_groups(spark.createDataFrame([], SCHEMA)).count() == 0
+    assert lines.like_lines(spark.createDataFrame([], SCHEMA)).count() == 0
     big = "\n".join(["alpha beta gamma delta epsilon zeta"] * 3 + ["x y"])
     got = lines.dedup_lines(spark.createDataFrame([(1, big), (2, "Alpha, beta gamma; DELTA epsilon zeta.")], SCHEMA)).collect()
     assert {r.doc_id: r.text for r in got} == {1: "alpha beta gamma delta epsilon zeta\nx y", 2: ""}
