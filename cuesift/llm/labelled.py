@@ -19,25 +19,26 @@ def fold(doc_id: Column, n: int) -> Column:
 
 
 def _sampled(docs: DataFrame, labels: DataFrame, label: str, max_rows: int, max_bytes: int) -> DataFrame:
-    """(text, y) of at most ``max_rows`` labelled rows outside fold 2 of 4, whole texts, in one sorted partition.
+    """(text, y) of at most ``max_rows`` labelled documents outside fold 2 of 4, whole texts, in one sorted partition.
 
-    Rows are taken in the order of a hash of the id until ``max_rows`` or ``max_bytes`` is
-    reached, whichever is first, so the sample is uniform and what the fit and
-    the model hold is bounded at any size of input. Null labels are left out.
+    Labels meet their documents first; of rows that repeat an id with one label the shortest text counts, once. They are
+    taken in the order of a hash of the id, at most ``max_rows``; a text that would
+    go beyond ``max_bytes`` is passed over and shorter ones after it are still taken. So the sample is bounded
+    at any size of input, repeated ids and long texts included. Null labels are left out.
     """
-    rows = labels.select("doc_id", F.col(label).cast("int").alias("y")).where("y is not null and doc_id is not null").where(fold(F.col("doc_id"), 4) != 2)
-    rows = rows.distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(max_rows)
-    found = docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id")
-    sized = found.select("doc_id", "y", F.coalesce(F.octet_length("text"), F.lit(0)).alias("n")).orderBy(F.xxhash64("doc_id"), "doc_id", "y", "n").limit(max_rows).collect()
-    total, ids = 0, []
-    for row in sized:
-        total += row["n"]
-        if total > max_bytes and ids:
-            break
-        ids.append((row["doc_id"], row["y"]))
-    chosen = F.broadcast(docs.sparkSession.createDataFrame(ids, rows.schema).distinct())
-    got = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(chosen, "doc_id").repartition(1)
-    return got.sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", "y", "text").select("text", "y")
+    rows = labels.select("doc_id", F.col(label).cast("int").alias("y")).where("y is not null and doc_id is not null").where(fold(F.col("doc_id"), 4) != 2).distinct()
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    size = F.struct(F.octet_length("text").cast("long").alias("n"), F.xxhash64("text").alias("h"))
+    met = texts.select("doc_id", size.alias("s")).join(rows, "doc_id").groupBy("doc_id", "y").agg(F.min("s").alias("s")).select("doc_id", "y", "s.*")
+    order = [F.xxhash64("doc_id"), F.col("doc_id"), F.col("y")]
+    total, chosen = 0, []
+    for row in met.where(F.col("n") <= max_bytes).orderBy(*order).limit(max_rows).collect():  # ids and sizes, max_rows of them
+        if total + row["n"] <= max_bytes:
+            total += row["n"]
+            chosen.append((row["doc_id"], row["y"], row["n"], row["h"]))
+    few = F.broadcast(docs.sparkSession.createDataFrame(chosen, met.schema))
+    got = texts.withColumns({"n": F.octet_length("text").cast("long"), "h": F.xxhash64("text")}).join(few, ["doc_id", "n", "h"])
+    return got.groupBy("doc_id", "y").agg(F.min("text").alias("text")).repartition(1).sortWithinPartitions(*order).select("text", "y")
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> list[tuple[str, int]]:
