@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
@@ -161,7 +161,7 @@ def embedding_groups(vectors: DataFrame, threshold: float = THRESHOLD, passes: i
     any names): vec_id, n_links (other vectors it links with directly), component_id (smallest
     vec_id reachable), kept (vec_id = component_id).
 
-    Equal embeddings are one item with a number of copies. A pass sorts all items;
+    Equal embeddings (compared themselves, not by hash) are one item with a number of copies. A pass sorts all items;
     links across the borders of its partitions are looked for in a second step. A cosine
     of 0.9 agrees on a sign with a chance of 0.86, so a pair is neighbours in one of the passes with
     a chance that grows with its cosine; ``passes`` are the least number, and
@@ -175,8 +175,12 @@ def embedding_groups(vectors: DataFrame, threshold: float = THRESHOLD, passes: i
     good = "embedding is not null and vec_id is not null and size(embedding) > 0 and not exists(embedding, x -> x is null or isnan(x) or abs(x) = double('infinity')) and exists(embedding, x -> x != 0)"
     src = vectors.select("vec_id", "embedding").withColumn("item", F.expr(f"case when {good} then xxhash64(embedding) end"))
     kind_name = vectors.schema["embedding"].dataType.simpleString()
-    items = src.where("item is not null").groupBy("item").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"), F.first("embedding").alias("embedding"))
-    items = written(items.withColumnRenamed("item", "id").withColumn("dim", F.size("embedding")), "items")
+    items = src.where("item is not null").groupBy("item", "embedding").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"))
+    # unlike embeddings that share a hash are numbered, so that no link rests on a hash alone
+    same = Window.partitionBy("item")
+    items = items.withColumn("_n", F.row_number().over(same.orderBy("embedding"))).withColumn("clash", F.count("*").over(same) > 1)
+    items = items.withColumn("id", F.when(F.col("_n") == 1, F.col("item")).otherwise(F.xxhash64("item", "_n"))).drop("_n")
+    items = written(items.withColumn("dim", F.size("embedding")), "items")
     edges, scratch = None, [items]
     for row in items.groupBy("dim").count().collect():  # one round for each length of vector
         some = items.where(F.col("dim") == row["dim"]).select("id", "embedding")
@@ -205,11 +209,13 @@ def embedding_groups(vectors: DataFrame, threshold: float = THRESHOLD, passes: i
         of = of.join(items.select("id", "copies", "embedding"), "id").withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         of = of.select("label", "id", "copies", "embedding", "block", F.least("block", "k").alias("i"), F.greatest("block", "k").alias("j"))
         n = of.groupBy("label", "i", "j").applyInArrow(_counted(threshold), "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
-    named = items.select("id", "least", "copies").join(label, "id", "left").withColumn("label", F.coalesce("label", "id")).join(n, "id", "left")
+    told = F.when(F.col("clash"), F.col("embedding")).alias("told")
+    named = items.select("id", "item", "least", "copies", told).join(label, "id", "left").withColumn("label", F.coalesce("label", "id")).join(n, "id", "left")
     least = named.groupBy("label").agg(F.min("least").alias("component_id"))
-    named = written(named.join(least, "label").select(F.col("id").alias("item"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id"), "named")
+    named = written(named.join(least, "label").select("item", "told", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id"), "named")
     for x in scratch:
         remove(x)
-    out = src.select("vec_id", "item").join(named, "item", "left")
+    src = src.withColumnRenamed("item", "_item")
+    out = src.join(named, (F.col("_item") == F.col("item")) & (F.col("told").isNull() | (F.col("told") == F.col("embedding"))), "left")
     out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
