@@ -2,7 +2,7 @@
 
 A written table survives the loss of any executor, unlike a local checkpoint.
 The folder is the session's ``spark.checkpoint.dir``; only where that is unset
-(local runs and tests) a folder of our own is made.
+on a local master (tests) a folder of our own is made, elsewhere its absence is an error.
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, without a trailing slash."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         if "dir" not in _own:
             _own["dir"] = "file://" + tempfile.mkdtemp(prefix="cuesift-")
         at = _own["dir"]

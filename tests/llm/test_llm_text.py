@@ -88,6 +88,15 @@ def test_sample_is_bounded_and_leaves_a_fold_out(spark):
     got = sample(docs, labels, "toxic")
     assert sorted(int(t) for t, _ in got) == [i for i in range(200) if zlib.crc32(str(i).encode()) % 4 != 2]
     assert sum(len(t) for t, _ in sample(docs, labels, "toxic", max_bytes=20)) <= 20
+    repeated = spark.createDataFrame([(0, "same")] * 5_000 + [(0, "longer text")], SCHEMA)
+    assert sample(repeated, labels.where("doc_id = 0"), "toxic", 10, 100) == [("same", 0)]
+    # a text beyond the bound is passed over, wherever it comes
+    long = docs.withColumn("text", F.when(F.col("doc_id") % 10 == 0, F.repeat(F.lit("x"), 5_000)).otherwise(F.lit("short")))
+    got = sample(long, labels, "toxic", 200, 1_000)
+    assert len(got) == sum(i % 10 > 0 and zlib.crc32(str(i).encode()) % 4 != 2 for i in range(200))
+    # labels without documents take no place
+    many = labels.select((F.col("doc_id") + 1_000).alias("doc_id"), "toxic").unionByName(labels)
+    assert len(sample(docs, many, "toxic", 150)) == len(sample(docs, labels, "toxic", 150))
 
 
 def test_quality_votes_are_those_of_all_cosines(spark):
@@ -369,17 +378,17 @@ def tokens_of(text):
     return [*re.findall("[^\x20\x09-\x0d]+", (text or "").translate(low)), None]
 
 
-def brute_tree(rows, p_min):
+def brute_tree(rows, depth=suffix_tree.DEPTH, per_depth=suffix_tree.NODES):
     """Scores by dictionaries of strings, from the definitions."""
     held = lambda i: i is None or zlib.crc32(str(i).encode()) % 10 == 0
     learn = [tokens_of(t) for i, t in rows if not held(i)]
     c1 = Counter(w for x in learn for w in x)
     n, v, singles = sum(c1.values()), len(c1), sum(c == 1 for c in c1.values())
-    least = max(suffix_tree.LEAST, p_min * n)
-    c2 = Counter((a, b) for x in learn for a, b in zip(x, x[1:], strict=False))
-    c2 = {k: c for k, c in c2.items() if c >= least and c1[k[0]] >= least and c1[k[1]] >= least}
-    c3 = Counter((a, b, c) for x in learn for a, b, c in zip(x, x[1:], x[2:], strict=False))
-    c3 = {k: c for k, c in c3.items() if c >= least and k[:2] in c2 and k[1:] in c2}
+    least = max(suffix_tree.LEAST, n ** (2 / 3) / per_depth)
+    tables = [{(w,): c for w, c in c1.items() if c >= least}]  # strings of 1, 2, ... words
+    for length in range(2, depth + 2):
+        c = Counter(tuple(x[i : i + length]) for x in learn for i in range(len(x) - length + 1))
+        tables.append({k: m for k, m in c.items() if m >= least and k[:-1] in tables[-1] and k[1:] in tables[-1]})
     unknown = (singles + 0.5) / (n + 1)
     root = lambda w: (1 - unknown) * c1[w] / n if c1[w] else unknown
     nodes = {}
@@ -401,20 +410,20 @@ def brute_tree(rows, p_min):
         p, rest = nodes[context]
         return p[w] if w in p else rest * prob(context[1:], w)
 
-    for length, table, totals in ((1, c2, c1), (2, c3, c2)):
+    for length in range(1, depth + 1):
         by = defaultdict(dict)
-        for k, c in table.items():
+        for k, c in tables[length].items():
             by[k[:-1]][k[-1]] = c
         for context, listed in by.items():
             if length == 1 or context[1:] in nodes:
-                add(context, totals[context if length > 1 else context[0]], listed, lambda w, context=context: prob(context[1:], w))
+                add(context, tables[length - 1][context], listed, lambda w, context=context: prob(context[1:], w))
     out = {}
     for i, t in rows:
         x = tokens_of(t)
         base = sum(math.log10((c1[w] + 0.1) / (n + 0.1 * (v + 1))) for w in x)
         score = 0.0
         for at, w in enumerate(x):
-            context = tuple(x[max(0, at - 2) : at])
+            context = tuple(x[max(0, at - depth) : at])
             while context and context not in nodes:
                 context = context[1:]
             score += math.log10(prob(context, w))
@@ -424,26 +433,44 @@ def brute_tree(rows, p_min):
 
 def test_tree_scores_are_those_of_dictionaries(spark):
     rng = random.Random(5)
-    after = {(a, b): rng.choice("abcdefgh") for a in "abcdefgh" for b in "abcdefgh"}  # two words tell the next
+    letters = "abcde"
+    after = {(a, b, c): rng.choice(letters) for a in letters for b in letters for c in letters}  # three words tell the next
     rows = []
     for i in range(400):
-        w = [rng.choice("abcdefgh"), rng.choice("abcdefgh")]
+        w = [rng.choice(letters) for _ in range(3)]
         for _ in range(rng.randint(0, 40)):
-            free = rng.choice(["x", "Y", f"rare{rng.randrange(500)}", *"abcdefgh"])
-            w.append(after.get((w[-2], w[-1]), free) if rng.random() < 0.7 else free)
+            free = rng.choice(["x", "Y", f"rare{rng.randrange(500)}", *letters])
+            w.append(after.get(tuple(w[-3:]), free) if rng.random() < 0.7 else free)
         rows.append((i, " ".join(w)))
-    expect, nodes = brute_tree(rows, 1e-4)
-    assert {len(k) for k in nodes} == {1, 2}
-    got = {r.doc_id: tuple(r)[1:] for r in suffix_tree.suffix_tree_scores(spark.createDataFrame(rows, SCHEMA), 1e-4).collect()}
+    expect, nodes = brute_tree(rows)
+    assert {len(k) for k in nodes} == {1, 2, 3}
+    got = {r.doc_id: tuple(r)[1:] for r in suffix_tree.suffix_tree_scores(spark.createDataFrame(rows, SCHEMA)).collect()}
     for i, e in expect.items():
         assert got[i][:4] == e[:4] and got[i][4] == pytest.approx(e[4]) and got[i][5] == pytest.approx(e[5])
     unseen = [i for i in got if got[i][0]]
     assert sum(got[i][5] for i in unseen) > sum(got[i][4] for i in unseen)
 
 
+def test_tree_grows_with_the_corpus(spark):
+    """Ten times the tokens of one source gather more strings, not the same number."""
+    rng = random.Random(9)
+    words = [f"w{int(rng.paretovariate(0.6))}" for _ in range(30_000)]
+    sizes = []
+    for n in (3_000, 30_000):
+        rows = [(k, " ".join(words[k : k + 100])) for k in range(0, n, 100)]
+        docs = spark.createDataFrame(rows, SCHEMA)
+        grown = []
+        with pytest.MonkeyPatch.context() as patch:
+            original = suffix_tree.grow
+            patch.setattr(suffix_tree, "grow", lambda *a, original=original, grown=grown: grown.append(original(*a)) or grown[0])
+            suffix_tree.suffix_tree_scores(docs)
+        sizes.append(sum(len(level.keys) for level in grown[0].levels))
+    assert sizes[1] > 2 * sizes[0] > 0
+
+
 def test_tree_on_odd_documents(spark):
     got = suffix_tree.suffix_tree_scores(odd(spark)).collect()
-    expect, _ = brute_tree([r for r in ODD if r[0] != 4] + [(4, ODD[4][1]), (4, ODD[4][1])], 3e-5)
+    expect, _ = brute_tree([r for r in ODD if r[0] != 4] + [(4, ODD[4][1]), (4, ODD[4][1])])
     assert len(got) == len(ODD)
     for r in got:
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == expect[r.doc_id][:4]
