@@ -255,9 +255,8 @@ def test_lines_of_odd_documents(spark):
 def mix_tables(spark, rows):
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     c = duckdb.connect()
-    frame = docs.toPandas()
-    c.register("frame", frame)
-    c.sql("create view documents as select doc_id::BIGINT as doc_id, text, source from frame")
+    ids, texts, sources = zip(*rows, strict=True)
+    c.register("documents", pa.table({"doc_id": pa.array(ids, pa.int64()), "text": pa.array(texts, pa.string()), "source": pa.array(sources, pa.string())}))
     return docs, [tuple(r) for r in c.sql(mixing.TAKEN_SQL).fetchall()]
 
 
@@ -308,14 +307,38 @@ def test_curriculum_orders_passes_by_inverted_demand(spark):
     assert position == sorted(position) and 0 <= position[0] and position[-1] <= 1
     again = mixing.curriculum(docs, F.when(F.col("source") == "a", 3.0).otherwise(0.0), F.when(F.col("source") == "a", 1.0).otherwise(2.0)).collect()
     assert [(r.doc_id, r.position) for r in out] == [(r.doc_id, r.position) for r in again]
-    for source, start, end in (("a", 3.0, 1.0), ("b", 0.0, 2.0)):
+    # tilts -0.5 and 1 have the mean 0.5 by target; less that they are -1 and 0.5
+    for source, slope in (("a", -1.0), ("b", 0.5)):
         t = np.array([r.position for r in out if r.source == source])
-        for at in (0.25, 0.5, 0.75):  # the share of a source's words by a time is its weight's integral
-            assert (t <= at).mean() == pytest.approx((start * at + (end - start) * at * at / 2) / ((start + end) / 2), abs=0.02)
+        for at in (0.25, 0.5, 0.75):  # the share of a source's words by a time is its schedule's integral
+            assert (t <= at).mean() == pytest.approx(at + slope * (at * at - at), abs=0.02)
     taken = {r.doc_id: r.taken for r in mixing.taken(docs).collect()}
     assert Counter(r.doc_id for r in out) == {i: n // 10 for i, n in taken.items() if n}
 
 
+def test_shares_follow_their_schedules(spark):
+    """Positions are training progress, and each source's share at any time is the stated straight line."""
+    rows = [(i, "w " * 10, "abc"[i % 3]) for i in range(3_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = mixing.curriculum(docs).collect()
+    part = Counter((min(4, int(r.position * 5)), r.source) for r in out)
+    aim = {r.source: r.target for r in mixing.targets(spark.createDataFrame([(s, 10_000) for s in "abc"], "source string, source_size long")).collect()}
+    share = {s: v / sum(aim.values()) for s, v in aim.items()}
+    mean = sum(share[s] * t for s, t in (("a", 0.5), ("b", 0.0), ("c", -0.5)))
+    for fifth in range(5):
+        n = sum(part[fifth, s] for s in "abc")
+        assert n == pytest.approx(len(out) / 5, rel=0.02)
+        for s, tilt in (("a", 0.5), ("b", 0.0), ("c", -0.5)):
+            assert part[fifth, s] / n == pytest.approx(share[s] * (1 + (tilt - mean) * (2 * (fifth + 0.5) / 5 - 1)), abs=0.01)
+
+
+def test_mix_of_null_and_repeated_ids(spark):
+    rows = [(None, f"a b c {i}", "x") for i in range(50)] + [(7, "same text here", "x")] * 50 + [(7, "other", "y")] * 3 + [(None, None, None)] * 3
+    docs, expect = mix_tables(spark, rows)
+    got = mixing.taken(docs.withColumns({"taken": F.lit("clash"), "position": F.lit(1), "_row": F.lit(2)})).collect()
+    assert key([tuple(r) for r in got]) == key(expect) and len(got) == len(rows)
+
+
 def test_mixing_odd_documents(spark):
     docs, expect = mix_tables(spark, [(i, t, s) for (i, t), s in zip(ODD, ["a", None, "b", "a", "c", "c", None, "a"], strict=True)])
     assert key([tuple(r) for r in mixing.taken(docs).collect()]) == key(expect)
