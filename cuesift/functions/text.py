@@ -40,7 +40,7 @@ def best_line_match(query: Column, lines: Column) -> Column:
 
 def variations(phrase: Column) -> Column:
     """A phrase's forms for a detector: itself, singular or plural, its last word, and that one's plural."""
-    last = F.element_at(F.split(phrase, r"\s+"), -1)
+    last = F.try_element_at(F.regexp_extract_all(phrase, F.lit(r"\S+"), F.lit(0)), F.lit(-1))
     n = F.length(phrase)
     other = F.when(F.endswith(phrase, F.lit("es")), F.substring(phrase, F.lit(1), n - 2)).when(F.endswith(phrase, F.lit("s")), F.substring(phrase, F.lit(1), n - 1)).otherwise(F.concat(phrase, F.lit("s")))
     many = word_count(phrase) > 1
@@ -51,11 +51,14 @@ def variations(phrase: Column) -> Column:
 def short_match(query: Column, text: Column) -> Column:
     """Of a query of one or two words with spoken text: contained 1; else words alike, word by word, if at least 0.5.
 
+    The query is parted at white space, the text into runs of a-z, 0-9 and apostrophes.
+
+
     With two words the worst word's best match counts; where that fails, the whole query against single words.
     """
     q, t = strip(F.lower(query)), strip(F.lower(text))
     words = F.regexp_extract_all(t, F.lit("[a-z0-9']+"), F.lit(0))
-    parts = F.regexp_extract_all(q, F.lit("[a-z0-9']+"), F.lit(0))
+    parts = F.regexp_extract_all(q, F.lit(r"\S+"), F.lit(0))
     best = lambda w: F.array_max(F.transform(words, lambda v: similarity(w, v, 0.0)))
     worst = F.array_min(F.transform(parts, best))
     whole = best(q)

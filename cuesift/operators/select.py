@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
 
-from cuesift.config import SelectionConfig
+from cuesift.config import ChoiceRules
 
 
 class Strategy(Protocol):
@@ -95,7 +95,7 @@ def _prominence(x: np.ndarray, p: int) -> float:
 class PeaksAndSpread:
     """Peaks first, then good neighbours of each, then what scores best of the rest.
 
-    With k frames: int(sqrt k) peaks of falling prominence threshold, max(0, int(sqrt k / 2) - 1) extra
+    With k frames: up to int(sqrt k) peaks, the prominence threshold being halved until there is one, max(0, int(sqrt k / 2) - 1) extra
     frames around each. Fewer than 8 frames are plain top-k.
     """
 
@@ -116,7 +116,7 @@ class PeaksAndSpread:
         peaks = np.zeros(0, int)
         for _ in range(self.TRIES):
             peaks = find_peaks(x, distance, need)
-            if len(peaks) >= want:
+            if len(peaks):
                 break
             need /= 2
         chosen: dict[int, str] = {}
@@ -135,12 +135,12 @@ class PeaksAndSpread:
         return list(chosen)[:k], list(chosen.values())[:k]
 
 
-def create_strategy(config: SelectionConfig | None = None, **options) -> Strategy:
-    config = config or SelectionConfig(**options)
+def create_strategy(config: ChoiceRules | None = None, **options) -> Strategy:
+    config = config or ChoiceRules(**options)
     if config.mode == "pass":
-        return PeaksAndSpread(config.peak_prominence)
+        return PeaksAndSpread(config.prominence)
     if config.mode == "score_ranked":
-        return ScoreRanked(config.min_gap, config.max_frames_per_window, config.window_seconds)
+        return ScoreRanked(config.gap, config.per_window, config.window)
     if config.mode in _STRATEGIES:
         return _STRATEGIES[config.mode](config)
     raise ValueError(f"unknown selection mode {config.mode!r}")
@@ -150,7 +150,7 @@ _STRATEGIES: dict = {}
 
 
 def register_strategy(name: str, make) -> None:
-    """``make(SelectionConfig) -> Strategy``"""
+    """``make(ChoiceRules) -> Strategy``"""
     _STRATEGIES[name] = make
 
 

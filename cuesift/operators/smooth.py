@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cuesift.config import EXPERTS, SmoothingConfig
+from cuesift.config import EXPERTS, SignalRules
 
 #: Widest kernel half that is written as lags; beyond it signals are gathered as arrays.
 MOST_LAGS = 24
@@ -29,11 +29,11 @@ def smooth(df: DataFrame, sigma: float, by: Sequence[str], score: str = "score",
     return _convolve(df, [(None, w)], by, score, out, order) if len(w) > 1 else df.withColumn(out, F.col(score))
 
 
-def smooth_by_expert(df: DataFrame, config: SmoothingConfig, fps: float, by: Sequence[str], score: str = "score", out: str = "score", order: str = "frame_idx") -> DataFrame:
+def smooth_by_expert(df: DataFrame, config: SignalRules, fps: float, by: Sequence[str], score: str = "score", out: str = "score", order: str = "frame_idx") -> DataFrame:
     """As ``smooth``, each row's width chosen by its expert, in one pass over all signals."""
-    if not config.enabled:
+    if not config.widths:
         return df.withColumn(out, F.col(score))
-    return _convolve(df, [(e, kernel(config.for_expert(e) * fps)) for e in EXPERTS] + [(None, kernel(config.visual_sigma * fps))], by, score, out, order)
+    return _convolve(df, [(e, kernel(config.width_of(e) * fps)) for e in EXPERTS] + [(None, kernel(config.width("visual") * fps))], by, score, out, order)
 
 
 def _weight(kernels: list[tuple[str | None, list[float]]], k: int) -> Column:

@@ -9,9 +9,9 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuesift.config import SelectorConfig, preset
+from cuesift.config import Settings, preset
 from cuesift.operators.normalize import normalize, normalize_joint
-from cuesift.operators.scorers import scorer
+from cuesift.operators.scorers import scorer, template_vectors
 from cuesift.operators.select import create_strategy, select
 from cuesift.operators.smooth import smooth_by_expert
 from cuesift.plans.compiler import MissingLeaf, compose, pivot
@@ -23,8 +23,16 @@ KEYS = ("video_id", "qid")
 
 @dataclass(frozen=True)
 class Question:
+    """A question's tree, for one video or (``video_id`` None) for all."""
+
     qid: str
     tree: Node
+    video_id: object = None
+
+
+def shape_of(tree: Node) -> str:
+    """The tree without its leaves' experts and queries: trees of one shape share a plan."""
+    return "." if tree.op == "LEAF" else f"{tree.op}({','.join(map(shape_of, tree.children))})"
 
 
 class FrameSelector:
@@ -34,10 +42,10 @@ class FrameSelector:
     {query: vector}}, OVD {"detections"}, OCR {"texts"}, ASR {"segments", "cosines" (optional)}.
     """
 
-    def __init__(self, config: SelectorConfig | None = None, parser: QueryParser | None = None, on_missing: str = "error"):
+    def __init__(self, config: Settings | None = None, parser: QueryParser | None = None, on_missing: str = "error"):
         if on_missing not in ("error", "drop"):
             raise ValueError("on_missing is 'error' or 'drop'")
-        self.config, self.parser, self.on_missing = config or SelectorConfig(), parser, on_missing
+        self.config, self.parser, self.on_missing = config or Settings(), parser, on_missing
 
     @classmethod
     def preset(cls, name: str, **options) -> FrameSelector:
@@ -46,12 +54,12 @@ class FrameSelector:
     def parse(self, qid: str, question: str, candidates: Iterable[str] | None = None) -> Question:
         if self.parser is None:
             raise ValueError("no parser was given")
-        audio = {e: self.config.is_expert_enabled(e) for e in ("ASR", "CLAP")}
-        return Question(qid, self.parser.parse(format_question(question, candidates), audio, self.config.llm_temperature))
+        audio = {e: self.config.enabled(e) for e in ("ASR", "CLAP")}
+        return Question(qid, self.parser.parse(format_question(question, candidates), audio, self.config.temperature))
 
     def bound(self, tree: Node) -> Node:
         """The tree with leaves of enabled experts only; what becomes of others says ``on_missing``."""
-        enabled = set(self.config.enabled_experts())
+        enabled = set(self.config.experts)
         if self.on_missing == "error":
             if off := [leaf.query for leaf in tree.leaves() if leaf.expert not in enabled]:
                 raise MissingLeaf(f"leaves of disabled experts: {off}")
@@ -63,12 +71,18 @@ class FrameSelector:
 
     def scores(self, grid: DataFrame, tree: Node, features: dict[str, dict], fps: float) -> DataFrame:
         """(video_id, frame_idx, expert, query, score): every expert scores its distinct queries in one pass."""
+        return self.scores_of(grid, {e: list(dict.fromkeys(q for _, q in leaves)) for e, leaves in leaves_by_expert(tree).items()}, features, fps)
+
+    def scores_of(self, grid: DataFrame, queries_by_expert: dict[str, list[str]], features: dict[str, dict], fps: float) -> DataFrame:
+        """As ``scores`` for the queries of many trees. Query vectors come from features[expert]["queries"], or, for CLIP and CLAP with
+        ``templates`` set, from features[expert]["embed"], averaged over the templates."""
         parts = []
-        for expert, leaves in leaves_by_expert(tree).items():
-            queries = list(dict.fromkeys(q for _, q in leaves))
+        for expert, queries in queries_by_expert.items():
             given = features[expert]
             if expert in ("CLIP", "CLAP"):
-                rows = scorer(expert)(given["frames"], {q: given["queries"][q] for q in queries})
+                averaged = bool(self.config.templates) and "embed" in given
+                vectors = {q: template_vectors(given["embed"], q, self.config.templates) if averaged else given["queries"][q] for q in queries}
+                rows = scorer(expert)(given["frames"], vectors)
             elif expert == "OVD":
                 rows = scorer(expert)(grid, given["detections"], queries)
             elif expert == "OCR":
@@ -82,29 +96,64 @@ class FrameSelector:
 
     def signals(self, scores: DataFrame, question: Question, fps: float) -> DataFrame:
         """Normalised and smoothed signals by leaf: video_id, qid, node_id, expert, query, frame_idx, score."""
-        config, leaves = self.config, question.tree.leaves()
+        leaves = question.tree.leaves()
         ids = F.array(*[F.struct(F.lit(x.node_id).alias("node_id"), F.lit(x.expert).alias("e"), F.lit(x.query).alias("q")) for x in leaves])
         rows = scores.withColumn("qid", F.lit(question.qid)).withColumn("_l", F.explode(F.filter(ids, lambda x: (x["e"] == F.col("expert")) & (x["q"] == F.col("query")))))
-        rows = rows.select(*KEYS, F.col("_l.node_id").alias("node_id"), "expert", "query", "frame_idx", "score").repartition("video_id")
-        n = config.normalization
-        options = {"method": n.method, "delta": n.delta, "gamma": n.gamma}
+        return self._cleaned(rows.select(*KEYS, F.col("_l.node_id").alias("node_id"), "expert", "query", "frame_idx", "score"), fps)
+
+    def _cleaned(self, rows: DataFrame, fps: float) -> DataFrame:
+        """Raw leaf scores -> signals, all questions of a video in one place."""
+        config, n = self.config, self.config.signals
+        rows = rows.repartition("video_id")
+        options = {"method": n.method, "delta": n.least_spread, "gamma": n.steepness}
         rows = normalize_joint(rows, by=KEYS, **options) if n.joint else normalize(rows, [*KEYS, "node_id"], **options)
-        return smooth_by_expert(rows, config.smoothing, fps, [*KEYS, "node_id"])
+        return smooth_by_expert(rows, config.signals, fps, [*KEYS, "node_id"])
 
     def truth(self, scores: DataFrame, question: Question, fps: float) -> DataFrame:
         """The truth curve: video_id, qid, frame_idx, ts, score."""
         wide = pivot(self.signals(scores, question, fps), [x.node_id for x in question.tree.leaves()])
-        out = compose(wide, question.tree, self.config.composition, fps)
+        out = compose(wide, question.tree, self.config.tree, fps)
         return out.select(*KEYS, "frame_idx", (F.col("frame_idx") / fps).alias("ts"), "score")
 
+    def curves(self, grid: DataFrame, questions: Sequence[Question], features: dict[str, dict], fps: float) -> DataFrame:
+        """The truth curves of all questions: video_id, qid, frame_idx, score.
+
+        Each feature is read and each distinct query scored once, whatever the number of questions; leaves are a
+        table that scores are joined with, and a plan is made for each shape of tree, not for each question.
+        """
+        bound = [Question(q.qid, self.bound(q.tree), q.video_id) for q in questions]
+        if not bound:
+            raise ValueError("no questions")
+        if len(bound) == 1 and bound[0].video_id is None:
+            only = bound[0]
+            return self.truth(self.scores(grid, only.tree, features, fps), only, fps).drop("ts")
+        wanted: dict[str, list[str]] = {}
+        for q in bound:
+            for expert, leaves in leaves_by_expert(q.tree).items():
+                wanted.setdefault(expert, []).extend(x for _, x in leaves)
+        shapes = list(dict.fromkeys(shape_of(q.tree) for q in bound))
+        rows = [(q.qid, None if q.video_id is None else str(q.video_id), shapes.index(shape_of(q.tree)), x.node_id, x.expert, x.query) for q in bound for x in q.tree.leaves()]
+        leaves = grid.sparkSession.createDataFrame(rows, "qid string, own string, shape int, node_id int, expert string, query string")
+        mine = leaves.select("own", "expert", "query").distinct()
+        videos = grid.select("video_id").distinct()
+        if all(q.video_id is not None for q in bound):  # only the asked videos are scored
+            videos = videos.where(F.col("video_id").cast("string").isin(list({str(q.video_id) for q in bound}))) if len(bound) <= 200 else videos.join(mine.select("own").distinct(), F.col("video_id").cast("string") == F.col("own"), "left_semi")
+            grid = grid.join(videos, "video_id", "left_semi")
+            features = {e: {name: part.join(videos, "video_id", "left_semi") if isinstance(part, DataFrame) and "video_id" in part.columns else part for name, part in given.items()} for e, given in features.items()}
+        scores = self.scores_of(grid, {e: list(dict.fromkeys(x)) for e, x in wanted.items()}, features, fps)
+        asked = scores.join(leaves, ["expert", "query"]).where(F.col("own").isNull() | (F.col("own") == F.col("video_id").cast("string")))
+        signals = self._cleaned(asked.select(*KEYS, "shape", "node_id", "expert", "query", "frame_idx", "score"), fps)
+        out = []
+        for number, shape in enumerate(shapes):
+            tree = next(q.tree for q in bound if shape_of(q.tree) == shape)
+            wide = pivot(signals.where(F.col("shape") == number), [x.node_id for x in tree.leaves()])
+            out.append(compose(wide, tree, self.config.tree, fps).select(*KEYS, "frame_idx", "score"))
+        return reduce(DataFrame.unionByName, out)
+
     def select(self, grid: DataFrame, questions: Sequence[Question], features: dict[str, dict], k: int = 16, fps: float | None = None) -> DataFrame:
         """Ranked frames of every question: video_id, qid, rank, frame_idx, ts, score, phase; k = 0 gives none."""
         fps = fps or self.config.fps
-        curves = []
-        for question in questions:
-            bound = Question(question.qid, self.bound(question.tree))
-            curves.append(self.truth(self.scores(grid, bound.tree, features, fps), bound, fps))
-        chosen = select(reduce(DataFrame.unionByName, curves), k, create_strategy(self.config.selection), fps)
+        chosen = select(self.curves(grid, questions, features, fps), k, create_strategy(self.config.choice), fps)
         return chosen.select(*KEYS, "rank", "frame_idx", (F.col("frame_idx") / fps).alias("ts"), "score", "phase")
 
 

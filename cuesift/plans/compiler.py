@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cuesift.config import CompositionConfig
+from cuesift.config import TreeRules
 from cuesift.operators.logic import AND_MODES, fuzzy_and, fuzzy_or, right_after, seq
 from cuesift.plans.tree import Node
 
@@ -38,16 +38,16 @@ def _rescaled(df: DataFrame, columns: Sequence[str], lo: float, hi: float, keys:
     return df.drop(*[f"_{p}_{c}" for c in columns for p in ("lo", "hi")])
 
 
-def evaluate(wide: DataFrame, tree: Node, config: CompositionConfig, fps: float = 1.0, keys: Sequence[str] = ("video_id", "qid"), order: str = "frame_idx", mode: str = "plain", out: str = "score") -> DataFrame:
+def evaluate(wide: DataFrame, tree: Node, config: TreeRules, fps: float = 1.0, keys: Sequence[str] = ("video_id", "qid"), order: str = "frame_idx", mode: str = "plain", out: str = "score") -> DataFrame:
     """``wide`` with ``out``: the tree's truth at each frame, from leaf columns n0, n1, ...
 
-    mode plain: operators on signals as they are; rescaled: every child is scaled to ``config.rescale_range``
+    mode plain: operators on signals as they are; rescaled: every child is scaled to ``config.scale``
     over its timeline before its parent's operator; restandardized: plain, but the branches of an OR
     at the root are scaled to 0..1 (flat ones to 0). Nodes of one height share their windows.
     """
     tree.validate()
-    if config.and_mode not in AND_MODES:
-        raise ValueError(f"unknown AND mode {config.and_mode!r}; one of {AND_MODES}")
+    if config.conjunction not in AND_MODES:
+        raise ValueError(f"unknown AND mode {config.conjunction!r}; one of {AND_MODES}")
     if missing := [f"n{leaf.node_id}" for leaf in tree.leaves() if f"n{leaf.node_id}" not in wide.columns]:
         raise MissingLeaf(f"no signal for {missing}")
     names: dict[tuple[int, ...], str] = {}
@@ -71,7 +71,7 @@ def evaluate(wide: DataFrame, tree: Node, config: CompositionConfig, fps: float
         for path, node in nodes if height else []:
             df = _apply(df, node, [_operand(names[(*path, i)], mode) for i in range(len(node.children))], names[path], config, fps, keys, order, root=not path, mode=mode)
         if mode == "rescaled" and (scaled := [names[path] for path, _ in nodes if path]):
-            df = _rescaled(df, scaled, *config.rescale_range, keys)
+            df = _rescaled(df, scaled, *config.scale, keys)
     result = df.withColumn("_truth", F.col(names[()]))
     return result.drop(*[c for c in df.columns if c not in before]).withColumnRenamed("_truth", out)
 
@@ -80,31 +80,31 @@ def _operand(name: str, mode: str) -> str:
     return f"r_{name}" if mode == "rescaled" else name
 
 
-def _apply(df: DataFrame, node: Node, operands: list[str], out: str, config: CompositionConfig, fps: float, keys, order, root: bool, mode: str) -> DataFrame:
+def _apply(df: DataFrame, node: Node, operands: list[str], out: str, config: TreeRules, fps: float, keys, order, root: bool, mode: str) -> DataFrame:
     if node.op == "SEQ":
         return seq(df, operands, keys, out, order)
     if node.op == "RIGHT_AFTER":
-        return right_after(df, *operands, keys, out, config.kappa, fps, order)
+        return right_after(df, *operands, keys, out, config.decay, fps, order)
     if node.op == "OR" and root and mode == "restandardized":
         w = Window.partitionBy(*keys)
         df = df.select("*", *[f(c).over(w).alias(f"_{p}_{c}") for c in operands for f, p in ((F.min, "lo"), (F.max, "hi"))])
         scaled = [F.when(F.col(f"_hi_{c}") - F.col(f"_lo_{c}") > FLAT, (F.col(c) - F.col(f"_lo_{c}")) / (F.col(f"_hi_{c}") - F.col(f"_lo_{c}"))).otherwise(F.lit(0.0)) for c in operands]
         return df.withColumn(out, fuzzy_or(scaled)).drop(*[f"_{p}_{c}" for c in operands for p in ("lo", "hi")])
     columns = [F.col(c) for c in operands]
-    return df.withColumn(out, fuzzy_and(columns, config.and_mode) if node.op == "AND" else fuzzy_or(columns))
+    return df.withColumn(out, fuzzy_and(columns, config.conjunction) if node.op == "AND" else fuzzy_or(columns))
 
 
-def compose(wide: DataFrame, tree: Node, config: CompositionConfig, fps: float = 1.0, keys: Sequence[str] = ("video_id", "qid"), order: str = "frame_idx", out: str = "score") -> DataFrame:
-    """The truth curve by ``config.method``: the tree, or the mean or product of the leaves at hand."""
-    if config.method == "fuzzy_logic_tree":
-        mode = "rescaled" if config.rescale_range else "restandardized" if config.post_restandardize else "plain"
+def compose(wide: DataFrame, tree: Node, config: TreeRules, fps: float = 1.0, keys: Sequence[str] = ("video_id", "qid"), order: str = "frame_idx", out: str = "score") -> DataFrame:
+    """The truth curve by ``config.join``: the tree, or the mean or product of the leaves at hand."""
+    if config.join == "tree":
+        mode = "rescaled" if config.scale else "restandardized" if config.restandardise else "plain"
         return evaluate(wide, tree, config, fps, keys, order, mode, out)
     leaves = [F.col(f"n{leaf.node_id}") for leaf in tree.leaves() if f"n{leaf.node_id}" in wide.columns]
-    if config.method == "additive":
+    if config.join == "additive":
         return wide.withColumn(out, _mean(leaves))
-    if config.method == "multiplicative":
+    if config.join == "multiplicative":
         return wide.withColumn(out, reduce(lambda a, b: a * b, leaves))
-    raise ValueError(f"unknown composition {config.method!r}")
+    raise ValueError(f"unknown composition {config.join!r}")
 
 
 def _mean(columns: list[Column]) -> Column:

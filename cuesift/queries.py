@@ -7,13 +7,14 @@ documents and conversations for text.
 
 from __future__ import annotations
 
-import json
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cuesift.config import CompositionConfig, SelectorConfig, SmoothingConfig
+from cuesift.config import Settings, SignalRules, TreeRules
 from cuesift.functions import text as T
 from cuesift.functions import vector as V
 from cuesift.operators import scorers as S
@@ -22,8 +23,10 @@ from cuesift.operators.normalize import normalize, normalize_joint
 from cuesift.operators.select import PeaksAndSpread, ScoreRanked, select, top_k
 from cuesift.operators.smooth import kernel, smooth
 from cuesift.pipeline import FrameSelector, Question
+from cuesift.plans import bulk
 from cuesift.plans.compiler import compose, evaluate
-from cuesift.plans.tree import Node, leaves_by_expert, repair
+from cuesift.plans.tree import Node
+from cuesift.sources.features import FeatureStore
 from cuesift.sources.text import accuracy, parse_srt, subtitle_prompt
 from cuesift.sources.video import audio_bounds, frame_grid, frames_at
 
@@ -163,7 +166,7 @@ for _mod, _sd in (("visual", 0.5), ("speech", 1.5), ("audio", 2.0)):
 
     @_query(f"smooth_{_mod}", f"WITH {_SIGNALS_SQL}, {_smooth_sql(_sd, 's', 'video_id, q')} SELECT video_id, frame_idx, q::INT AS node_id, round(y, 6) AS score FROM sm")
     def _smooth(spark, d, modality=_mod):
-        return smooth(_signals(spark, d, 4), SmoothingConfig().sigma(modality) * 1.0, [*KEYS, "node_id"]).select("video_id", "frame_idx", "node_id", _r("score"))
+        return smooth(_signals(spark, d, 4), SignalRules().width(modality) * 1.0, [*KEYS, "node_id"]).select("video_id", "frame_idx", "node_id", _r("score"))
 
 
 # ---------------------------------------------------------------- fuzzy and temporal operators
@@ -212,24 +215,24 @@ def _rescale_sql(columns: list[str], source: str, name: str, lo: float = 0.5, hi
 
 @_query("tree_plain", f"WITH {_WIDE_SQL}, {_gates_sql('w', ['n2', 'n3'])}, t AS (SELECT *, greatest(n2 * f_n3, h_n2 * n3, 0) AS sq FROM gates) SELECT video_id, frame_idx, round(n0 * (n1 + sq - n1 * sq), 6) AS score FROM t")
 def _tree_plain(spark, d):
-    return evaluate(_wide(spark, d, 4), PLAIN, CompositionConfig()).select("video_id", "frame_idx", _r("score"))
+    return evaluate(_wide(spark, d, 4), PLAIN, TreeRules()).select("video_id", "frame_idx", _r("score"))
 
 
 @_query("tree_restandardized", f"WITH {_WIDE_SQL}, p AS (SELECT *, n0 * n1 AS a FROM w), {_rescale_sql(['a', 'n2'], 'p', 't', 0.0, 1.0, 0.0)} SELECT video_id, frame_idx, round(r_a + r_n2 - r_a * r_n2, 6) AS score FROM t")
 def _tree_restandardized(spark, d):
-    return evaluate(_wide(spark, d, 3), EITHER, CompositionConfig(), mode="restandardized").select("video_id", "frame_idx", _r("score"))
+    return evaluate(_wide(spark, d, 3), EITHER, TreeRules(), mode="restandardized").select("video_id", "frame_idx", _r("score"))
 
 
 @_query("tree_rescaled", f"WITH {_WIDE_SQL}, {_rescale_sql(['n0', 'n1', 'n2'], 'w', 'p')}, o AS (SELECT video_id, frame_idx, r_n0, r_n1 + r_n2 - r_n1 * r_n2 AS o FROM p), {_rescale_sql(['o'], 'o', 't')} SELECT video_id, frame_idx, round(r_n0 * r_o, 6) AS score FROM t")
 def _tree_rescaled(spark, d):
-    return evaluate(_wide(spark, d, 3), NESTED, CompositionConfig(), mode="rescaled").select("video_id", "frame_idx", _r("score"))
+    return evaluate(_wide(spark, d, 3), NESTED, TreeRules(), mode="rescaled").select("video_id", "frame_idx", _r("score"))
 
 
 for _method, _expr in (("additive", "(n0 + n1) / 2"), ("multiplicative", "n0 * n1")):
 
     @_query(f"compose_{_method}", f"WITH {_EVENTS_SQL} SELECT video_id, frame_idx, round({_expr}, 6) AS score FROM w")
     def _composed(spark, d, method=_method):
-        return compose(_events(spark, d), BOTH, CompositionConfig(method=method)).select("video_id", "frame_idx", _r("score"))
+        return compose(_events(spark, d), BOTH, TreeRules(join=method)).select("video_id", "frame_idx", _r("score"))
 
 
 # ---------------------------------------------------------------- selection
@@ -248,21 +251,62 @@ def _chosen(spark: SparkSession, d: str, strategy) -> DataFrame:
     return select(_curve(spark, d), 16, strategy).select("video_id", "rank", "frame_idx", _r("score"), "phase")
 
 
-@_query("select_min_gap")
+def _greedy_sql(clash: str) -> str:
+    """Frames in the order of score, each taken if ``clash`` (of the list c so far and the frame o.f) is false, 16 at most."""
+    return f"""WITH RECURSIVE {_WIDE_SQL}, o AS (SELECT video_id, frame_idx::INT AS f, row_number() OVER (PARTITION BY video_id ORDER BY round(n0, 12) DESC, frame_idx DESC) AS n FROM w),
+      r(video_id, n, c) AS (SELECT DISTINCT video_id, 0::BIGINT, []::INT[] FROM o
+        UNION ALL SELECT r.video_id, r.n + 1, CASE WHEN len(c) < 16 AND NOT ({clash}) THEN list_append(c, o.f) ELSE c END FROM r JOIN o ON o.video_id = r.video_id AND o.n = r.n + 1),
+      u AS (SELECT video_id, unnest(c) AS frame_idx, unnest(range(1, len(c) + 1))::INT AS rank FROM (SELECT video_id, arg_max(c, n) AS c FROM r GROUP BY 1))
+      SELECT video_id, rank, frame_idx, round(n0, 6) AS score, 'score' AS phase FROM u JOIN w USING (video_id, frame_idx)"""
+
+
+def _pass_sql(curve: str) -> str:
+    """CTE bodies from ``curve`` (video_id, frame_idx, y) to ``pass_`` (video_id, rank, frame_idx, y, phase) for k = 16.
+
+    Four peaks at least four frames apart, one neighbour of each within two frames, then the best of the rest.
+    """
+    return f"""c_ AS (SELECT video_id, frame_idx::INT AS f, round(y, 12) AS y FROM {curve}),
+      top_ AS (SELECT video_id, f, row_number() OVER (PARTITION BY video_id ORDER BY y DESC, f DESC) AS n FROM (SELECT *, lag(y) OVER q AS a, lead(y) OVER q AS b FROM c_ WINDOW q AS (PARTITION BY video_id ORDER BY f)) WHERE y > a AND y > b),
+      thin_(video_id, n, c) AS (SELECT DISTINCT video_id, 0::BIGINT, []::INT[] FROM c_
+        UNION ALL SELECT r.video_id, r.n + 1, CASE WHEN len(list_filter(r.c, lambda x: abs(x - t.f) < 4)) = 0 THEN list_append(r.c, t.f) ELSE r.c END FROM thin_ r JOIN top_ t ON t.video_id = r.video_id AND t.n = r.n + 1),
+      left_ AS (SELECT video_id, unnest(c) AS f FROM (SELECT video_id, arg_max(c, n) AS c FROM thin_ GROUP BY 1)),
+      wall_ AS (SELECT l.video_id, l.f, p.y, max(h.f) FILTER (h.f < l.f AND h.y > p.y) AS lw, min(h.f) FILTER (h.f > l.f AND h.y > p.y) AS rw FROM left_ l JOIN c_ p ON p.video_id = l.video_id AND p.f = l.f JOIN c_ h ON h.video_id = l.video_id GROUP BY l.video_id, l.f, p.y),
+      prom_ AS (SELECT w.video_id, w.f, w.y, w.y - greatest(min(o.y) FILTER (o.f <= w.f AND o.f > coalesce(lw, -1)), min(o.y) FILTER (o.f >= w.f AND o.f < coalesce(rw, 1000000000))) AS p FROM wall_ w JOIN c_ o ON o.video_id = w.video_id GROUP BY w.video_id, w.f, w.y, lw, rw),
+      need_ AS (SELECT video_id, j, greatest(1e-6, 0.01 * (max(y) - min(y))) / 2 ** j AS need FROM c_ CROSS JOIN range(5) g(j) GROUP BY video_id, j),
+      level_ AS (SELECT n.video_id, max(need) AS need FROM need_ n JOIN prom_ p ON p.video_id = n.video_id AND p.p >= n.need GROUP BY 1),
+      able_ AS (SELECT p.video_id, p.f, p.y FROM prom_ p JOIN level_ l ON l.video_id = p.video_id AND p.p >= l.need UNION ALL SELECT video_id, f, y FROM c_ WHERE video_id NOT IN (SELECT video_id FROM level_)),
+      peak_ AS (SELECT * FROM (SELECT video_id, f, row_number() OVER (PARTITION BY video_id ORDER BY y DESC, f DESC) AS j FROM able_) WHERE j <= 4),
+      near_(video_id, j, c) AS (SELECT video_id, 0::BIGINT, list(f ORDER BY j) FROM peak_ GROUP BY 1
+        UNION ALL SELECT s.video_id, s.j + 1, list_append(any_value(s.c), arg_max(o.f, o.y)) FROM near_ s JOIN peak_ k ON k.video_id = s.video_id AND k.j = s.j + 1 JOIN c_ o ON o.video_id = s.video_id AND o.f BETWEEN k.f - 2 AND k.f + 2 AND NOT list_contains(s.c, o.f) GROUP BY s.video_id, s.j),
+      base_ AS (SELECT video_id, arg_max(c, j) AS c, max(j) AS n FROM near_ GROUP BY 1),
+      pick_ AS (SELECT video_id, unnest(c) AS f, unnest(range(1, len(c) + 1)) AS rank, n FROM base_),
+      pass_ AS (SELECT video_id, rank::INT AS rank, f AS frame_idx, y, phase FROM (
+        SELECT video_id, f, rank, CASE WHEN rank <= n THEN 'peak' ELSE 'spread' END AS phase FROM pick_
+        UNION ALL SELECT c.video_id, c.f, len(b.c) + row_number() OVER (PARTITION BY c.video_id ORDER BY c.y DESC, c.f DESC), 'fill' FROM c_ c JOIN base_ b ON b.video_id = c.video_id WHERE NOT list_contains(b.c, c.f)) JOIN c_ USING (video_id, f) WHERE rank <= 16)"""
+
+
+@_query("select_min_gap", _greedy_sql("len(list_filter(c, lambda x: abs(x - o.f) < 2)) > 0"))
 def _min_gap(spark, d):
     return _chosen(spark, d, ScoreRanked(min_gap=2))
 
 
-@_query("select_density")
+@_query("select_density", _greedy_sql("len(list_filter(c, lambda x: abs(x - o.f) < 4)) >= 2"))
 def _density(spark, d):
     return _chosen(spark, d, ScoreRanked(max_per_window=2, window_seconds=4.0))
 
 
-@_query("select_pass")
+@_query("select_pass", f"WITH RECURSIVE {_WIDE_SQL}, {_pass_sql('(SELECT video_id, frame_idx, n0 AS y FROM w)')} SELECT video_id, rank, frame_idx, round(y, 6) AS score, phase FROM pass_")
 def _pass(spark, d):
     return _chosen(spark, d, PeaksAndSpread())
 
 
+@_query("select_pass_one_event", f"WITH RECURSIVE {_EVENTS_SQL}, e AS (SELECT video_id, frame_idx, CASE WHEN frame_idx = 20 THEN 1.0::DOUBLE ELSE n0 / 300 END AS y FROM w), {_pass_sql('e')} SELECT video_id, rank, frame_idx, round(y, 6) AS score, phase FROM pass_")
+def _pass_event(spark, d):
+    """Curves with one event above noise of half a hundredth: one peak, not four."""
+    curve = _events(spark, d).select(*KEYS, "frame_idx", F.when(F.col("frame_idx") == 20, F.lit(1.0)).otherwise(F.col("n0") / 300).alias("score"))
+    return select(curve, 16, PeaksAndSpread()).select("video_id", "rank", "frame_idx", _r("score"), "phase")
+
+
 # ---------------------------------------------------------------- scorers
 
 
@@ -281,9 +325,10 @@ def _templates(spark, d):
     return S.clip_scores(_frames(spark, d), vectors).select("video_id", "frame_idx", _r("score"))
 
 
-@_query("ovd_variations", "WITH p AS (SELECT DISTINCT p_name AS q FROM part), l AS (SELECT q, regexp_split_to_array(q, '\\s+')[-1] AS l, CASE WHEN q LIKE '%es' THEN left(q, length(q) - 2) WHEN q LIKE '%s' THEN left(q, length(q) - 1) ELSE q || 's' END AS o FROM p), v AS (SELECT q, q AS v FROM l UNION SELECT q, o FROM l UNION SELECT q, l FROM l WHERE q LIKE '% %' UNION SELECT q, l || 's' FROM l WHERE q LIKE '% %' AND l NOT LIKE '%s') SELECT q AS phrase, string_agg(v, '|' ORDER BY v) AS variations FROM v GROUP BY q")
+@_query("ovd_variations", "WITH p AS (SELECT DISTINCT p_name AS q FROM part UNION SELECT DISTINCT p_name || ' ' FROM part), l AS (SELECT q, regexp_split_to_array(trim(q), '\\s+') AS ws, regexp_split_to_array(trim(q), '\\s+')[-1] AS l, CASE WHEN q LIKE '%es' THEN left(q, length(q) - 2) WHEN q LIKE '%s' THEN left(q, length(q) - 1) ELSE q || 's' END AS o FROM p), v AS (SELECT q, q AS v FROM l UNION SELECT q, o FROM l UNION SELECT q, l FROM l WHERE len(ws) > 1 UNION SELECT q, l || 's' FROM l WHERE len(ws) > 1 AND l NOT LIKE '%s') SELECT q AS phrase, string_agg(v, '|' ORDER BY v) AS variations FROM v GROUP BY q")
 def _variations(spark, d):
-    names = _read(spark, d, "part").select(F.col("p_name").alias("phrase")).distinct()
+    """Part names, each also with a blank at its end."""
+    names = _read(spark, d, "part").select(F.explode(F.array("p_name", F.concat("p_name", F.lit(" ")))).alias("phrase")).distinct()
     return names.select("phrase", F.array_join(F.array_sort(T.variations(F.col("phrase"))), "|").alias("variations"))
 
 
@@ -318,7 +363,7 @@ def _ocr_cached(spark, d):
     return S.ocr_scores(grid, texts, _READ).select("video_id", "frame_idx", "query", _r("score"))
 
 
-_SAID = ("thing", "those ting")
+_SAID = ("thing", "those ting", "th-ing on")
 
 
 def _short_sql(q: str) -> str:
@@ -354,11 +399,22 @@ def _asr_frames(spark, d):
     return grid.join(best, ["video_id", "frame_idx"], "left").select("video_id", F.col("frame_idx").cast("long").alias("frame_idx"), _r(F.coalesce("x", F.lit(0.0))))
 
 
-@_query("asr_long_match", "SELECT a.vec_id, round(greatest(0.0::DOUBLE, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])), 6) AS score FROM embeddings a, embeddings b WHERE b.vec_id = 0")
+@_query("asr_scores", "WITH c AS (SELECT conv_id, turn, t, regexp_extract_all(t, '[a-z0-9'']+') AS ws FROM (SELECT conv_id, turn, lower(trim(text)) AS t FROM conversations)), m AS (" + " UNION ALL ".join(map(_short_sql, _SAID[:2])) + f"), {_SEGMENTS_SQL}, h AS (SELECT gr.video_id, gr.frame_idx, m.query, max(m.score * least(1.0::DOUBLE, greatest(0.0::DOUBLE, least(b, frame_idx + 0.5::DOUBLE) - greatest(a, frame_idx - 0.5::DOUBLE)))) AS x FROM gr JOIN sg ON sg.video_id = gr.video_id AND b >= frame_idx - 0.5 AND a <= frame_idx + 0.5 JOIN m ON m.conv_id = sg.video_id AND m.turn = sg.seg_idx WHERE m.score > 0 GROUP BY 1, 2, 3) SELECT gr.video_id, gr.frame_idx, q.query, round(coalesce(x, 0), 4) AS score FROM gr CROSS JOIN (VALUES ('{_SAID[0]}'), ('{_SAID[1]}')) q(query) LEFT JOIN h USING (video_id, frame_idx, query)")
+def _asr_scores(spark, d):
+    segments = _segments(spark, d)
+    size = segments.groupBy("video_id").agg((F.max("seg_idx") * 3 + 6).alias("n"))
+    grid = size.select("video_id", F.explode(F.sequence(F.lit(0), F.col("n").cast("int"))).alias("frame_idx"))
+    return S.asr_scores(grid, segments, _SAID[:2]).select("video_id", F.col("frame_idx").cast("long").alias("frame_idx"), "query", F.round("score", 4).alias("score"))
+
+
+@_query("asr_long_match", "SELECT conv_id, turn, round(CASE WHEN length(trim(t)) = 0 THEN 0.0::DOUBLE WHEN contains(lower(trim(t)), q) THEN 1.0::DOUBLE ELSE greatest(0.0::DOUBLE, coalesce(x, 0)) END, 6) AS score FROM (SELECT conv_id, turn, CASE WHEN turn % 5 = 4 THEN '' ELSE coalesce(text, '') END AS t, CASE WHEN turn % 2 = 0 THEN lower(trim(substr(coalesce(text, ''), 3, 30))) ELSE 'how the house was built' END AS q, CASE WHEN conv_id % 7 > 0 THEN (conv_id % 11 - 3) / 10.0::DOUBLE END AS x FROM conversations) WHERE q <> ''")
 def _asr_long(spark, d):
-    q = V.literal(_query_vectors(spark, d, 1)["v0"])
-    score = T.long_match(F.lit("how the house was built"), F.lit("somebody speaks"), V.cosine(F.col("embedding"), q))
-    return _read(spark, d, "embeddings").select("vec_id", _r(score))
+    """Texts that contain the query, that don't (the cosine counts, not below 0), without cosine, and empty ones."""
+    text = F.coalesce("text", F.lit(""))
+    query = F.when(F.col("turn") % 2 == 0, F.lower(F.trim(F.substring(text, 3, 30)))).otherwise(F.lit("how the house was built"))
+    cosine = F.when(F.col("conv_id") % 7 > 0, (F.col("conv_id") % 11 - 3) / 10.0)
+    rows = _read(spark, d, "conversations").select("conv_id", "turn", F.when(F.col("turn") % 5 == 4, F.lit("")).otherwise(text).alias("t"), query.alias("q"), cosine.alias("x"))
+    return rows.where("q != ''").select("conv_id", "turn", _r(T.long_match(F.col("q"), F.col("t"), F.col("x"))))
 
 
 @_query("clap_scores", f"WITH {_FRAMES_SQL} SELECT video_id, frame_idx, round(CASE WHEN frame_idx = 0 THEN 0.5::DOUBLE ELSE least(1.0::DOUBLE, greatest(0.0::DOUBLE, (list_cosine_similarity(f.embedding::DOUBLE[], e.embedding::DOUBLE[]) + 1) / 2)) END, 6) AS score FROM f, embeddings e WHERE e.vec_id = 1")
@@ -414,31 +470,43 @@ def _format(spark, d):
 
 # ---------------------------------------------------------------- trees as data
 
-_CHAIN = {"op": "RIGHT_AFTER", "children": [{"op": "LEAF", "expert": "OVD", "query": q} for q in "abcd"]}
+
+def _trees(spark: SparkSession, d: str, chain: bool) -> DataFrame:
+    """A tree for each part: its name, and its brand, type and name in a row (RIGHT_AFTER) or any of them (OR)."""
+    leaf = lambda expert, c: F.struct(F.lit("LEAF").alias("op"), F.lit(expert).alias("expert"), F.col(c).alias("query"))
+    inner = F.struct(F.lit("RIGHT_AFTER" if chain else "OR").alias("op"), F.array(leaf("OVD", "p_brand"), leaf("CLIP", "p_type"), leaf("OVD", "p_name")).alias("children"))
+    first = F.to_json(leaf("CLIP", "p_name"))
+    tree = F.concat(F.lit('{"op": "AND", "children": ['), first, F.lit(", "), F.to_json(inner), F.lit("]}"))
+    return _read(spark, d, "part").select(F.col("p_partkey").alias("qid"), tree.alias("tree"))
 
 
-def _values(*rows: tuple) -> str:
-    quote = lambda x: str(x) if isinstance(x, int) else "'" + x.replace("'", "''") + "'"
-    return ", ".join("(" + ", ".join(map(quote, r)) + ")" for r in rows)
+def _leaves_sql(*paths: str) -> str:
+    parts = zip(("CLIP", "OVD", "CLIP", "OVD"), ("p_name", "p_brand", "p_type", "p_name"), paths, strict=True)
+    return " UNION ALL ".join(f"SELECT p_partkey AS qid, {i} AS node_id, '{e}' AS expert, {c} AS query, {p.count('.')} AS depth, '{p}' AS path FROM part" for i, (e, c, p) in enumerate(parts))
 
 
-@_query("tree_leaves", "SELECT * FROM (VALUES " + _values((0, "CLIP", "v0", 1, "0.0"), (1, "CLIP", "v1", 2, "0.1.0"), (2, "CLIP", "v2", 3, "0.1.1.0"), (3, "CLIP", "v3", 3, "0.1.1.1")) + ") t(node_id, expert, query, depth, path)")
+@_query("tree_leaves", _leaves_sql("0.0", "0.1.0", "0.1.1", "0.1.2"))
 def _tree_leaves(spark, d):
-    return spark.createDataFrame([(x.node_id, x.expert, x.query, x.depth, x.path) for x in PLAIN.leaves()], "node_id int, expert string, query string, depth int, path string")
+    return bulk.flattened(_trees(spark, d, False))
 
 
-@_query("tree_repair", "SELECT * FROM (VALUES " + _values((0, "OVD", "a", "0.0"), (1, "OVD", "b", "0.1.0"), (2, "OVD", "c", "0.1.1.0"), (3, "OVD", "d", "0.1.1.1")) + ") t(node_id, expert, query, path)")
+@_query("tree_repair", _leaves_sql("0.0", "0.1.0", "0.1.1.0", "0.1.1.1"))
 def _tree_repair(spark, d):
-    fix = F.udf(lambda s: json.dumps(repair(json.loads(s))))
-    fixed = spark.createDataFrame([(json.dumps(_CHAIN),)], "tree string").select(fix("tree").alias("tree"))
-    leaves = F.udf(lambda s: [(x.node_id, x.expert, x.query, x.path) for x in Node.from_json(s).leaves()], "array<struct<node_id int, expert string, query string, path string>>")
-    return fixed.select(F.explode(leaves("tree")).alias("x")).select("x.*")
+    return bulk.flattened(_trees(spark, d, True).withColumn("tree", bulk.repaired("tree")))
+
 
+@_query("tree_problems", "SELECT p_partkey AS qid FROM part WHERE p_partkey % 3 > 0")
+def _tree_problems(spark, d):
+    """Trees cut short or with an unknown operator are found."""
+    tree = F.when(F.col("qid") % 3 == 1, F.expr("left(tree, length(tree) - 2)")).when(F.col("qid") % 3 == 2, F.replace("tree", F.lit("AND"), F.lit("XOR"))).otherwise(F.col("tree"))
+    return bulk.problems(_trees(spark, d, False).withColumn("tree", tree)).select("qid")
 
-@_query("group_leaves", "SELECT * FROM (VALUES ('CLIP', '0:dog,2:cat'), ('OVD', '1:car')) t(expert, leaves)")
+
+@_query("group_leaves", f"SELECT qid, expert, string_agg(node_id || ':' || query, ',' ORDER BY node_id) AS leaves FROM ({_leaves_sql('0.0', '0.1.0', '0.1.1', '0.1.2')}) GROUP BY qid, expert")
 def _group(spark, d):
-    tree = Node.of("AND", L("CLIP", "dog"), L("OVD", "car"), L("CLIP", "cat"))
-    return spark.createDataFrame([(e, ",".join(f"{i}:{q}" for i, q in x)) for e, x in leaves_by_expert(tree).items()], "expert string, leaves string")
+    leaves = bulk.flattened(_trees(spark, d, False))
+    named = F.struct("node_id", F.concat_ws(":", "node_id", "query").alias("x")).alias("l")
+    return leaves.select("qid", "expert", named).groupBy("qid", "expert").agg(F.array_join(F.array_sort(F.collect_list("l"))["x"], ",").alias("leaves"))
 
 
 @_query("cache_key", "SELECT n_nationkey, sha256('/videos/' || n_name || '.mp4:1.0') AS cache_key FROM nation")
@@ -476,7 +544,10 @@ def _features(spark: SparkSession, d: str, n: int = 2) -> tuple[DataFrame, dict[
     return frames.select("video_id", "frame_idx"), {"CLIP": {"frames": frames, "queries": _query_vectors(spark, d, n)}}
 
 
-@_query("pipeline_default")
+_PIPELINE_SQL = f"WITH RECURSIVE {_SIGNALS_SQL}, s2 AS (SELECT * FROM s WHERE q < 2), {_norm_sql('robust', 's2', 'video_id')}, {_smooth_sql(0.5, 'z', 'video_id, q', 'y')}, w AS (SELECT video_id, frame_idx, max(y) FILTER (q = 0) AS n0, max(y) FILTER (q = 1) AS n1 FROM sm GROUP BY 1, 2), {_rescale_sql(['n0', 'n1'], 'w', 'p')}, t AS (SELECT video_id, frame_idx, r_n0 * r_n1 AS y FROM p)"
+
+
+@_query("pipeline_default", f"{_PIPELINE_SQL}, {_pass_sql('t')} SELECT video_id, 'q0' AS qid, rank, frame_idx, frame_idx::DOUBLE AS ts, round(y, 6) AS score, phase FROM pass_")
 def pipeline_default(spark: SparkSession, d: str) -> DataFrame:
     """Scores, joint robust normalisation, smoothing, rescaled AND, peaks and spread."""
     grid, features = _features(spark, d)
@@ -484,17 +555,38 @@ def pipeline_default(spark: SparkSession, d: str) -> DataFrame:
     return chosen.select("video_id", "qid", "rank", "frame_idx", "ts", _r("score"), "phase")
 
 
-_PIPELINE_SQL = f"WITH {_SIGNALS_SQL}, s2 AS (SELECT * FROM s WHERE q < 2), {_norm_sql('robust', 's2', 'video_id')}, {_smooth_sql(0.5, 'z', 'video_id, q', 'y')}, w AS (SELECT video_id, frame_idx, max(y) FILTER (q = 0) AS n0, max(y) FILTER (q = 1) AS n1 FROM sm GROUP BY 1, 2), {_rescale_sql(['n0', 'n1'], 'w', 'p')}, t AS (SELECT video_id, frame_idx, r_n0 * r_n1 AS y FROM p)"
-
-
 @_query("pipeline_topk", f"{_PIPELINE_SQL} SELECT video_id, frame_idx, rank::INT AS rank, round(y, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY round(y, 9) DESC, frame_idx DESC) AS rank FROM t) WHERE rank <= 16")
 def _pipeline_topk(spark, d):
     grid, features = _features(spark, d)
-    selector = FrameSelector(SelectorConfig())
+    selector = FrameSelector(Settings())
     curve = selector.truth(selector.scores(grid, BOTH, features, 1.0), Question("q0", BOTH), 1.0)
     return top_k(curve.withColumn("score", F.round("score", 9)), 16).select("video_id", "frame_idx", "rank", _r("score"))
 
 
+_BOUND_SQL = "t2 AS (SELECT video_id, frame_idx, CASE video_id WHEN 3 THEN r_n0 + r_n1 - r_n0 * r_n1 ELSE r_n0 * r_n1 END AS y FROM p WHERE video_id IN (1, 2, 3))"
+
+
+@_query("pipeline_bound_questions", f"{_PIPELINE_SQL}, {_BOUND_SQL}, {_pass_sql('t2')} SELECT video_id, 'q' || video_id AS qid, rank, frame_idx, frame_idx::DOUBLE AS ts, round(y, 6) AS score, phase FROM pass_")
+def _bound(spark, d):
+    """Three questions of two shapes, each on its own video: one scan of the features, a plan for each shape."""
+    grid, features = _features(spark, d)
+    questions = [Question("q1", BOTH, 1), Question("q2", BOTH, 2), Question("q3", Node.of("OR", *BOTH.children), 3)]
+    chosen = FrameSelector().select(grid, questions, features, 16)
+    return chosen.select("video_id", "qid", "rank", "frame_idx", "ts", _r("score"), "phase")
+
+
+@_query("feature_store", f"WITH {_FRAMES_SQL} SELECT video_id::VARCHAR AS video_id, count(*) AS frames, round(sum(embedding[1]::DOUBLE), 4) AS first FROM f WHERE video_id % 2 = 0 GROUP BY 1")
+def _store(spark, d):
+    """Vectors saved under their videos' keys, then read back for the even videos only."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="cuesift-")
+    store = FeatureStore(spark, f"{shared.rstrip('/')}/cuesift-features-{uuid.uuid4().hex}")
+    frames = _frames(spark, d).select("video_id", "frame_idx", "embedding")
+    videos = frames.select("video_id").distinct().withColumn("path", F.concat(F.lit("/videos/"), "video_id"))
+    store.save("clip", frames, videos, 1.0)
+    rows = store.load("clip", videos.where("video_id % 2 = 0"), 1.0)
+    return rows.groupBy("video_id").agg(F.count("*").alias("frames"), F.round(F.sum(F.get("embedding", F.lit(0)).cast("double")), 4).alias("first"))
+
+
 def queries() -> dict[str, Query]:
     return dict(_queries)
 

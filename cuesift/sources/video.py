@@ -20,11 +20,13 @@ def checked_videos(videos: DataFrame) -> DataFrame:
     return videos.withColumn("duration", F.when(ok, F.col("total_frames") / F.col("video_fps")).otherwise(F.raise_error(bad).cast("double")))
 
 
-def frame_grid(videos: DataFrame, fps: float = 1.0, max_frames: int | None = None) -> DataFrame:
+def frame_grid(videos: DataFrame, fps: float = 1.0, max_frames: int | None = None, strict: bool = False) -> DataFrame:
     """Sampled frames: video_id, frame_idx (0, 1, ...), source_frame, ts.
 
-    The k-th kept frame is the first at or after k intervals of max(1, video_fps / fps) source frames.
+    The k-th kept frame is the first at or after k intervals of max(1, video_fps / fps) source frames. With
+    ``strict`` a video without a rate or frames fails, else it has no frames.
     """
+    videos = checked_videos(videos).where("duration is not null") if strict else videos
     step = F.greatest(F.lit(1.0), F.col("video_fps") / fps)
     n = F.ceil(F.col("total_frames") / step)
     n = F.least(n, F.lit(max_frames)) if max_frames is not None else n

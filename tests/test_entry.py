@@ -76,5 +76,17 @@ def test_entry(spark):
 def test_the_engine_stands_without_the_corpus_operators(tmp_path):
     shutil.copytree(f"{ROOT}/cuesift", tmp_path / "cuesift", ignore=shutil.ignore_patterns("llm", "__pycache__"))
     shutil.copy(f"{ROOT}/__spark_entry__.py", tmp_path)
+    shutil.copytree(f"{ROOT}/tests", tmp_path / "tests", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    code = "import __spark_entry__ as e; q = e.queries(); assert 'tree_rescaled' in q and not any(k.startswith('op') or k == 'pipeline' for k in q); assert e.oracle_sql()"
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={**os.environ, "PYTHONPATH": str(tmp_path)}, check=True, timeout=120)
+    run = [sys.executable, "-m", "pytest", "-q", "-x", "tests/test_tree.py", "tests/test_operators.py"]
+    subprocess.run(run, cwd=tmp_path, env={**os.environ, "PYTHONPATH": str(tmp_path)}, check=True, timeout=400)
+
+
+def test_the_engine_stands_where_the_operators_cannot_be_imported(tmp_path):
+    """The folder is there, but what it needs isn't."""
+    shutil.copytree(f"{ROOT}/cuesift", tmp_path / "cuesift", ignore=shutil.ignore_patterns("__pycache__"))
+    shutil.copy(f"{ROOT}/__spark_entry__.py", tmp_path)
+    (tmp_path / "public_tokenizers.py").write_text("raise ImportError('absent')")
     code = "import __spark_entry__ as e; q = e.queries(); assert 'tree_rescaled' in q and not any(k.startswith('op') or k == 'pipeline' for k in q); assert e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={**os.environ, "PYTHONPATH": str(tmp_path)}, check=True, timeout=120)

@@ -9,7 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from cuesift.config import CompositionConfig, SmoothingConfig
+from cuesift.config import SignalRules, TreeRules
 from cuesift.operators import logic
 from cuesift.operators.normalize import normalize, normalize_joint
 from cuesift.operators.select import PeaksAndSpread, ScoreRanked, create_strategy, find_peaks, select
@@ -91,7 +91,7 @@ def test_smoothing_is_an_edge_padded_convolution(spark, sigma):
 def test_smoothing_by_expert_and_without_width(spark):
     impulse = np.eye(1, 31, 15)[0]
     df = long(spark, [("a", impulse)]).unionByName(long(spark, [("b", impulse)], "ASR").withColumn("node_id", F.lit(1)))
-    got = smooth_by_expert(df, SmoothingConfig(), 1.0, [*KEYS, "node_id"])
+    got = smooth_by_expert(df, SignalRules(), 1.0, [*KEYS, "node_id"])
     visual, speech = values(got.where("node_id = 0")), values(got.where("node_id = 1"))
     assert visual.max() > speech.max() and (speech > 1e-4).sum() > (visual > 1e-4).sum()
     np.testing.assert_allclose(speech, np.convolve(np.pad(impulse, 6, mode="edge"), kernel(1.5), mode="valid"), atol=1e-12)
@@ -158,7 +158,7 @@ def test_trees(spark):
     a, b, c, d = (RNG.random(25) for _ in range(4))
     df = wide(spark, a, b, c, d)
     tree = Node.of("AND", L("CLIP", "a"), Node.of("OR", L("CLIP", "b"), Node.of("SEQ", L("CLIP", "c"), L("CLIP", "d"))))
-    config = CompositionConfig()
+    config = TreeRules()
     s = np_seq(c, d)
     np.testing.assert_allclose(values(evaluate(df, tree, config)), a * (b + s - b * s), atol=1e-12)
     s = rescaled(np_seq(rescaled(c), rescaled(d)))
@@ -169,19 +169,19 @@ def test_trees(spark):
     x, y = rescaled(a, 0, 1), rescaled(b, 0, 1)
     np.testing.assert_allclose(values(evaluate(df, either, config, mode="restandardized")), x + y - x * y, atol=1e-12)
     np.testing.assert_allclose(values(evaluate(df, L("CLIP", "a"), config, mode="rescaled")), a)
-    np.testing.assert_allclose(values(compose(df, either, CompositionConfig(method="additive"))), (a + b) / 2)
-    np.testing.assert_allclose(values(compose(df, either, CompositionConfig(method="multiplicative"))), a * b)
+    np.testing.assert_allclose(values(compose(df, either, TreeRules(join="additive"))), (a + b) / 2)
+    np.testing.assert_allclose(values(compose(df, either, TreeRules(join="multiplicative"))), a * b)
     with pytest.raises(MissingLeaf):
         evaluate(wide(spark, a), either, config)
     with pytest.raises(ValueError):
-        compose(df, either, CompositionConfig(method="nope"))
+        compose(df, either, TreeRules(join="nope"))
 
 
 def test_evaluation_needs_one_exchange(spark):
     signals = long(spark, [("a", CURVE), ("b", CURVE[::-1])]).repartition("video_id")
     tree = Node.of("AND", L("CLIP", "a"), L("CLIP", "b"))
-    rows = smooth_by_expert(normalize_joint(signals), SmoothingConfig(), 1.0, [*KEYS, "node_id"])
-    out = compose(pivot(rows, [0, 1]), tree, CompositionConfig())
+    rows = smooth_by_expert(normalize_joint(signals), SignalRules(), 1.0, [*KEYS, "node_id"])
+    out = compose(pivot(rows, [0, 1]), tree, TreeRules())
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
 

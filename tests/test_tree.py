@@ -2,7 +2,7 @@ from __future__ import annotations
 
 import pytest
 
-from cuesift.config import PRESETS, SelectorConfig, SmoothingConfig, embedding_preset, list_embedding_presets, preset
+from cuesift.config import PRESETS, Settings, SignalRules, embedding_preset, list_embedding_presets, preset
 from cuesift.plans import parsing
 from cuesift.plans.tree import Node, TreeError, explain, leaves_by_expert, prune, repair, simplified
 
@@ -64,22 +64,22 @@ def test_explain():
 
 
 def test_presets():
-    assert preset("fast").is_expert_enabled("OCR") and not preset("fast").is_expert_enabled("OVD")
-    assert not preset("fast").smoothing.enabled and preset("default").smoothing.enabled
-    assert preset("visual_only").enabled_experts() == ("OVD", "CLIP", "OCR")
-    assert preset("additive").composition.method == "additive"
+    assert preset("fast").enabled("OCR") and not preset("fast").enabled("OVD")
+    assert not preset("fast").signals.widths and preset("default").signals.widths
+    assert preset("visual_only").experts == ("OVD", "CLIP", "OCR")
+    assert preset("additive").tree.join == "additive"
     assert set(PRESETS) == {"default", "visual_only", "fast", "no_smoothing", "additive"}
     with pytest.raises(ValueError):
         preset("nope")
-    assert not SelectorConfig().is_expert_enabled("EYE") and SelectorConfig().expert_model_name("EYE") is None
+    assert not Settings().enabled("EYE") and Settings().enabled("clip")
 
 
 def test_smoothing_config_and_embedding_presets():
-    s = SmoothingConfig()
-    assert (s.for_expert("CLIP"), s.for_expert("ASR"), s.for_expert("CLAP"), s.for_expert("?")) == (0.5, 1.5, 2.0, 0.5)
-    assert s.with_sigma("audio", 3.0).audio_sigma == 3.0 and s.audio_sigma == 2.0
+    s = SignalRules()
+    assert (s.width_of("CLIP"), s.width_of("ASR"), s.width_of("CLAP"), s.width_of("?")) == (0.5, 1.5, 2.0, 0.5)
+    assert s.with_width("audio", 3.0).width("audio") == 3.0 and s.width("audio") == 2.0
     with pytest.raises(ValueError):
-        s.sigma("smell")
+        s.width("smell")
     assert embedding_preset("dfn5b-clip").dim == 1024 and len(list_embedding_presets()) == 5
     with pytest.raises(ValueError):
         embedding_preset("nope")
