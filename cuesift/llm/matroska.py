@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_type
 
+from cuesift.llm.storage import written
+
 # Fixed values of the format: element ids as written in a file, length marker included.
 EBML, SEGMENT, INFO, TRACKS, CLUSTER, CUES = 0x1A45DFA3, 0x18538067, 0x1549A966, 0x1654AE6B, 0x1F43B675, 0x1C53BB6B
 SEEK_HEAD, CHAPTERS, TAGS, ATTACHMENTS = 0x114D9B74, 0x1043A770, 0x1254C367, 0x1941A469
@@ -302,30 +304,46 @@ def packet_table(media: DataFrame) -> DataFrame:
     return media.select("id", "content").mapInArrow(run, _PACKETS.format(id=kind.simpleString()))
 
 
-def stored_texts(docs: DataFrame) -> DataFrame:
-    """Store each text as a Matroska file, read it back, and return a digest of both per row.
-
-    Columns: doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256,
-    feature. The payload is the UTF-8 text with bytes 0 up to a positive multiple of 64; its hash, the
-    checksum of its last 64 bytes and the feature come from the bytes read back by the packet
-    table. Null is empty (64 zero bytes), equal texts have equal values, very long texts are
-    stored whole, repeated rows and null ids come back row by row, an empty table gives no rows.
-    """
+def media_table(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) -> (doc_id, n_bytes, content): each text as a Matroska file. Null is empty; cases as in ``stored_texts``."""
     kind = docs.schema["doc_id"].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = [(text.as_py() or "").encode() for text in batch["text"]]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([len(x) for x in raw], pa.int64()), pa.array([mux(padded(x)) for x in raw], pa.binary())], names=["doc_id", "n_bytes", "content"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind.simpleString()}, n_bytes bigint, content binary")
+
+
+def digests(media: DataFrame) -> DataFrame:
+    """Stored files (doc_id, n_bytes, content) -> what ``stored_texts`` returns, by the packets read from them."""
+    kind = media.schema["doc_id"].dataType
     schema = f"doc_id {kind.simpleString()}, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-    names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+    names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for text in batch["text"]:
-                raw = (text.as_py() or "").encode()
-                data = mux(padded(raw))
+            for content in batch["content"]:
+                data = content.as_py()
                 media = parse(data)
                 back = b"".join(data[p.start : p.start + p.size] for p in media.packets)
-                rows.append((len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-FRAME:]), len(data), hashlib.sha256(data).hexdigest(), feature(data, media)))
+                rows.append((len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-FRAME:]), len(data), hashlib.sha256(data).hexdigest(), feature(data, media)))
             columns = zip(*rows, strict=True) if rows else [[]] * len(kinds)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], *[pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)]], names=["doc_id", *names])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["n_bytes"], *[pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)]], names=["doc_id", "n_bytes", *names])
+
+    return media.mapInArrow(run, schema)
+
+
+def stored_texts(docs: DataFrame) -> DataFrame:
+    """Store each text as a Matroska file in a table, read the table back, and return a digest of both per row.
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    Columns: doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256,
+    feature. The payload is the UTF-8 text with bytes 0 up to a positive multiple of 64; its hash, the
+    checksum of its last 64 bytes and the feature come from the packets of the stored
+    files. Null is empty (64 zero bytes), equal texts have equal values, very long texts are
+    stored whole, repeated rows and null ids come back row by row, an empty table gives no rows.
+    """
+    return digests(written(media_table(docs), "media"))
