@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +26,8 @@ from cuesift.llm.packed import pack, unpack
 
 #: Distinct pre-tokens at which a chunk is closed (after the document that reaches it).
 CHUNK_WORDS = 400_000
+#: Bytes of places (four a pre-token) at which a chunk is closed, however few its distinct words.
+CHUNK_BYTES = 48_000_000
 #: Words whose ids a task gathers by chunk before it passes them on.
 GATHERED = 500_000
 #: A chunk's number and a word's place in it share a long.
@@ -43,14 +46,68 @@ def _ranks(raw: bytes) -> dict[bytes, int]:
     return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, raw.splitlines()) if token}
 
 
-def _encoder(raw: bytes, pattern: str):
-    """word -> ids, made once in a Python worker."""
-    key = hashlib.sha256(raw + pattern.encode()).digest()
-    if key not in _tables:
-        import tiktoken
+#: A word of more bytes is merged with a heap.
+SHORT = 64
+
+
+def merged(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The ids of a word: of all neighbours the pair of least rank is merged (the first of equals), until none has a rank."""
+    if (whole := ranks.get(word)) is not None:
+        return [whole]
+    if len(word) > SHORT:
+        return _merged_long(word, ranks)
+    parts = [word[i : i + 1] for i in range(len(word))]
+    never = len(ranks) + (1 << 40)
+    pairs = [ranks.get(a + b, never) for a, b in zip(parts, parts[1:], strict=False)]
+    while pairs and (least := min(pairs)) < never:
+        i = pairs.index(least)
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        del pairs[i]
+        if i < len(pairs):
+            pairs[i] = ranks.get(parts[i] + parts[i + 1], never)
+        if i:
+            pairs[i - 1] = ranks.get(parts[i - 1] + parts[i], never)
+    return [ranks[p] for p in parts]
+
+
+def _merged_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """As ``merged`` in n log n steps: pairs wait in a heap by rank and place; those whose ends have changed are passed over."""
+    n = len(word)
+    end, after, before = list(range(1, n + 1)), list(range(1, n + 1)), list(range(-1, n - 1))
+    heap: list[tuple[int, int, int]] = []
+
+    def offer(i: int) -> None:
+        if after[i] < n and (rank := ranks.get(word[i : end[after[i]]])) is not None:
+            heapq.heappush(heap, (rank, i, end[after[i]]))
+
+    for i in range(n):
+        offer(i)
+    gone = bytearray(n)
+    while heap:
+        _, i, reach = heapq.heappop(heap)
+        if gone[i] or after[i] >= n or end[after[i]] != reach:
+            continue
+        j = after[i]
+        gone[j], end[i], after[i] = 1, end[j], after[j]
+        if after[i] < n:
+            before[after[i]] = i
+        offer(i)
+        if before[i] >= 0:
+            offer(before[i])
+    out, i = [], 0
+    while i < n:
+        out.append(ranks[word[i : end[i]]])
+        i = after[i]
+    return out
 
-        _tables[key] = tiktoken.Encoding("from-file", pat_str=pattern, mergeable_ranks=_ranks(raw), special_tokens={})._core_bpe.encode_single_piece
-    return _tables[key]
+
+def _encoder(raw: bytes):
+    """word -> ids, its table made once in a Python worker."""
+    key = hashlib.sha256(raw).digest()
+    if key not in _tables:
+        _tables[key] = _ranks(raw)
+    ranks = _tables[key]
+    return lambda word: merged(word, ranks)
 
 
 def token_bytes(raw: bytes) -> list[bytes]:
@@ -93,8 +150,8 @@ def _chunks(pattern: str, most: int, id_type: pa.DataType):
         import regex
 
         find = regex.compile(pattern).findall
-        number = TaskContext.get().partitionId() << 12
-        ids, counts, places, words = [], [], [], {}
+        first = number = TaskContext.get().partitionId() << 12
+        ids, counts, places, words, size = [], [], [], {}, 0
 
         def closed() -> pa.RecordBatch:
             docs = _stream(doc_id=pa.array(ids, id_type), count=pa.array(counts, pa.int64()))
@@ -109,10 +166,12 @@ def _chunks(pattern: str, most: int, id_type: pa.DataType):
                 ids.append(doc_id.as_py())
                 counts.append(len(found))
                 places.append(pack(np.fromiter(map(words.__getitem__, found), np.int64, len(found))))
-                if len(words) >= most or len(ids) >= 100_000:
+                size += 4 * len(found)
+                if len(words) >= most or len(ids) >= 100_000 or size >= CHUNK_BYTES:
                     yield closed()
-                    number += 1
-                    ids, counts, places, words = [], [], [], {}
+                    if (number := number + 1) >= first + (1 << 12):
+                        raise ValueError("a partition has more chunks than numbers; deal the input to more partitions")
+                    ids, counts, places, words, size = [], [], [], {}, 0
         if ids:
             yield closed()
 
@@ -129,11 +188,11 @@ def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(place[at : at + 10_000]), words.slice(at, 10_000).cast(pa.string())], names=["place", "word"])
 
 
-def _encoded(raw: bytes, pattern: str):
+def _encoded(raw: bytes):
     """place, word (sorted by word) -> a row per chunk met: gaps between places, ids' numbers, ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, last, ids = _encoder(raw, pattern), None, b""
+        encode, last, ids = _encoder(raw), None, b""
         places, out = [], []
 
         def gathered() -> Iterator[pa.RecordBatch]:
@@ -214,7 +273,7 @@ def encode_words(docs: DataFrame, raw: bytes, pattern: str, chunk_words: int = C
     made = docs.select("doc_id", "text").mapInArrow(_chunks(pattern, chunk_words, kind), "chunk bigint, docs binary, places binary, words binary")
     chunks = made.repartition("chunk")
     words = chunks.mapInArrow(_exploded, "place bigint, word string")
-    ids = words.repartition("word").sortWithinPartitions("word").mapInArrow(_encoded(raw, pattern), "chunk bigint, gaps binary, sizes binary, ids binary")
+    ids = words.repartition("word").sortWithinPartitions("word").mapInArrow(_encoded(raw), "chunk bigint, gaps binary, sizes binary, ids binary")
     return chunks, ids
 
 
