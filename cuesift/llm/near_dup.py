@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from cuesift.llm.components import connected_components
 from cuesift.llm.storage import remove, written
-from cuesift.llm.words import mix, pieces, shingle_hashes, word_hashes
+from cuesift.llm.words import PIECE, is_long, mix, pieces, shingle_hashes, word_hashes
 
 ROWS, BANDS = 4, 32
 
@@ -26,8 +26,11 @@ ROWS, BANDS = 4, 32
 def super_minhash(elements: np.ndarray, text: np.ndarray, n_texts: int, m: int) -> np.ndarray:
     """Signatures (n_texts, m) of sets: ``elements`` are hashes, ``text`` the set of each.
 
-    A component holds rank * 2^32 + fraction; a set without elements has all ones.
+    A component holds rank * 2^32 + fraction; a set without elements has all ones. One set of many
+    elements is signed in parts, whose least components are those of the whole.
     """
+    if n_texts == 1 and len(elements) > PIECE:
+        return np.min([super_minhash(elements[a : a + PIECE], text[a : a + PIECE], 1, m) for a in range(0, len(elements), PIECE)], axis=0)
     top = np.uint64(0xFFFFFFFFFFFFFFFF)
     sig = np.full(n_texts * m, top, np.uint64)
     order = None
@@ -59,7 +62,12 @@ def super_minhash(elements: np.ndarray, text: np.ndarray, n_texts: int, m: int)
 
 def _joined(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The sorted distinct shingle hashes of all texts, each text's number of them, and bounds."""
-    h, bounds = shingle_hashes(*word_hashes(data, offsets), k)
+    words, bounds = word_hashes(data, offsets)
+    if is_long(data, offsets):
+        runs = [words[a : a + PIECE + k - 1] for a in range(0, max(1, len(words) - k + 1), PIECE)]
+        whole = np.unique(np.concatenate([np.unique(shingle_hashes(run, np.array([0, len(run)]), k)[0]) for run in runs]))
+        return whole, np.array([len(whole)], np.int64), np.array([0, len(whole)])
+    h, bounds = shingle_hashes(words, bounds, k)
     sets = [np.unique(h[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
     size = np.array([len(x) for x in sets], np.int64)
     return np.concatenate(sets), size, np.concatenate([[0], np.cumsum(size)])

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from cuesift.llm.labelled import fitted
 from cuesift.llm.toxicity import with_score
-from cuesift.llm.words import pieces, word_hashes
+from cuesift.llm.words import PIECE, is_long, pieces, word_hashes
 
 WORD_BITS, SHAPE_BITS, ORDERS = 12, 12, (1, 2, 3, 4)
 RANK, NEIGHBOURS, SHARPNESS = 48, 25, 8
@@ -53,17 +53,22 @@ def _terms(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         again = np.flatnonzero((words[1:] == words[:-1]) & (of[1:] == of[:-1]))
         out[:, -1] = np.bincount(of[again], minlength=n)
         out[:, -2] = np.diff(bounds)
-    text = np.repeat(np.arange(n), np.diff(offsets))
-    shape = _SHAPE[data]
-    h = np.zeros(len(shape), np.uint32)
-    for order in range(1, max(ORDERS) + 1):
-        if len(shape) < order:
-            break
-        h = (h if order == 1 else h[:-1]) * np.uint32(0x01000193) + shape[order - 1 :]
-        if order in ORDERS:
-            k = ((h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D + 2 * order)) >> np.uint32(32 - SHAPE_BITS)
-            use = np.flatnonzero(text[: len(k)] == text[order - 1 :])
-            out += flat(text[use], (1 << WORD_BITS) + k[use].astype(np.int64))
+    # one long text goes by in runs that overlap by what the longest n-gram reaches over
+    step = PIECE if is_long(data, offsets) else max(len(data), 1)
+    for a in range(0, len(data), step):
+        run = data[a : a + step + max(ORDERS) - 1]
+        text = np.zeros(len(run), np.int64) if n == 1 else np.repeat(np.arange(n), np.diff(offsets))
+        shape = _SHAPE[run]
+        h = np.zeros(len(shape), np.uint32)
+        for order in range(1, max(ORDERS) + 1):
+            if len(shape) < order:
+                break
+            h = (h if order == 1 else h[:-1]) * np.uint32(0x01000193) + shape[order - 1 :]
+            if order in ORDERS:
+                k = ((h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D + 2 * order)) >> np.uint32(32 - SHAPE_BITS)
+                use = np.flatnonzero(text[: len(k)] == text[order - 1 :])
+                use = use[use < step]  # what starts later belongs to the next run
+                out += flat(text[use], (1 << WORD_BITS) + k[use].astype(np.int64))
     return out
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from cuesift.llm.labelled import MAX_BYTES, MAX_ROWS, fitted, fold
-from cuesift.llm.words import pieces
+from cuesift.llm.words import PIECE, is_long, pieces
 
 ORDERS = (3, 4, 5)
 BITS = 20
@@ -41,6 +41,9 @@ class Model:
 
 def _hits(data: np.ndarray, offsets: np.ndarray, chosen: np.ndarray | None) -> np.ndarray:
     """Sorted distinct (text << BITS | n-gram hash) of a run of texts, of chosen hashes only."""
+    if is_long(data, offsets):
+        parts = [data[a : a + PIECE + max(ORDERS) - 1] for a in range(0, len(data), PIECE)]
+        return np.unique(np.concatenate([_hits(part, np.array([0, len(part)]), chosen) for part in parts]))
     text = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
     low = _LOWER[data] + np.uint32(1)
     found, h = [], low.copy()

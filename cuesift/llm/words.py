@@ -1,7 +1,8 @@
 """Hashes of words and word shingles for whole Arrow columns of text.
 
 A word is a run of bytes other than space and \\t \\n \\v \\f \\r, with A-Z taken as a-z.
-Bytes of a batch are handled together with NumPy; nothing loops over words.
+Bytes of a batch are handled together with NumPy; nothing loops over words. A text of more than
+two pieces is handled a piece at a time, so that temporary arrays don't grow with it.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-#: Bytes of text that are hashed at a time; a longer text is a piece of its own.
+#: Bytes of text that are hashed at a time; a longer text is a run of its own, cut at blanks inside.
 PIECE = 1 << 20
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -52,8 +53,34 @@ def pieces(column: pa.Array, most: int = PIECE) -> Iterator[tuple[int, int, np.n
         at = end
 
 
+def is_long(data: np.ndarray, offsets: np.ndarray) -> bool:
+    """Whether this is one text of more than two pieces."""
+    return len(offsets) == 2 and len(data) > 2 * PIECE
+
+
+def _next_blank(data: np.ndarray, at: int) -> int:
+    """The first place from ``at`` on that holds a blank, or the end."""
+    while at < len(data):
+        if (found := np.flatnonzero(_SPACE[data[at : at + PIECE]])).size:
+            return at + int(found[0])
+        at += PIECE
+    return len(data)
+
+
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words, and the n + 1 bounds of each text's words among them."""
+    if not is_long(data, offsets):
+        return _word_hashes(data, offsets)
+    at, parts = 0, []
+    while at < len(data):
+        end = _next_blank(data, at + PIECE)
+        parts.append(_word_hashes(data[at:end], np.array([0, end - at]))[0])
+        at = end
+    words = np.concatenate(parts)
+    return words, np.array([0, len(words)])
+
+
+def _word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = len(data)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
