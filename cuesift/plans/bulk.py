@@ -16,7 +16,7 @@ from pyspark.sql.types import StringType, StructType
 from cuesift.plans.tree import Node, TreeError, repair
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def repaired(trees: pd.Series) -> pd.Series:
     """Trees with long RIGHT_AFTER chains nested to the right; what isn't JSON, and null, stays as it is."""
 
@@ -29,7 +29,7 @@ def repaired(trees: pd.Series) -> pd.Series:
     return trees.map(one)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def problem(trees: pd.Series) -> pd.Series:
     """What is wrong with a tree, null if nothing."""
 
