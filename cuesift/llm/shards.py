@@ -3,8 +3,8 @@
 A keyed Feistel network over the least even number of bits that holds N, walked along its cycle
 until it lands below N, is a permutation of 0..N-1: it gives every sequence its global slot
 without a sort or a table. Slot s is at byte (s mod shard length) * stride of shard s div length,
-so a reader goes on at any slot with one seek. Each shard is a contiguous range of slots, put in
-order and written by one task; a shard's file appears at once and is the same at every attempt.
+so a reader goes on at any slot with one seek. Slots are dealt by range: a partition holds neighbouring shards, puts one
+at a time in order and writes it; a shard's file appears at once and is the same at every attempt.
 """
 
 from __future__ import annotations
@@ -15,17 +15,20 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from cuesift.llm.storage import new_path
+from cuesift.llm.bpe import encode
+from cuesift.llm.storage import new_path, written
 from cuesift.llm.words import mix, pieces
 
 LENGTH = 512
 SHARD_SEQUENCES = 16_384
 ROUNDS = 6
+#: Most range partitions; with more shards each writes several, one after the other.
+MOST_PARTITIONS = 100_000
 
 
 def permuted(index: np.ndarray, n: int, key: int) -> np.ndarray:
@@ -80,11 +83,14 @@ def _packed(rows: list[pa.RecordBatch], per_shard: int) -> Iterator[pa.RecordBat
         yield pa.RecordBatch.from_arrays([pa.array([shard[a]], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["shard", "body"])
 
 
-def _cut(first: dict[int, tuple[int, int]], total: int, key: int, stride: int, width: int, per_shard: int):
-    """doc_id, ids (bytes) -> sequences with their slots, packed by shard; ``first`` has each partition's first index."""
+def _cut(first: Broadcast, total: int, key: int, stride: int, width: int, per_shard: int):
+    """doc_id, ids (bytes) -> sequences with their slots, packed by shard; ``first`` has each partition's first index and number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, count = first.get(TaskContext.get().partitionId(), (0, 0))
+        parts, starts, counts = first.value
+        place = int(np.searchsorted(parts, TaskContext.get().partitionId()))
+        known = place < len(parts) and parts[place] == TaskContext.get().partitionId()
+        at, count = (int(starts[place]), int(counts[place])) if known else (0, 0)
         end, rows, held = at + count, [], 0
         for batch in batches:
             for a, b, data, offsets in pieces(batch["ids"]):
@@ -123,10 +129,10 @@ def shard_name(shard: int) -> str:
 
 
 def _write(path: str, per_shard: int, stride: int, id_type: pa.DataType):
-    """The sequences of a shard -> its file, and a directory row for each, checked against the file."""
+    """Sequences packed by shard, shards in order -> their files, and a directory row for each, checked against the file."""
 
-    def run(packed: pa.Table) -> pa.Table:
-        table = pa.concat_tables([pa.ipc.open_stream(x.as_py()).read_all() for x in packed["body"]]).sort_by("slot")
+    def shard_of(bodies: list[bytes]) -> pa.Table:
+        table = pa.concat_tables([pa.ipc.open_stream(x).read_all() for x in bodies]).sort_by("slot")
         slot = table["slot"].to_numpy()
         shard = int(slot[0]) // per_shard
         base = shard * per_shard
@@ -145,6 +151,18 @@ def _write(path: str, per_shard: int, stride: int, id_type: pa.DataType):
         crc = [zlib.crc32(data[i : i + stride]) for i in range(0, len(data), stride)]
         return pa.table({"slot": table["slot"], "shard": pa.array(np.full(len(slot), shard, np.int32)), "byte_offset": pa.array((slot - base) * stride), "doc_id": table["doc_id"].cast(id_type), "piece": table["piece"], "n_tokens": table["n_tokens"], "crc32": pa.array(crc, pa.int64())})
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, bodies = None, []
+        for batch in batches:
+            for shard, body in zip(batch["shard"].to_pylist(), batch["body"], strict=True):
+                if bodies and shard != now:
+                    yield from shard_of(bodies).to_batches()
+                    bodies = []
+                now = shard
+                bodies.append(body.as_py())
+        if bodies:
+            yield from shard_of(bodies).to_batches()
+
     return run
 
 
@@ -153,6 +171,18 @@ def byte_ids(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("ids"))
 
 
+def bpe_ids(docs: DataFrame, raw: bytes, pattern: str) -> DataFrame:
+    """(doc_id, ids): a text's byte-level BPE ids, four bytes each, in a written table as ``materialise`` needs it (width 4)."""
+    kind = docs.schema["doc_id"].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = [np.array(x or [], "<u4").tobytes() for x in batch["ids"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+
+    return written(encode(docs, raw, pattern).mapInArrow(run, f"doc_id {kind.simpleString()}, ids binary"), "ids")
+
+
 def materialise(sequences: DataFrame, path: str, key: int = 1, length: int = LENGTH, width: int = 1, per_shard: int = SHARD_SEQUENCES) -> DataFrame:
     """Write documents' token ids as shards in training order; return the shards' directory.
 
@@ -164,21 +194,23 @@ def materialise(sequences: DataFrame, path: str, key: int = 1, length: int = LEN
 
     Indices follow the input's partitions, which are counted first: the input has to be a scan
     of files (or a written table), and a task fails if it meets other rows than were
-    counted. Tasks hold one shard at a time. Null ids and repeated rows are sequences like others; null
+    counted. The counts (24 bytes for each file split) are broadcast. Tasks hold one shard at a time. Null ids and repeated rows are sequences like others; null
     texts are empty; other columns aren't read; an empty table writes nothing.
     """
     stride = length * width
     src = sequences.select("doc_id", "ids")
     n = F.greatest(F.lit(1), F.ceil(F.coalesce(F.octet_length("ids"), F.lit(0)) / stride))
     counts = src.groupBy(F.spark_partition_id().alias("p")).agg(F.sum(n).alias("n")).collect()  # a row per file split
-    total, first = 0, {}
-    for row in sorted(counts, key=lambda r: r["p"]):
-        first[row["p"]] = (total, row["n"])
-        total += row["n"]
+    parts, each = (np.array(x, np.int64) for x in (zip(*sorted((r["p"], r["n"]) for r in counts), strict=True) if counts else ([], [])))
+    total = int(each.sum())
+    first = sequences.sparkSession.sparkContext.broadcast((parts, np.cumsum(each) - each, each))
     kind = src.schema["doc_id"].dataType
     cut = src.mapInArrow(_cut(first, total, key, stride, width, per_shard), "shard bigint, body binary")
     out = f"slot bigint, shard int, byte_offset bigint, doc_id {kind.simpleString()}, piece int, n_tokens int, crc32 bigint"
-    return cut.groupBy("shard").applyInArrow(_write(path, per_shard, stride, to_arrow_type(kind)), out)
+    shard_count = max(1, -(-total // per_shard))
+    ranges = min(shard_count, MOST_PARTITIONS)
+    dealt = cut.repartitionById(ranges, F.floor(F.col("shard") * ranges / shard_count).cast("int")).sortWithinPartitions("shard")
+    return dealt.mapInArrow(_write(path, per_shard, stride, to_arrow_type(kind)), out)
 
 
 def training_order(docs: DataFrame, key: int = 1, length: int = LENGTH, per_shard: int = SHARD_SEQUENCES) -> DataFrame:

@@ -37,6 +37,26 @@ def test_the_permutation_depends_on_its_key_and_mixes():
     assert (a == b).mean() < 0.01 and abs(np.corrcoef(np.arange(n), a)[0, 1]) < 0.05
 
 
+def test_shards_of_bpe_ids_in_few_range_partitions(spark, tmp_path, monkeypatch):
+    import public_tokenizers
+    import tiktoken
+
+    from cuesift.llm import bpe
+
+    raw = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    encoding = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe._ranks(raw), special_tokens={})
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").limit(30).collect()] + [(None, None), (-1, "")]
+    monkeypatch.setattr(shards, "MOST_PARTITIONS", 3)
+    ids = shards.bpe_ids(spark.createDataFrame(rows, SCHEMA), raw, public_tokenizers.PATTERN)
+    path = f"file://{tmp_path}/shards"
+    out = shards.materialise(ids, path, 9, 16, 4, 50).collect()
+    stored, got = dict(shards.read_from(path, 0, 16, 4, 50)), {}
+    assert sorted(r.slot for r in out) == list(range(len(out))) == sorted(stored) and len({r.shard for r in out}) > 3
+    for r in sorted(out, key=lambda r: r.piece):
+        got[r.doc_id] = got.get(r.doc_id, []) + np.frombuffer(stored[r.slot][: 4 * r.n_tokens], "<u4").tolist()
+    assert got == {i: encoding.encode_ordinary(t or "") for i, t in rows}
+
+
 @pytest.mark.parametrize(("length", "per_shard"), [(512, 16_384), (64, 7), (16, 1000)])
 def test_shards_hold_every_document(spark, tmp_path, length, per_shard):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").limit(40).collect()]
@@ -72,7 +92,7 @@ def test_shards_of_odd_documents(spark, tmp_path):
 
 
 def test_changed_partitions_are_noticed(spark, tmp_path):
-    first = {0: (0, 5)}
+    first = spark.sparkContext.broadcast((np.array([0]), np.array([0]), np.array([5])))  # partition 0 starts at 0 with 5
     run = shards._cut(first, 5, 1, 8, 1, 4)
     with pytest.raises(Exception, match="changed"):
         spark.createDataFrame([(1, "abc")], "doc_id long, ids string").coalesce(1).mapInArrow(run, "shard bigint, body binary").collect()
