@@ -96,6 +96,29 @@ def test_answers_of_models():
         parsing.ModelParser(lambda s, q, t: 1 / 0).parse("?")
 
 
+def test_chat_models_fall_back_and_are_asked_again():
+    from types import SimpleNamespace as S
+
+    asked = []
+
+    def create(model, messages, temperature, **extra):
+        asked.append((len(messages), "response_format" in extra, extra.get("seed")))
+        if "response_format" in extra:
+            raise ValueError("no JSON mode")
+        text = "sorry" if len(messages) == 2 else A.to_json()
+        return S(choices=[S(message=S(content=text))])
+
+    client = S(chat=S(completions=S(create=create)))
+    assert parsing.create_parser("chat", parsing.remote_chat(client, "m", 7)).parse("?") == A
+    assert asked == [(2, True, 7), (2, False, 7), (4, True, 7), (4, False, 7)]
+    local = parsing.local_chat(lambda prompt, t: A.to_json() if prompt.startswith("system: ") and prompt.endswith("assistant:") else "")
+    assert parsing.ChatParser(local).parse("?") == A
+    with pytest.raises(RuntimeError, match="JSON mode"):
+        parsing.ChatParser(lambda m, t, j: 1 / 0).parse("?")
+    with pytest.raises(TreeError):
+        parsing.ChatParser(lambda m, t, j: "never").parse("?")
+
+
 def test_prompts_follow_the_experts():
     assert parsing.audio_flags(None) == (True, True) and parsing.audio_flags({"ASR": False}) == (False, True)
     assert parsing.allowed_experts(False, False) == ["OCR", "OVD", "CLIP"]
