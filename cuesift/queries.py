@@ -263,10 +263,12 @@ def _greedy_sql(clash: str) -> str:
 def _pass_sql(curve: str) -> str:
     """CTE bodies from ``curve`` (video_id, frame_idx, y) to ``pass_`` (video_id, rank, frame_idx, y, phase) for k = 16.
 
-    Four peaks at least four frames apart, one neighbour of each within two frames, then the best of the rest.
+    Four peaks (plateaus at their middle) at least four frames apart, one neighbour of each within two frames, then the best of the rest.
     """
     return f"""c_ AS (SELECT video_id, frame_idx::INT AS f, round(y, 12) AS y FROM {curve}),
-      top_ AS (SELECT video_id, f, row_number() OVER (PARTITION BY video_id ORDER BY y DESC, f DESC) AS n FROM (SELECT *, lag(y) OVER q AS a, lead(y) OVER q AS b FROM c_ WINDOW q AS (PARTITION BY video_id ORDER BY f)) WHERE y > a AND y > b),
+      g_ AS (SELECT *, sum(CASE WHEN y = p THEN 0 ELSE 1 END) OVER (PARTITION BY video_id ORDER BY f) AS g FROM (SELECT *, lag(y) OVER (PARTITION BY video_id ORDER BY f) AS p FROM c_)),
+      run_ AS (SELECT video_id, y, (min(f) + max(f)) // 2 AS f FROM g_ GROUP BY video_id, g, y),
+      top_ AS (SELECT video_id, f, row_number() OVER (PARTITION BY video_id ORDER BY y DESC, f DESC) AS n FROM (SELECT *, lag(y) OVER q AS a, lead(y) OVER q AS b FROM run_ WINDOW q AS (PARTITION BY video_id ORDER BY f)) WHERE y > a AND y > b),
       thin_(video_id, n, c) AS (SELECT DISTINCT video_id, 0::BIGINT, []::INT[] FROM c_
         UNION ALL SELECT r.video_id, r.n + 1, CASE WHEN len(list_filter(r.c, lambda x: abs(x - t.f) < 4)) = 0 THEN list_append(r.c, t.f) ELSE r.c END FROM thin_ r JOIN top_ t ON t.video_id = r.video_id AND t.n = r.n + 1),
       left_ AS (SELECT video_id, unnest(c) AS f FROM (SELECT video_id, arg_max(c, n) AS c FROM thin_ GROUP BY 1)),
@@ -277,7 +279,7 @@ def _pass_sql(curve: str) -> str:
       able_ AS (SELECT p.video_id, p.f, p.y FROM prom_ p JOIN level_ l ON l.video_id = p.video_id AND p.p >= l.need UNION ALL SELECT video_id, f, y FROM c_ WHERE video_id NOT IN (SELECT video_id FROM level_)),
       peak_ AS (SELECT * FROM (SELECT video_id, f, row_number() OVER (PARTITION BY video_id ORDER BY y DESC, f DESC) AS j FROM able_) WHERE j <= 4),
       near_(video_id, j, c) AS (SELECT video_id, 0::BIGINT, list(f ORDER BY j) FROM peak_ GROUP BY 1
-        UNION ALL SELECT s.video_id, s.j + 1, list_append(any_value(s.c), arg_max(o.f, o.y)) FROM near_ s JOIN peak_ k ON k.video_id = s.video_id AND k.j = s.j + 1 JOIN c_ o ON o.video_id = s.video_id AND o.f BETWEEN k.f - 2 AND k.f + 2 AND NOT list_contains(s.c, o.f) GROUP BY s.video_id, s.j),
+        UNION ALL SELECT s.video_id, s.j + 1, list_append(any_value(s.c), arg_max(o.f, o.y - o.f * 1e-16)) FROM near_ s JOIN peak_ k ON k.video_id = s.video_id AND k.j = s.j + 1 JOIN c_ o ON o.video_id = s.video_id AND o.f BETWEEN k.f - 2 AND k.f + 2 AND NOT list_contains(s.c, o.f) GROUP BY s.video_id, s.j),
       base_ AS (SELECT video_id, arg_max(c, j) AS c, max(j) AS n FROM near_ GROUP BY 1),
       pick_ AS (SELECT video_id, unnest(c) AS f, unnest(range(1, len(c) + 1)) AS rank, n FROM base_),
       pass_ AS (SELECT video_id, rank::INT AS rank, f AS frame_idx, y, phase FROM (
