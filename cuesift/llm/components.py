@@ -55,9 +55,22 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return out
 
 
+def _merged(label: DataFrame | None, found: DataFrame) -> DataFrame:
+    """Labels after more links (u, v): only groups that the links join are looked at again."""
+    if label is None:
+        return connected_components(found)
+    named = lambda end: label.select(F.col("id").alias(end), F.col("label").alias(f"_{end}"))
+    ends = found.join(named("u"), "u", "left").join(named("v"), "v", "left").select(F.coalesce("_u", "u").alias("u"), F.coalesce("_v", "v").alias("v"))
+    moved = connected_components(ends)
+    to = moved.select(F.col("id").alias("label"), F.col("label").alias("to"))
+    old = label.join(to, "label", "left").select("id", F.coalesce("to", "label").alias("label"))
+    return written(old.unionByName(moved.join(label.select("id"), "id", "left_anti")), "labels")
+
+
 def bucket_groups(
     members: DataFrame,
     verify: Callable[[DataFrame], DataFrame],
+    rest: Callable[[DataFrame], DataFrame],
     pair_filter: str = "true",
     stars: int = 4,
 ) -> DataFrame:
@@ -72,11 +85,12 @@ def bucket_groups(
     not all pairs are looked at: in each round every bucket compares its members
     with one centre only (rows in proportion to the members), and members already
     in the centre's group aren't compared. When few pairs of unlike groups
-    are left (or after ``stars`` rounds) those are verified without exception.
+    are left (or after ``stars`` rounds) ``rest`` takes (members' columns, group) of buckets with unlike groups and
+    returns the links (u, v) among those without exception.
     """
     cols = [c for c in members.columns if c not in ("key", "id")]
     ends = lambda t, p: t.select("key", *[F.col(c).alias(f"{p}_{c}") for c in ("id", "group", *cols)])
-    label = tested = links = None
+    label = None
     size = members.count()
     for turn in range(stars + 1):
         now = members.withColumn("group", F.col("id")) if label is None else members.join(label, "id", "left").withColumn("group", F.coalesce("label", "id")).drop("label")
@@ -88,25 +102,17 @@ def bucket_groups(
             if not left:
                 remove(now)
                 break
-            last = turn == stars or left <= 4 * size
-        else:
-            last = False
-        if last:
-            pairs = ends(now, "a").join(ends(now, "b"), "key").where("a_group < b_group")
-        else:
-            rank = F.xxhash64("id", F.lit(turn)) if turn else F.col("id")
-            centre = now.groupBy("key").agg(F.min_by(F.struct("id", "group", *cols), rank).alias("c"))
-            pairs = ends(now, "b").join(centre.select("key", *[F.col(f"c.{c}").alias(f"a_{c}") for c in ("id", "group", *cols)]), "key").where("a_group != b_group")
-        pairs = pairs.where(pair_filter).select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = written(pairs, "pairs")
+            if turn == stars or left <= 4 * size:
+                found = written(rest(now), "links")
+                remove(now)
+                return _merged(label, found)
+        rank = F.xxhash64("id", F.lit(turn)) if turn else F.col("id")
+        centre = now.groupBy("key").agg(F.min_by(F.struct("id", "group", *cols), rank).alias("c"))
+        pairs = ends(now, "b").join(centre.select("key", *[F.col(f"c.{c}").alias(f"a_{c}") for c in ("id", "group", *cols)]), "key").where("a_group != b_group")
+        pairs = written(pairs.where(pair_filter).select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b")).distinct(), "pairs")
+        found = written(verify(pairs).select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
+        remove(pairs)
         if turn:
             remove(now)
-        found = written(verify(pairs).select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
-        links = found if links is None else links.unionByName(found)
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        label = connected_components(links)
-        if last:
-            break
+        label = _merged(label, found)
     return label

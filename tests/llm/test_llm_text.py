@@ -150,13 +150,34 @@ def brute_lines(rows, percent=80):
     assert len(strange) <= len(spare)
     table = str.maketrans(dict(zip(strange, spare, strict=False)))
     forms = list(places)
+    # no distance is below that of the bags of characters, which leaves out most pairs without loss
+    letters = {x: k for k, x in enumerate(sorted({x for f in forms for x in f}))}
+    bag, n = np.zeros((len(forms), len(letters)), np.int32), np.array([len(f) for f in forms])
+    for k, f in enumerate(forms):
+        np.add.at(bag[k], [letters[x] for x in f], 1)
+    first, second = [], []
+    for k in range(len(forms) - 1):
+        gap = bag[k + 1 :] - bag[k]
+        least = np.maximum(np.maximum(gap, 0).sum(1), np.maximum(-gap, 0).sum(1))
+        near = np.flatnonzero(least * 100 <= np.maximum(n[k + 1 :], n[k]) * (100 - percent))
+        first.append(np.full(len(near), k))
+        second.append(near + k + 1)
     c = duckdb.connect()
-    c.register("f", pa.table({"i": np.arange(len(forms)), "t": [x.translate(table) for x in forms], "n": [len(x) for x in forms]}))
-    found = c.sql(f"""SELECT a.i, b.i FROM f a JOIN f b ON a.i < b.i AND abs(a.n - b.n) * 100 <= greatest(a.n, b.n) * {100 - percent}
-                      WHERE levenshtein(a.t, b.t) * 100 <= greatest(a.n, b.n) * {100 - percent}""").fetchall()
+    c.register("f", pa.table({"i": np.arange(len(forms)), "t": [x.translate(table) for x in forms], "n": n}))
+    c.register("p", pa.table({"a": np.concatenate(first), "b": np.concatenate(second)}))
+    found = c.sql(f"""SELECT x.i, y.i FROM p JOIN f x ON p.a = x.i JOIN f y ON p.b = y.i
+                      WHERE levenshtein(x.t, y.t) * 100 <= greatest(x.n, y.n) * {100 - percent}""").fetchall()
     return [(forms[i], forms[j]) for i, j in found], places
 
 
+@pytest.fixture
+def few_jobs(monkeypatch):
+    """Small tables need neither slices nor the driver's collections."""
+    monkeypatch.setattr(lines, "SLICES", 1)
+    monkeypatch.setattr(lines, "BANDS_AT_ONCE", 16)
+    monkeypatch.setattr(lines, "drop_shuffles", lambda spark: None)
+
+
 def check_groups(spark, rows, most_missed):
     """Groups only join what links join, and few links are missed; keepers are the first places."""
     got = {(r.doc_id, r.line_no): ((r.keeper_doc_id, r.keeper_line_no), r.kept) for r in lines.like_lines(spark.createDataFrame(rows, SCHEMA)).collect()}
@@ -201,17 +222,17 @@ def line_corpus():
     return rows
 
 
-def test_line_groups_against_all_pairs(spark):
+def test_line_groups_against_all_pairs(spark, few_jobs):
     # its words share a stem, so lines with a third of their words replaced link too, and some of those are missed
     assert check_groups(spark, line_corpus(), 0.2) > 100
 
 
-def test_supplied_lines_against_all_pairs(spark):
+def test_supplied_lines_against_all_pairs(spark, few_jobs):
     docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
     assert check_groups(spark, [(r.doc_id, r.text) for r in docs], 0.1) > 10
 
 
-def test_dedup_lines_keeps_texts_but_for_dropped_lines(spark):
+def test_dedup_lines_keeps_texts_but_for_dropped_lines(spark, few_jobs):
     rows = line_corpus()
     df = spark.createDataFrame(rows, SCHEMA).withColumn("n_chars", F.length("text")).withColumn("h", F.lit("clash"))
     kept = {(r.doc_id, r.line_no): r.kept for r in lines.like_lines(df).collect()}
@@ -239,7 +260,7 @@ def test_lines_run_without_python(spark):
     assert len(plans) > 10 and not any(re.search("Python|Pandas|Arrow", p) for p in plans)
 
 
-def test_lines_of_odd_documents(spark):
+def test_lines_of_odd_documents(spark, few_jobs):
     assert {r.kept for r in lines.like_lines(odd(spark)).where("doc_id = 4 or doc_id = 6").collect()} <= {True}
     kept = lines.dedup_lines(odd(spark)).orderBy("doc_id").collect()
     assert sorted((str(r.doc_id), r.text) for r in kept if r.text) == sorted((str(i), t) for i, t in ODD if t)
