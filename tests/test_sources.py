@@ -258,3 +258,28 @@ def test_selection_prompt_and_frames(spark):
     prompt = selection_prompt(selected, segments, questions).first()["prompt"]
     assert prompt == "Frames at: [00:00:02] [00:01:01]\n\nSubtitles:\n[00:00:01] hi\n\nQuestion: What?\n\nOptions:\nA. x\nB. y"
     assert encoded_frames(spark.createDataFrame([(1, bytearray(b"abc"))], "i int, image binary")).first()["image"] == "YWJj"
+
+
+def test_bound_questions_are_answered_as_alone(spark):
+    """Many questions of two shapes, each on its video, against one question at a time; templates are averaged."""
+    from dataclasses import replace
+
+    from cuesift.config import Settings
+    from cuesift.pipeline import shape_of
+
+    rng = random.Random(8)
+    rows = [(v, i, [rng.gauss(0, 1) for _ in range(4)]) for v in "abc" for i in range(40)]
+    frames = spark.createDataFrame([(v, i, [x / sum(y * y for y in e) ** 0.5 for x in e]) for v, i, e in rows], "video_id string, frame_idx int, embedding array<double>")
+    unit = lambda t: [float(k == hash(t) % 4) or 0.1 for k in range(4)]
+    features = {"CLIP": {"frames": frames, "embed": lambda texts: [unit(t) for t in texts]}}
+    both, either = Node.of("AND", Node.leaf("CLIP", "x"), Node.leaf("CLIP", "y")), Node.of("OR", Node.leaf("CLIP", "z"), Node.leaf("CLIP", "x"))
+    questions = [Question("1", both, "a"), Question("2", either, "b"), Question("3", both, "c"), Question("4", either, "a")]
+    selector = FrameSelector(replace(Settings(), templates=("a photo of {}", "{} in a film")))
+    assert shape_of(both) == "AND(.,.)" and shape_of(either) == "OR(.,.)"
+    key = lambda r: (r.video_id, r.qid, r.rank, r.frame_idx, round(r.score, 9), r.phase)
+    got = sorted(map(key, selector.select(frames.select("video_id", "frame_idx"), questions, features, 8).collect()))
+    alone = []
+    for q in questions:
+        one = frames.where(F.col("video_id") == q.video_id)
+        alone += map(key, selector.select(one.select("video_id", "frame_idx"), [Question(q.qid, q.tree)], {"CLIP": {**features["CLIP"], "frames": one}}, 8).collect())
+    assert got == sorted(alone) and len(got) == 32
