@@ -257,18 +257,21 @@ def demux(data: bytes, track: int | None = None) -> bytes:
 
 def feature(data: bytes, media: Media) -> str:
     """A summary of the packet table: counts, duration, cues that point at a cluster, times, loudness."""
-    starts = {s for s in media.clusters}
-    # a cue gives a cluster element's start; its body follows the id and the size
-    good = sum(any(0 < s - at <= 12 for s in starts) if len(starts) < 4 else _cue_hits(sorted(starts), at) for _, _, at in media.cues)
+    starts = set(media.clusters)
+    good = sum(_is_cluster(data, at, starts) for _, _, at in media.cues)
     samples = np.frombuffer(b"".join(data[p.start : p.start + p.size] for p in media.packets), np.uint8)
     level = np.abs(samples.astype(np.int64) - 128)
     crossings = int(((samples[1:] >= 128) != (samples[:-1] >= 128)).sum())
     return f"packets={len(media.packets)};clusters={len(media.clusters)};cues={good};ms={int(round(media.duration * 1000))};last_ms={max((p.time_ns for p in media.packets), default=0) // 1_000_000};level={int(level.sum())};crossings={crossings}"
 
 
-def _cue_hits(starts: list[int], at: int) -> bool:
-    i = int(np.searchsorted(starts, at, "right"))
-    return i < len(starts) and starts[i] - at <= 12
+def _is_cluster(data: bytes, at: int, starts: set[int]) -> bool:
+    """Whether the element at ``at`` is a cluster whose body starts at one of ``starts``: what a cue has to point at."""
+    try:
+        kind, end, _ = _vint(data, at, True)
+        return kind == CLUSTER and _vint(data, end, False)[1] in starts
+    except (IndexError, ValueError):
+        return False
 
 
 def padded(text: bytes) -> bytes:

@@ -141,8 +141,8 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **bounds
     ``MAX_LABELLED`` x ``RANK`` floats and the projection. Scores come from the text alone.
     Null text scores as empty, null ids are scored too, repeated rows
     score alike, very long texts are read whole, an empty table gives no rows; without labels
-    every score is 0.5. Equal cosines at the border of the neighbours are
-    settled by the order of the sample. Input columns named score or predicted are replaced.
+    every score is 0.5. Of equal cosines at the border of the neighbours, which vote isn't set by any
+    order, but equal texts have equal votes. Input columns named score or predicted are replaced.
     """
     space = train(docs, labels, **bounds)
     scored = with_score(docs, lambda column: vote(column, space))

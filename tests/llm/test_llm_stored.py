@@ -121,6 +121,9 @@ def test_payloads_come_back(data):
     assert [p.time_ns for p in media.packets] == [i * 8_000_000 for i in range(len(payload) // 64)]
     assert all(p.size == 64 and p.track == 1 and p.keyframe for p in media.packets)
     assert len(media.cues) == len(media.clusters) and all(0 < s - at <= 12 for (_, _, at), s in zip(media.cues, media.clusters, strict=True))
+    assert f"cues={len(media.clusters)};" in M.feature(file, media)
+    astray = media._replace(cues=[(t, k, at + 1) for t, k, at in media.cues] + [(0, 1, len(file))])
+    assert "cues=0;" in M.feature(file, astray)
     assert media.tracks[1] == {"codec": "A_PCM/INT/LIT", "type": 2, "frame_ns": 8_000_000, "rate": 8000.0, "channels": 1, "bits": 8}
 
 
