@@ -178,7 +178,13 @@ def test_bucket_groups_are_those_of_all_pairs(spark):
         a, b = numbers.selectExpr("id a", "x p"), numbers.selectExpr("id b", "x q")
         return pairs.join(a, "a").join(b, "b").where("abs(p - q) < 0.004").select("a", "b")
 
-    got = {r.id: r.label for r in bucket_groups(spark.createDataFrame(members, "key long, id long"), verify).collect()}
+    def rest(now):
+        a, b = now.selectExpr("key", "id a", "group g"), now.selectExpr("key", "id b", "group h")
+        return verify(a.join(b, "key").where("a < b and g != h").select("a", "b").distinct()).selectExpr("a u", "b v")
+
+    table = spark.createDataFrame(members, "key long, id long")
+    got = {r.id: r.label for r in bucket_groups(table, verify, rest).collect()}
+    assert got == {r.id: r.label for r in bucket_groups(table, verify, rest, stars=1).collect()}
     buckets = defaultdict(set)
     for key, i in members:
         buckets[key].add(i)
