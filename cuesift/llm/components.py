@@ -90,29 +90,30 @@ def bucket_groups(
     """
     cols = [c for c in members.columns if c not in ("key", "id")]
     ends = lambda t, p: t.select("key", *[F.col(c).alias(f"{p}_{c}") for c in ("id", "group", *cols)])
-    label = None
+    label = before = None
     size = members.count()
     for turn in range(stars + 1):
         now = members.withColumn("group", F.col("id")) if label is None else members.join(label, "id", "left").withColumn("group", F.coalesce("label", "id")).drop("label")
         if turn:
             mixed = now.groupBy("key").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo != hi").select("key")
             now = written(now.join(mixed, "key"), "mixed")
+            if before is not None:
+                remove(before)
+            before, members = now, now.drop("group")  # a bucket in one group stays in one
             by = now.groupBy("key", "group").count().groupBy("key").agg((F.sum("count") * F.sum("count") - F.sum(F.col("count") * F.col("count"))).alias("n"))
             left = by.agg(F.sum(F.col("n").cast("decimal(38,0)")).alias("n")).first()["n"] or 0
             if not left:
-                remove(now)
                 break
             if turn == stars or left <= 4 * size:
-                found = written(rest(now), "links")
-                remove(now)
-                return _merged(label, found)
+                label = _merged(label, written(rest(now), "links"))
+                break
         rank = F.xxhash64("id", F.lit(turn)) if turn else F.col("id")
         centre = now.groupBy("key").agg(F.min_by(F.struct("id", "group", *cols), rank).alias("c"))
         pairs = ends(now, "b").join(centre.select("key", *[F.col(f"c.{c}").alias(f"a_{c}") for c in ("id", "group", *cols)]), "key").where("a_group != b_group")
         pairs = written(pairs.where(pair_filter).select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b")).distinct(), "pairs")
         found = written(verify(pairs).select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
         remove(pairs)
-        if turn:
-            remove(now)
         label = _merged(label, found)
+    if before is not None:
+        remove(before)
     return label
