@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
+from cuesift.llm.block_search import NEAREST_SQL, nearest_of_twentieth
 from cuesift.llm.bpe import read_ranks, round_trip
 from cuesift.llm.labelled import fold
 from cuesift.llm.lines import like_lines
@@ -75,6 +76,10 @@ def op10_super_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_documents(spark, sf_dir), k=4, percent=80)
 
 
+def op11_block_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_of_twentieth(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
@@ -87,8 +92,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_bpe": op8_bpe,
         "op9_suffix_tree": op9_suffix_tree,
         "op10_super_minhash": op10_super_minhash,
+        "op11_block_search": op11_block_search,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": TAKEN_SQL}
+    return {"op2_mixing": TAKEN_SQL, "op11_block_search": NEAREST_SQL}

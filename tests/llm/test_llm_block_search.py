@@ -1,0 +1,90 @@
+from __future__ import annotations
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from cuesift.llm import block_search
+from cuesift.llm.block_search import nearest, nearest_of_twentieth, quantised
+
+SCHEMA = "vec_id long, embedding array<float>"
+
+
+def usable(e):
+    return e is not None and len(e) > 0 and all(x is not None and np.isfinite(x) for x in e) and any(x != 0 for x in e)
+
+
+def brute(rows, asks, k):
+    rows = list(dict.fromkeys((i, tuple(np.float32(e).tolist())) for i, e in rows if i is not None and usable(e)))
+    out = []
+    for i, e in rows:
+        if asks(i):
+            near = sorted((-sum(a * b for a, b in zip(e, f, strict=True)), j) for j, f in rows if (j, f) != (i, e) and len(f) == len(e))
+            out += [(i, r + 1, j, -s) for r, (s, j) in enumerate(near[:k])]
+    return sorted(out)
+
+
+def got(df):
+    return sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in df.collect())
+
+
+def same(found, wanted):
+    assert [x[:3] for x in found] == [x[:3] for x in wanted]
+    assert np.allclose([x[3] for x in found], [x[3] for x in wanted], rtol=1e-12, atol=1e-12)
+
+
+def test_bounds_hold_the_inner_product():
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((200, 1500)) * rng.lognormal(0, 3, (200, 1))
+    code, scale, lost, size = quantised(x)
+    side = block_search._Side.__new__(block_search._Side)
+    side.ids, side.code, side.scale, side.lost, side.size = np.arange(200), code, scale, lost, size
+    low, high = block_search._bounds(side, slice(0, 200), side, slice(0, 200))
+    true = x @ x.T
+    assert (low <= true).all() and (true <= high).all() and (high - low < 0.1 * size[:, None] * size).all()
+
+
+@pytest.mark.parametrize("shape", ["plain", "clusters", "integers"])
+def test_nearest_are_those_of_all_pairs(spark, shape, monkeypatch):
+    for name, value in (("QUERIES", 40), ("LEAST_SLICE", 70), ("TILE_ROWS", 16), ("TILE_COLUMNS", 32), ("MERGED", 8)):
+        monkeypatch.setattr(block_search, name, value)
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((500, 12))
+    if shape == "clusters":
+        x = x[rng.integers(0, 6, 500)] + 0.001 * x
+    if shape == "integers":  # many ties and copies
+        x = rng.integers(-1, 2, (500, 4)).astype(float)
+    rows = [(int(i), v.tolist()) for i, v in enumerate(x)]
+    same(got(nearest(spark.createDataFrame(rows, SCHEMA), F.col("vec_id") % 4 == 0, 7)), brute(rows, lambda i: i % 4 == 0, 7))
+
+
+def test_copies_beyond_any_rank(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, [1.0, 2.0, 3.0]) for i in range(400)] + [(400 + i, v.tolist()) for i, v in enumerate(rng.standard_normal((40, 3)))]
+    same(got(nearest_of_twentieth(spark.createDataFrame(rows, SCHEMA))), brute(rows, lambda i: i % 20 == 0, 20))
+
+
+def test_odd_rows(spark):
+    rows = [
+        (0, [1.0, 0.0]), (0, [1.0, 0.0]), (0, [0.5, 0.5]), (20, None), (40, []), (60, [0.0, 0.0]), (80, [1.0, None]), (100, [float("nan"), 1.0]),
+        (120, [float("inf"), 1.0]), (None, [1.0, 1.0]), (1, [2.0, 1.0]), (2, [-3.0, 1.0]), (140, [1.0, 2.0, 3.0]), (3, [3.0, 2.0, 1.0]), (-20, [1e30, -1e30]), (4, [1e-30, 0.0]),
+    ]
+    df = spark.createDataFrame(rows, SCHEMA).withColumns({c: F.lit("x") for c in ("id", "ids", "asks", "q", "c", "rank", "score", "query_id", "dim", "code")})
+    same(got(nearest_of_twentieth(df)), brute(rows, lambda i: i % 20 == 0, 20))
+
+
+def test_no_rows(spark):
+    empty = spark.createDataFrame([], SCHEMA)
+    assert got(nearest_of_twentieth(empty)) == []
+    assert got(nearest_of_twentieth(spark.createDataFrame([(1, [1.0]), (2, [2.0])], SCHEMA))) == []
+    assert got(nearest_of_twentieth(spark.createDataFrame([(20, [1.0])], SCHEMA))) == []
+
+
+def test_query_equals_its_sql(spark):
+    import duckdb
+
+    from cuesift.llm.queries import op11_block_search
+
+    duckdb.sql("create or replace view embeddings as select * from '/root/testdata/sf0.01/embeddings.parquet'")
+    wanted = sorted(duckdb.sql(f"select query_id, rank, vec_id, score from ({block_search.NEAREST_SQL})").fetchall())
+    assert got(op11_block_search(spark, "/root/testdata/sf0.01")) == wanted
