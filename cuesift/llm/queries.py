@@ -16,6 +16,7 @@ from cuesift.llm.lines import like_lines
 from cuesift.llm.matroska import stored_texts
 from cuesift.llm.mixing import TAKEN_SQL, taken
 from cuesift.llm.near_dup import near_duplicates
+from cuesift.llm.periodic import run_digests
 from cuesift.llm.quality import quality
 from cuesift.llm.shards import training_order
 from cuesift.llm.suffix_tree import suffix_tree_scores
@@ -80,6 +81,10 @@ def op11_block_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_of_twentieth(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_digests(_documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
@@ -93,6 +98,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_suffix_tree": op9_suffix_tree,
         "op10_super_minhash": op10_super_minhash,
         "op11_block_search": op11_block_search,
+        "op12_periodic_runs": op12_periodic_runs,
     }
 
 
