@@ -22,8 +22,8 @@ from cuesift.llm.storage import remove, written
 NEAREST = 20
 #: Queries in a block; a task holds their codes and their best bounds.
 QUERIES = 16_384
-#: Candidates in a block: as many as make ``SLICES`` blocks, between these bounds.
-SLICES, LEAST_SLICE, MOST_SLICE = 1024, 4096, 1 << 20
+#: Blocks of candidates at least, and candidates in a block at most: each block returns a query's nearest in it.
+SLICES, MOST_SLICE = 8, 1 << 20
 #: Rows and columns of a tile that are multiplied at once.
 TILE_ROWS, TILE_COLUMNS = 512, 2048
 #: Products of codes are whole numbers below 2^24 over so many components, exact in single precision.
@@ -31,7 +31,7 @@ EXACT_WIDTH = 1024
 #: Of the product of both lengths: more than double precision can lose.
 SLACK = 1e-9
 #: Queries whose survivors are merged by one task at a time.
-MERGED = 512
+MERGED = 16
 
 _CODED = "id bigint, dim int, asks boolean, code binary, scale double, lost double, size double"
 
@@ -191,7 +191,7 @@ def nearest(vectors: DataFrame, asks: Column, k: int = NEAREST) -> DataFrame:
     items = written(_items(rows, keep), "items")
     coded = written(items.select("id", "asks", "embedding").mapInArrow(_quantise, _CODED), "codes")
     count = coded.groupBy("dim").agg(F.count("*").alias("n"), F.count_if("asks").alias("m"))
-    count = count.select("dim", F.ceil(F.col("m") / QUERIES).alias("tops"), F.ceil(F.col("n") / F.least(F.greatest(F.ceil(F.col("n") / SLICES), F.lit(LEAST_SLICE)), F.lit(MOST_SLICE))).alias("lefts"))
+    count = count.select("dim", F.ceil(F.col("m") / QUERIES).alias("tops"), F.greatest(F.ceil(F.col("n") / MOST_SLICE), F.lit(SLICES)).alias("lefts"))
     sized = coded.join(F.broadcast(count.where("tops > 0")), "dim")  # a row for each length of vector
     cast = [F.col(c).cast("int").alias(c) for c in ("tops", "lefts")]
     sized = sized.select(*coded.columns, *cast)

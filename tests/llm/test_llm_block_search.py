@@ -46,7 +46,7 @@ def test_bounds_hold_the_inner_product():
 
 @pytest.mark.parametrize("shape", ["plain", "clusters", "integers"])
 def test_nearest_are_those_of_all_pairs(spark, shape, monkeypatch):
-    for name, value in (("QUERIES", 40), ("LEAST_SLICE", 70), ("TILE_ROWS", 16), ("TILE_COLUMNS", 32), ("MERGED", 8)):
+    for name, value in (("QUERIES", 40), ("MOST_SLICE", 50), ("TILE_ROWS", 16), ("TILE_COLUMNS", 32), ("MERGED", 8)):
         monkeypatch.setattr(block_search, name, value)
     rng = np.random.default_rng(5)
     x = rng.standard_normal((500, 12))
