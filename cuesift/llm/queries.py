@@ -11,6 +11,7 @@ import public_tokenizers
 
 from cuesift.llm.block_search import NEAREST_SQL, nearest_of_twentieth
 from cuesift.llm.bpe import read_ranks, round_trip
+from cuesift.llm.collocations import COLLOCATIONS_SQL, collocations
 from cuesift.llm.labelled import fold
 from cuesift.llm.lines import like_lines
 from cuesift.llm.matroska import stored_texts
@@ -85,6 +86,10 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_digests(_documents(spark, sf_dir))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(_documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
@@ -99,8 +104,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_super_minhash": op10_super_minhash,
         "op11_block_search": op11_block_search,
         "op12_periodic_runs": op12_periodic_runs,
+        "op13_collocations": op13_collocations,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": TAKEN_SQL, "op11_block_search": NEAREST_SQL}
+    return {"op2_mixing": TAKEN_SQL, "op11_block_search": NEAREST_SQL, "op13_collocations": COLLOCATIONS_SQL}
