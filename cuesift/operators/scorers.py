@@ -139,8 +139,8 @@ def register_scorer(expert: str, score: Callable) -> None:
     _SCORERS[expert] = score
 
 
-def align_embeddings(cached: DataFrame, n_frames: int) -> DataFrame:
-    """Cached embeddings (video_id, frame_idx, embedding) fitted to ``n_frames``: extra frames go from the head."""
+def align_embeddings(cached: DataFrame, n_frames: int | Column) -> DataFrame:
+    """Cached embeddings (video_id, frame_idx, embedding) fitted to ``n_frames`` (a number, or each video's column): extra frames go from the head."""
     size = Window.partitionBy("video_id")
     over = F.greatest(F.lit(0), F.max("frame_idx").over(size) + 1 - n_frames)
     rows = cached.withColumn("_over", over).where(F.col("frame_idx") >= F.col("_over"))

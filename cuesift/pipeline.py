@@ -17,6 +17,7 @@ from cuesift.operators.smooth import smooth_by_expert
 from cuesift.plans.compiler import MissingLeaf, compose, pivot
 from cuesift.plans.parsing import QueryParser, format_question
 from cuesift.plans.tree import Node, leaves_by_expert, prune
+from cuesift.sources.features import FeatureLookup
 
 KEYS = ("video_id", "qid")
 
@@ -156,6 +157,25 @@ class FrameSelector:
         chosen = select(self.curves(grid, questions, features, fps), k, create_strategy(self.config.choice), fps)
         return chosen.select(*KEYS, "rank", "frame_idx", (F.col("frame_idx") / fps).alias("ts"), "score", "phase")
 
+    def select_stored(self, videos: DataFrame, grid: DataFrame, questions: Sequence[Question], lookup: FeatureLookup, given: dict[str, dict] | None = None, k: int = 16, fps: float | None = None) -> DataFrame:
+        """As ``select``, features coming from a store: what it lacks is extracted once and kept.
+
+        ``videos`` (video_id, path, ...) and their ``grid`` (video_id, frame_idx); only experts of the questions' trees are looked up, and
+        only the videos that are asked about. ``given`` holds what no store has (query vectors, detections), or tables that win over stored ones.
+        video_id comes out as a string, as the store has it.
+        """
+        fps, given = fps or self.config.fps, given or {}
+        text = F.col("video_id").cast("string")
+        videos, grid = videos.withColumn("video_id", text), grid.select(text.alias("video_id"), "frame_idx")
+        if all(q.video_id is not None for q in questions):
+            own = grid.sparkSession.createDataFrame([(str(q.video_id),) for q in questions], "video_id string").distinct()
+            videos, grid = videos.join(own, "video_id", "left_semi"), grid.join(own, "video_id", "left_semi")
+        experts = list(dict.fromkeys(leaf.expert for q in questions for leaf in self.bound(q.tree).leaves()))
+        ready = {e for e in experts if any(name in given.get(e, {}) for name in ("frames", "segments", "texts", "detections"))}
+        stored = lookup.features([e for e in experts if e not in ready], videos, grid, fps)
+        features = {e: {**stored.get(e, {}), **given.get(e, {})} for e in experts}
+        return self.select(grid, questions, features, k, fps)
+
 
 def results(selected: DataFrame, truth: DataFrame, trees: dict[str, Node], fps: float) -> DataFrame:
     """One row per video and question: chosen frames in the order of choice, the curve, the tree, and the first choice as best."""

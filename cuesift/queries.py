@@ -7,8 +7,6 @@ documents and conversations for text.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -26,7 +24,8 @@ from cuesift.pipeline import FrameSelector, Question
 from cuesift.plans import bulk
 from cuesift.plans.compiler import compose, evaluate
 from cuesift.plans.tree import Node
-from cuesift.sources.features import FeatureStore
+from cuesift.sources.features import FeatureLookup, FeatureStore
+from cuesift.sources.scratch import new_path
 from cuesift.sources.text import accuracy, parse_srt, subtitle_prompt
 from cuesift.sources.video import audio_bounds, frame_grid, frames_at
 
@@ -580,8 +579,7 @@ def _bound(spark, d):
 @_query("feature_store", f"WITH {_FRAMES_SQL} SELECT video_id::VARCHAR AS video_id, count(*) AS frames, round(sum(embedding[1]::DOUBLE), 4) AS first FROM f WHERE video_id % 2 = 0 GROUP BY 1")
 def _store(spark, d):
     """Vectors saved under their videos' keys, then read back for the even videos only."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="cuesift-")
-    store = FeatureStore(spark, f"{shared.rstrip('/')}/cuesift-features-{uuid.uuid4().hex}")
+    store = FeatureStore(spark, new_path(spark, "features"))
     frames = _frames(spark, d).select("video_id", "frame_idx", "embedding")
     videos = frames.select("video_id").distinct().withColumn("path", F.concat(F.lit("/videos/"), "video_id"))
     store.save("clip", frames, videos, 1.0)
@@ -589,6 +587,30 @@ def _store(spark, d):
     return rows.groupBy("video_id").agg(F.count("*").alias("frames"), F.round(F.sum(F.get("embedding", F.lit(0)).cast("double")), 4).alias("first"))
 
 
+@_query("store_status", "WITH c AS (SELECT conv_id, count(*) AS n FROM conversations GROUP BY 1) SELECT conv_id::VARCHAR AS video_id, conv_id % 2 = 0 AS asr, CASE WHEN conv_id % 2 <> 0 THEN NULL WHEN conv_id % 3 = 0 THEN 0 ELSE n END::BIGINT AS rows, CASE WHEN conv_id % 2 = 0 THEN 'store' ELSE 'extractor' END AS tier FROM c")
+def _status(spark, d):
+    """Transcripts of the even conversations are saved, every sixth without a segment, which counts as done."""
+    store = FeatureStore(spark, new_path(spark, "features"))
+    talk = _read(spark, d, "conversations").select(F.col("conv_id").alias("video_id"), F.col("turn").cast("int").alias("seg_idx"), (3.0 * F.col("turn")).alias("start"), (3.0 * F.col("turn") + 2.5).alias("end"), "text")
+    videos = talk.select("video_id").distinct().withColumn("path", F.concat(F.lit("/talks/"), "video_id"))
+    lookup = FeatureLookup(store, {"asr": lambda some: talk.join(some.select("video_id"), "video_id", "left_semi").where("video_id % 3 > 0")})
+    lookup.prepare("asr", videos.where("video_id % 2 = 0"), 1.0)
+    status = store.status(videos, 1.0).select("video_id", "asr")
+    told = lookup.report(videos, 1.0).where("feature = 'asr'").select("video_id", "rows", "tier")
+    return status.join(told, "video_id").select(F.col("video_id").cast("string").alias("video_id"), "asr", "rows", "tier")
+
+
+@_query("pipeline_stored", f"{_PIPELINE_SQL}, {_pass_sql('t')} SELECT video_id::VARCHAR AS video_id, 'q0' AS qid, rank, frame_idx, frame_idx::DOUBLE AS ts, round(y, 6) AS score, phase FROM pass_")
+def _stored(spark, d):
+    """The default selection with vectors from a store: even videos are there, the others are extracted when they are asked for, once."""
+    frames = _frames(spark, d).select("video_id", "frame_idx", "embedding")
+    videos = frames.select("video_id").distinct().withColumn("path", F.concat(F.lit("/videos/"), "video_id"))
+    lookup = FeatureLookup(FeatureStore(spark, new_path(spark, "features")), {"clip": lambda some: frames.join(some.select(F.col("video_id").cast("int").alias("video_id")), "video_id", "left_semi")})
+    lookup.prepare("clip", videos.where("video_id % 2 = 0"), 1.0)
+    chosen = FrameSelector().select_stored(videos, frames, [Question("q0", BOTH)], lookup, {"CLIP": {"queries": _query_vectors(spark, d, 2)}}, 16)
+    return chosen.select("video_id", "qid", "rank", "frame_idx", "ts", _r("score"), "phase")
+
+
 def queries() -> dict[str, Query]:
     return dict(_queries)
 
