@@ -46,21 +46,35 @@ class ScoreRanked:
             chosen = order[:k].tolist()
             return chosen, ["score"] * len(chosen)
         chosen: list[int] = []
+        near = [_Near(reach, most) for reach, most in ((self.min_gap, 1), (self.window_seconds * fps, self.max_per_window)) if reach is not None and most is not None]
         for i in order.tolist():
             if len(chosen) >= k:
                 break
-            far = np.abs(np.array(chosen, int) - i)
-            if self.min_gap is not None and (far < self.min_gap).any():
-                continue
-            if self.max_per_window is not None and (far < self.window_seconds * fps).sum() >= self.max_per_window:
-                continue
-            chosen.append(i)
+            if not any(x.full(i) for x in near):
+                chosen.append(i)
+                for x in near:
+                    x.add(i)
         return chosen, ["score"] * len(chosen)
 
 
-def find_peaks(x: np.ndarray, distance: float | None = None, prominence: float | None = None) -> np.ndarray:
-    """Strict local maxima (a plateau counts at its middle, ends never), thinned by distance, then by prominence."""
-    x = np.asarray(x, float)
+class _Near:
+    """Chosen places in buckets as wide as the reach: only three of them can hold a place's neighbours."""
+
+    def __init__(self, reach: float, most: int):
+        self.reach, self.most, self.width = reach, most, max(1, math.ceil(reach))
+        self.buckets: dict[int, list[int]] = {}
+
+    def full(self, i: int) -> bool:
+        """Whether ``most`` places closer than the reach are chosen."""
+        b = i // self.width
+        return sum(abs(j - i) < self.reach for x in (b - 1, b, b + 1) for j in self.buckets.get(x, ())) >= self.most
+
+    def add(self, i: int) -> None:
+        self.buckets.setdefault(i // self.width, []).append(i)
+
+
+def local_maxima(x: np.ndarray) -> np.ndarray:
+    """Strict local maxima: a plateau counts at its middle, ends never."""
     if len(x) < 3:
         return np.zeros(0, int)
     starts = np.flatnonzero(np.diff(x, prepend=np.nan) != 0)  # runs of equal values
@@ -68,30 +82,61 @@ def find_peaks(x: np.ndarray, distance: float | None = None, prominence: float |
     inner = (starts > 0) & (ends < len(x) - 1)
     s, e = starts[inner], ends[inner]
     high = (x[s - 1] < x[s]) & (x[e + 1] < x[e])
-    peaks = (s[high] + e[high]) // 2
+    return (s[high] + e[high]) // 2
+
+
+def thinned(x: np.ndarray, peaks: np.ndarray, distance: float) -> np.ndarray:
+    """Peaks at least ``distance`` apart: the highest first (of equals the later), those too near to one that is kept go."""
+    gap = math.ceil(distance)
+    keep, gone = np.zeros(len(peaks), bool), np.zeros(len(peaks), bool)
+    first = np.searchsorted(peaks, peaks - gap, "right").tolist()
+    last = np.searchsorted(peaks, peaks + gap).tolist()
+    for i in np.argsort(x[peaks], kind="stable")[::-1].tolist():
+        if not gone[i]:
+            keep[i] = True
+            gone[first[i] : last[i]] = True  # kept peaks are a gap apart, so a peak goes twice at most
+    return peaks[keep]
+
+
+def _lows(heights: list[float], valleys: list[float]) -> list[float]:
+    """For each maximum the lowest point to its left before a higher one: a stack of falling heights."""
+    tops: list[tuple[float, float]] = []
+    out = []
+    for h, low in zip(heights, valleys, strict=True):
+        while tops and tops[-1][0] <= h:
+            low = min(low, tops.pop()[1])
+        tops.append((h, low))
+        out.append(low)
+    return out
+
+
+def prominences(x: np.ndarray, peaks: np.ndarray) -> np.ndarray:
+    """How far each of the local maxima ``peaks`` stands above the higher of the lowest points that part it from higher ground on either side.
+
+    Between neighbouring maxima a curve falls, then rises: the maxima, both ends and the lowest point between each two say everything.
+    """
+    if not len(peaks):
+        return np.zeros(0)
+    at = np.unique(np.concatenate([[0], local_maxima(x), [len(x) - 1]]))
+    low = np.minimum(np.minimum.reduceat(x, at)[:-1], x[at[1:]])  # from each up to and with the next
+    h = x[at]
+    left = _lows(h.tolist(), [float(h[0]), *low.tolist()])
+    right = _lows(h[::-1].tolist(), [float(h[-1]), *low[::-1].tolist()])[::-1]
+    own = np.searchsorted(at, peaks)
+    return x[peaks] - np.minimum(x[peaks], np.maximum(np.array(left)[own], np.array(right)[own]))
+
+
+def find_peaks(x: np.ndarray, distance: float | None = None, prominence: float | None = None) -> np.ndarray:
+    """Local maxima, thinned by distance, then by prominence; in time n log n."""
+    x = np.asarray(x, float)
+    peaks = local_maxima(x)
     if distance is not None and len(peaks):
-        gap, keep = math.ceil(distance), np.ones(len(peaks), bool)
-        for i in np.argsort(x[peaks], kind="stable")[::-1]:
-            if keep[i]:
-                near = np.abs(peaks - peaks[i]) < gap
-                near[i] = False
-                keep[near] = False
-        peaks = peaks[keep]
+        peaks = thinned(x, peaks, distance)
     if prominence is not None and len(peaks):
-        peaks = peaks[[_prominence(x, p) >= prominence for p in peaks]]
+        peaks = peaks[prominences(x, peaks) >= prominence]
     return peaks
 
 
-def _prominence(x: np.ndarray, p: int) -> float:
-    left, right = x[:p][::-1], x[p + 1 :]
-    lows = []
-    for side in (left, right):
-        above = np.flatnonzero(side > x[p])
-        reach = side[: above[0]] if len(above) else side
-        lows.append(min(x[p], reach.min()) if len(reach) else x[p])
-    return float(x[p] - max(lows))
-
-
 class PeaksAndSpread:
     """Peaks first, then good neighbours of each, then what scores best of the rest.
 
@@ -113,9 +158,10 @@ class PeaksAndSpread:
         want, extra = int(root), max(0, int(root / 2) - 1)
         distance, half = max(1, int(root * fps)), max(1, int(root / 2 * fps))
         need = max(self.min_prominence, self.prominence_ratio * (x.max() - x.min()))
-        peaks = np.zeros(0, int)
+        apart = find_peaks(x, distance)
+        height, peaks = prominences(x, apart), np.zeros(0, int)
         for _ in range(self.TRIES):
-            peaks = find_peaks(x, distance, need)
+            peaks = apart[height >= need]
             if len(peaks):
                 break
             need /= 2
