@@ -24,13 +24,17 @@ def similarity(a: Column, b: Column, both_empty: float = 1.0) -> Column:
     return F.when(n == 0, F.lit(both_empty)).when((F.length(a) == 0) | (F.length(b) == 0), F.lit(0.0)).otherwise(1 - F.levenshtein(a, b) / n)
 
 
+def clean_lines(lines: Column) -> Column:
+    """Lines in lower case without outer white space."""
+    return F.transform(lines, lambda t: strip(F.lower(t)))
+
+
 def best_line_match(query: Column, lines: Column) -> Column:
     """How well a query is found in an array of lines: 1 if contained in one, else the best similarity; no lines 0.
 
-    Case and outer white space don't count.
+    Case and outer white space don't count. For many texts that share lines ``scorers.line_scores`` does less.
     """
-    q = strip(F.lower(query))
-    clean = F.transform(lines, lambda t: strip(F.lower(t)))
+    q, clean = strip(F.lower(query)), clean_lines(lines)
     found = F.exists(clean, lambda t: F.contains(t, q))
     # a similarity is at most the shorter length over the longer, so most lines needn't be compared
     bound = lambda t: F.try_divide(F.least(F.length(q), F.length(t)), F.greatest(F.length(q), F.length(t)))

@@ -60,10 +60,26 @@ def ovd_scores(grid: DataFrame, detections: DataFrame, queries: Sequence[str]) -
     return rows.select("video_id", "frame_idx", "query", V.clip01(F.coalesce(F.col("conf").cast("double"), F.lit(0.0))).alias("score"))
 
 
+def line_scores(texts: DataFrame, queries: Sequence[str], keys: Sequence[str] = ("video_id", "frame_idx")) -> DataFrame:
+    """Texts (keys, lines array<string>) -> (keys, query, score), the best line's.
+
+    Every distinct line is cleaned and compared with each query once, whatever the number of frames that show it: lines
+    are a dictionary that scores are joined back from. A text without lines scores 0.
+    """
+    shown = texts.select(*keys, F.explode_outer(F.array_distinct(T.clean_lines(F.col("lines")))).alias("line"))
+    words = shown.select("line").distinct()
+    words = words.select("line", F.explode(F.array(*[F.struct(F.lit(q).alias("query"), T.strip(F.lower(F.lit(q))).alias("q")) for q in queries])).alias("x"))
+    match = F.when(F.col("line").isNull(), F.lit(None)).when(F.contains("line", F.col("x.q")), F.lit(1.0)).otherwise(T.similarity(F.col("x.q"), F.col("line")))
+    scored = words.select("line", F.struct(F.col("x.query").alias("query"), match.alias("score")).alias("s")).groupBy("line").agg(F.collect_list("s").alias("s"))
+    rows = shown.join(scored, "line", "left").select(*keys, F.explode("s").alias("s"))
+    best = rows.groupBy(*keys, "s.query").agg(F.max("s.score").alias("_s"))
+    every = _with_queries(texts.select(*keys).distinct(), queries)
+    return every.join(best, [*keys, "query"], "left").select(*keys, "query", F.coalesce("_s", F.lit(0.0)).alias("score"))
+
+
 def ocr_scores(grid: DataFrame, texts: DataFrame, queries: Sequence[str]) -> DataFrame:
     """Texts (video_id, frame_idx, lines array<string>) -> scores on the whole grid; frames without text score 0."""
-    scored = _with_queries(texts.select("video_id", "frame_idx", "lines"), queries)
-    scored = scored.select("video_id", "frame_idx", "query", T.best_line_match(F.col("query"), F.col("lines")).alias("_s"))
+    scored = line_scores(texts.select("video_id", "frame_idx", "lines"), queries).withColumnRenamed("score", "_s")
     rows = _with_queries(grid.select("video_id", "frame_idx"), queries).join(scored, ["video_id", "frame_idx", "query"], "left")
     return rows.select("video_id", "frame_idx", "query", F.coalesce("_s", F.lit(0.0)).alias("score"))
 

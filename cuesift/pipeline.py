@@ -9,8 +9,9 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuesift.config import Settings, preset
-from cuesift.operators.normalize import normalize, normalize_joint
+from cuesift.config import EXPERTS, Settings, preset
+from cuesift.operators.blocks import normalize_blocks, smooth_blocks
+from cuesift.operators.normalize import expert_group, normalize, normalize_joint
 from cuesift.operators.scorers import scorer, template_vectors
 from cuesift.operators.select import create_strategy, select
 from cuesift.operators.smooth import smooth_by_expert
@@ -105,11 +106,27 @@ class FrameSelector:
     def _cleaned(self, rows: DataFrame, fps: float) -> DataFrame:
         """Raw leaf scores -> signals, all questions of a video in one place."""
         config, n = self.config, self.config.signals
-        rows = rows.repartition("video_id")
         options = {"method": n.method, "delta": n.least_spread, "gamma": n.steepness}
+        if config.tree.block:
+            return self._cleaned_blocks(rows, fps, options)
+        rows = rows.repartition("video_id")
         rows = normalize_joint(rows, by=KEYS, **options) if n.joint else normalize(rows, [*KEYS, "node_id"], **options)
         return smooth_by_expert(rows, config.signals, fps, [*KEYS, "node_id"])
 
+    def _cleaned_blocks(self, rows: DataFrame, fps: float, options: dict) -> DataFrame:
+        """As ``_cleaned`` for timelines that no task can hold: distinct signals are normalised and smoothed by blocks, then joined with their leaves."""
+        n, signal = self.config.signals, [*KEYS, "expert", "query"]
+        one = rows.select(*signal, "frame_idx", "score").dropDuplicates([*signal, "frame_idx"]).withColumn("expert_group", expert_group(F.col("expert"), F.col("query")))
+        one = normalize_blocks(one, [*KEYS, "expert_group"] if n.joint else signal, **options).drop("expert_group")
+        if n.widths:
+            experts = {}
+            for expert in EXPERTS:
+                experts.setdefault(n.width_of(expert) * fps, []).append(expert)
+            known = F.col("expert").isin(*EXPERTS)
+            parts = [(width, F.col("expert").isin(*names)) for width, names in experts.items()] + [(n.width("visual") * fps, ~known)]
+            one = reduce(DataFrame.unionByName, [smooth_blocks(one.where(some), width, signal, block=self.config.tree.block) for width, some in parts])
+        return rows.drop("score").join(one, [*signal, "frame_idx"]).select(*rows.columns)
+
     def truth(self, scores: DataFrame, question: Question, fps: float) -> DataFrame:
         """The truth curve: video_id, qid, frame_idx, ts, score."""
         wide = pivot(self.signals(scores, question, fps), [x.node_id for x in question.tree.leaves()])

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuesift.config import TreeRules
+from cuesift.operators.blocks import rescale_blocks, right_after_blocks, seq_blocks
 from cuesift.operators.logic import AND_MODES, fuzzy_and, fuzzy_or, right_after, seq
 from cuesift.plans.tree import Node
 
@@ -43,7 +44,8 @@ def evaluate(wide: DataFrame, tree: Node, config: TreeRules, fps: float = 1.0, k
 
     mode plain: operators on signals as they are; rescaled: every child is scaled to ``config.scale``
     over its timeline before its parent's operator; restandardized: plain, but the branches of an OR
-    at the root are scaled to 0..1 (flat ones to 0). Nodes of one height share their windows.
+    at the root are scaled to 0..1 (flat ones to 0). Nodes of one height share their windows. With ``config.block`` SEQ, RIGHT_AFTER and
+    scaling go by blocks, so that no task holds a timeline (restandardized ORs still do).
     """
     tree.validate()
     if config.conjunction not in AND_MODES:
@@ -71,7 +73,7 @@ def evaluate(wide: DataFrame, tree: Node, config: TreeRules, fps: float = 1.0, k
         for path, node in nodes if height else []:
             df = _apply(df, node, [_operand(names[(*path, i)], mode) for i in range(len(node.children))], names[path], config, fps, keys, order, root=not path, mode=mode)
         if mode == "rescaled" and (scaled := [names[path] for path, _ in nodes if path]):
-            df = _rescaled(df, scaled, *config.scale, keys)
+            df = rescale_blocks(df, scaled, *config.scale, keys, FLAT) if config.block else _rescaled(df, scaled, *config.scale, keys)
     result = df.withColumn("_truth", F.col(names[()]))
     return result.drop(*[c for c in df.columns if c not in before]).withColumnRenamed("_truth", out)
 
@@ -82,7 +84,9 @@ def _operand(name: str, mode: str) -> str:
 
 def _apply(df: DataFrame, node: Node, operands: list[str], out: str, config: TreeRules, fps: float, keys, order, root: bool, mode: str) -> DataFrame:
     if node.op == "SEQ":
-        return seq(df, operands, keys, out, order)
+        return seq_blocks(df, operands, keys, out, order, config.block) if config.block else seq(df, operands, keys, out, order)
+    if node.op == "RIGHT_AFTER" and config.block:
+        return right_after_blocks(df, *operands, keys, out, config.decay, fps, order, config.block)
     if node.op == "RIGHT_AFTER":
         return right_after(df, *operands, keys, out, config.decay, fps, order)
     if node.op == "OR" and root and mode == "restandardized":

@@ -16,6 +16,7 @@ from cuesift.config import Settings, SignalRules, TreeRules
 from cuesift.functions import text as T
 from cuesift.functions import vector as V
 from cuesift.operators import scorers as S
+from cuesift.operators.blocks import normalize_blocks, right_after_blocks, seq_blocks, smooth_blocks
 from cuesift.operators.logic import fuzzy_and, fuzzy_or, right_after, seq
 from cuesift.operators.normalize import normalize, normalize_joint
 from cuesift.operators.select import PeaksAndSpread, ScoreRanked, select, top_k
@@ -350,13 +351,21 @@ def _lines(spark: SparkSession, d: str) -> DataFrame:
     return _read(spark, d, "documents").select("doc_id", F.col("source").alias("video_id"), (F.row_number().over(w) - 1).alias("frame_idx"), lines.alias("lines"))
 
 
-@_query("ocr_match")
+# edit distances count bytes there: any other sign than ASCII, of which no query has one, becomes one byte that no query has
+_READ_SQL = (
+    f"q AS (SELECT unnest({list(_READ)!r}) AS query), d_ AS (SELECT doc_id, source AS video_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS frame_idx, text FROM documents), "
+    "l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS raw FROM d_), "
+    "c AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(lower(raw), '[^\\x00-\\x7F]', chr(1), 'g'), '^[ \\t\\n\\x0B\\f\\r]+', ''), '[ \\t\\n\\x0B\\f\\r]+$', '') AS t FROM l), "
+    "m AS (SELECT doc_id, query, max(CASE WHEN contains(t, query) THEN 1.0::DOUBLE WHEN t = '' THEN 0.0::DOUBLE ELSE 1 - levenshtein(query, t)::DOUBLE / greatest(length(query), length(t)) END) AS x FROM c CROSS JOIN q GROUP BY 1, 2)"
+)
+
+
+@_query("ocr_match", f"WITH {_READ_SQL} SELECT doc_id, query, round(x, 6) AS score FROM m")
 def _ocr_match(spark, d):
-    rows = _lines(spark, d).withColumn("query", F.explode(F.array(*[F.lit(q) for q in _READ])))
-    return rows.select("doc_id", "query", _r(T.best_line_match(F.col("query"), F.col("lines"))))
+    return S.line_scores(_lines(spark, d), _READ, ["doc_id"]).select("doc_id", "query", _r("score"))
 
 
-@_query("ocr_scores_cached")
+@_query("ocr_scores_cached", f"WITH {_READ_SQL}, n AS (SELECT video_id, max(frame_idx) + 2 AS n FROM d_ GROUP BY 1), g AS (SELECT video_id, unnest(range(0, n + 1)) AS frame_idx FROM n) SELECT g.video_id, g.frame_idx, q.query, round(coalesce(x, 0), 6) AS score FROM g CROSS JOIN q LEFT JOIN d_ USING (video_id, frame_idx) LEFT JOIN m ON m.doc_id = d_.doc_id AND m.query = q.query")
 def _ocr_cached(spark, d):
     texts = _lines(spark, d)
     size = texts.groupBy("video_id").agg(F.max("frame_idx").alias("n"))
@@ -469,6 +478,39 @@ def _format(spark, d):
     return _read(spark, d, "events").select("event_id", T.timestamp(F.floor(F.col("value") * 20).cast("double") + 0.25).alias("stamp"))
 
 
+# ---------------------------------------------------------------- one timeline over many tasks
+
+
+#: All events as the frames of one video, in stretches of a few hundred.
+_STRETCH = 512
+_ONE_SQL = "w AS (SELECT 'all' AS video_id, row_number() OVER (ORDER BY event_id) - 1 AS frame_idx, event_id, least(1.0::DOUBLE, value / 500) AS n0, regexp_extract(props, '\"k\": *([0-9]+)', 1)::DOUBLE / 100 AS n1 FROM events)"
+
+
+def _one(spark: SparkSession, d: str) -> DataFrame:
+    k = F.get_json_object("props", "$.k").cast("double") / 100
+    return _read(spark, d, "events").select(F.lit("all").alias("video_id"), "event_id", F.least(F.lit(1.0), F.col("value") / 500).alias("n0"), k.alias("n1"))
+
+
+@_query("blocks_seq", f"WITH {_ONE_SQL}, {_gates_sql('w', ['n0', 'n1'])} SELECT event_id, round(greatest(n0 * f_n1, h_n0 * n1, 0), 6) AS score FROM gates")
+def _blocks_seq(spark, d):
+    return seq_blocks(_one(spark, d), ["n0", "n1"], ["video_id"], "score", "event_id", _STRETCH).select("event_id", _r("score"))
+
+
+@_query("blocks_smooth", f"WITH {_ONE_SQL}, {_smooth_sql(3.0, 'w', 'video_id', 'n0')} SELECT event_id, round(sm.y, 6) AS score FROM sm JOIN w USING (video_id, frame_idx)")
+def _blocks_smooth(spark, d):
+    return smooth_blocks(_one(spark, d), 3.0, ["video_id"], "n0", "score", "event_id", _STRETCH).select("event_id", _r("score"))
+
+
+@_query("blocks_right_after", f"WITH {_ONE_SQL}, c AS (SELECT a.frame_idx, sum(b.n0 * exp(-0.5::DOUBLE * (a.frame_idx - b.frame_idx))) AS x FROM w a JOIN w b ON b.frame_idx < a.frame_idx AND b.frame_idx >= a.frame_idx - 100 GROUP BY 1), e AS (SELECT a.frame_idx, sum(b.n1 * exp(-0.5::DOUBLE * (b.frame_idx - a.frame_idx))) AS x FROM w a JOIN w b ON b.frame_idx > a.frame_idx AND b.frame_idx <= a.frame_idx + 100 GROUP BY 1) SELECT event_id, round(greatest(w.n1 * coalesce(c.x, 0), w.n0 * coalesce(e.x, 0)), 6) AS score FROM w LEFT JOIN c USING (frame_idx) LEFT JOIN e USING (frame_idx)")
+def _blocks_right_after(spark, d):
+    return right_after_blocks(_one(spark, d), "n0", "n1", ["video_id"], "score", 0.5, 1.0, "event_id", _STRETCH).select("event_id", _r("score"))
+
+
+@_query("blocks_norm_robust", f"WITH {_ONE_SQL}, {_norm_sql('robust', 'w', 'video_id', 'n0')} SELECT event_id, round(y, 6) AS score FROM z")
+def _blocks_norm(spark, d):
+    return normalize_blocks(_one(spark, d), ["video_id"], "robust", "n0", "score").select("event_id", _r("score"))
+
+
 # ---------------------------------------------------------------- trees as data
 
 
@@ -556,6 +598,14 @@ def pipeline_default(spark: SparkSession, d: str) -> DataFrame:
     return chosen.select("video_id", "qid", "rank", "frame_idx", "ts", _r("score"), "phase")
 
 
+@_query("pipeline_blocks", f"{_PIPELINE_SQL}, {_pass_sql('t')} SELECT video_id, 'q0' AS qid, rank, frame_idx, frame_idx::DOUBLE AS ts, round(y, 6) AS score, phase FROM pass_")
+def _pipeline_blocks(spark, d):
+    """The default selection with timelines in blocks of 16 frames."""
+    grid, features = _features(spark, d)
+    chosen = FrameSelector(Settings(tree=TreeRules(block=16))).select(grid, [Question("q0", BOTH)], features, 16)
+    return chosen.select("video_id", "qid", "rank", "frame_idx", "ts", _r("score"), "phase")
+
+
 @_query("pipeline_topk", f"{_PIPELINE_SQL} SELECT video_id, frame_idx, rank::INT AS rank, round(y, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY round(y, 9) DESC, frame_idx DESC) AS rank FROM t) WHERE rank <= 16")
 def _pipeline_topk(spark, d):
     grid, features = _features(spark, d)
