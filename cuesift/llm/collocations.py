@@ -50,8 +50,8 @@ class Trie:
     ``lang`` and ``word`` name the first level's nodes, ``up`` a deeper node's parent in the level above.
     """
 
-    def __init__(self, langs: list[bytes], words: list[bytes], lang: np.ndarray, token: np.ndarray):
-        """``token``: numbers of ``words`` in order, -1 where a piece ends; ``lang``: the language of each."""
+    def __init__(self, langs: list[bytes], words: list[bytes], lang: np.ndarray, token: np.ndarray, most: int = MOST_WORDS):
+        """``token``: numbers of ``words`` in order, -1 where a piece ends; ``lang``: the language of each; ``most``: levels."""
         order = sorted(range(len(words)), key=words.__getitem__)
         self.langs, self.words = langs, [words[i] for i in order]
         rank = np.empty(len(words) + 1, np.int64)
@@ -61,10 +61,10 @@ class Trie:
         width = max(len(words), 1)
         here = np.flatnonzero(w >= 0)
         key, self.levels = lang[here] * width + w[here], []
-        for depth in range(1, MOST_WORDS + 1):
+        for depth in range(1, most + 1):
             name, inverse, count = np.unique(key, return_inverse=True, return_counts=True)
             self.levels.append((name // width, name % width, count))
-            if depth < MOST_WORDS:
+            if depth < most:
                 on = here + depth < len(w)
                 on[on] = (w[here[on] + depth] >= 0) & (lang[here[on] + depth] == lang[here[on]])
                 here = here[on]
@@ -75,7 +75,7 @@ class Trie:
         return int(self.levels[0][2].sum())
 
 
-def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[Trie]:
+def _shards(batches: Iterator[pa.RecordBatch], most: int = MOST_WORDS) -> Iterator[Trie]:
     """Tries of the texts of a task, each of about ``SHARD`` words."""
     langs, words, parts, who, size, held = _Ids(), _Ids(), [], [], 0, 0
     for batch in batches:
@@ -89,13 +89,14 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[Trie]:
             who.append((langs[b"und" if lang is None else lang], len(part) + 1))
             size, held = size + len(part), held + len(text)
             if size >= SHARD or held >= SHARD_BYTES:
-                yield _trie(langs, words, parts, who)
+                trie = _trie(langs, words, parts, who, most)
                 langs, words, parts, who, size, held = _Ids(), _Ids(), [], [], 0, 0
+                yield trie
     if parts:
-        yield _trie(langs, words, parts, who)
+        yield _trie(langs, words, parts, who, most)
 
 
-def _trie(langs: _Ids, words: _Ids, parts: list[np.ndarray], who: list[tuple[int, int]]) -> Trie:
+def _trie(langs: _Ids, words: _Ids, parts: list[np.ndarray], who: list[tuple[int, int]], most: int) -> Trie:
     token = np.concatenate(parts)
     if b"" in words:  # what stands between two blanks
         token = token[(some := token != words[b""])]
@@ -103,16 +104,15 @@ def _trie(langs: _Ids, words: _Ids, parts: list[np.ndarray], who: list[tuple[int
         some = np.ones(len(token), bool)
     lang = np.repeat(np.array([x for x, _ in who], np.int64), [n for _, n in who])[some]
     token[token == words.get(_BREAK, -1)] = -1
-    # the marks' own numbers stay unused
-    return Trie(list(langs), list(words), lang, token)
+    return Trie(list(langs), list(words), lang, token, most)  # no node has the number of a mark
 
 
 def _common(ranges: int):
     """Texts -> each shard's prefixes of one and two words that hold more of it than half a range's share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for trie in _shards(batches):
-            (lang, one, n1), (up, two, n2) = trie.levels[:2]
+        for trie in _shards(batches, 2):
+            (lang, one, n1), (up, two, n2) = trie.levels
             a, b = np.flatnonzero(n1 * 2 * ranges >= trie.tokens), np.flatnonzero(n2 * 2 * ranges >= trie.tokens)
             word, name = trie.words, trie.langs
             yield pa.RecordBatch.from_arrays(
