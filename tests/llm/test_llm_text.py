@@ -174,7 +174,7 @@ def brute_lines(rows, percent=80):
 def few_jobs(monkeypatch):
     """Small tables need neither slices nor the driver's collections."""
     monkeypatch.setattr(lines, "SLICES", 1)
-    monkeypatch.setattr(lines, "BANDS_AT_ONCE", 16)
+    monkeypatch.setattr(lines, "ROUNDS", 1)
     monkeypatch.setattr(lines, "drop_shuffles", lambda spark: None)
 
 
