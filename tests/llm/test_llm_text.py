@@ -248,9 +248,9 @@ def test_lines_run_without_python(spark):
     plans = []
     original = lines.written
 
-    def spied(df, name):
+    def spied(df, name, *by):
         plans.append(df._jdf.queryExecution().executedPlan().toString())
-        return original(df, name)
+        return original(df, name, *by)
 
     with pytest.MonkeyPatch.context() as patch:
         patch.setattr(lines, "written", spied)
