@@ -50,8 +50,8 @@ class Trie:
     ``lang`` and ``word`` name the first level's nodes, ``up`` a deeper node's parent in the level above.
     """
 
-    def __init__(self, langs: list[bytes], words: list[bytes], lang: np.ndarray, token: np.ndarray, most: int = MOST_WORDS):
-        """``token``: numbers of ``words`` in order, -1 where a piece ends; ``lang``: the language of each; ``most``: levels."""
+    def __init__(self, langs: list[bytes], words: list[bytes], lang: np.ndarray, token: np.ndarray):
+        """``token``: numbers of ``words`` in order, -1 where a piece ends; ``lang``: the language of each."""
         order = sorted(range(len(words)), key=words.__getitem__)
         self.langs, self.words = langs, [words[i] for i in order]
         rank = np.empty(len(words) + 1, np.int64)
@@ -61,10 +61,10 @@ class Trie:
         width = max(len(words), 1)
         here = np.flatnonzero(w >= 0)
         key, self.levels = lang[here] * width + w[here], []
-        for depth in range(1, most + 1):
+        for depth in range(1, MOST_WORDS + 1):
             name, inverse, count = np.unique(key, return_inverse=True, return_counts=True)
             self.levels.append((name // width, name % width, count))
-            if depth < most:
+            if depth < MOST_WORDS:
                 on = here + depth < len(w)
                 on[on] = (w[here[on] + depth] >= 0) & (lang[here[on] + depth] == lang[here[on]])
                 here = here[on]
@@ -75,8 +75,11 @@ class Trie:
         return int(self.levels[0][2].sum())
 
 
-def _shards(batches: Iterator[pa.RecordBatch], most: int = MOST_WORDS) -> Iterator[Trie]:
-    """Tries of the texts of a task, each of about ``SHARD`` words."""
+_Shard = tuple[list[bytes], list[bytes], np.ndarray, np.ndarray]
+
+
+def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[_Shard]:
+    """The texts of a task, about ``SHARD`` words at a time: languages, words, and each word's language and number, -1 where a piece ends."""
     langs, words, parts, who, size, held = _Ids(), _Ids(), [], [], 0, 0
     for batch in batches:
         for text, lang in zip(batch["text"].cast(pa.binary()), batch["lang"].cast(pa.binary()).to_pylist(), strict=True):
@@ -89,38 +92,51 @@ def _shards(batches: Iterator[pa.RecordBatch], most: int = MOST_WORDS) -> Iterat
             who.append((langs[b"und" if lang is None else lang], len(part) + 1))
             size, held = size + len(part), held + len(text)
             if size >= SHARD or held >= SHARD_BYTES:
-                trie = _trie(langs, words, parts, who, most)
+                shard = _shard(langs, words, parts, who)
                 langs, words, parts, who, size, held = _Ids(), _Ids(), [], [], 0, 0
-                yield trie
+                yield shard
     if parts:
-        yield _trie(langs, words, parts, who, most)
+        yield _shard(langs, words, parts, who)
 
 
-def _trie(langs: _Ids, words: _Ids, parts: list[np.ndarray], who: list[tuple[int, int]], most: int) -> Trie:
+def _shard(langs: _Ids, words: _Ids, parts: list[np.ndarray], who: list[tuple[int, int]]) -> _Shard:
     token = np.concatenate(parts)
+    lang = np.repeat(np.array([x for x, _ in who], np.int64), [n for _, n in who])
     if b"" in words:  # what stands between two blanks
-        token = token[(some := token != words[b""])]
-    else:
-        some = np.ones(len(token), bool)
-    lang = np.repeat(np.array([x for x, _ in who], np.int64), [n for _, n in who])[some]
-    token[token == words.get(_BREAK, -1)] = -1
-    return Trie(list(langs), list(words), lang, token, most)  # no node has the number of a mark
+        some = token != words[b""]
+        token, lang = token[some], lang[some]
+    token[token == words[_BREAK]] = -1
+    return list(langs), list(words), lang, token  # no word that counts has the number of a mark
+
+
+def _often(key: np.ndarray, share: float) -> tuple[np.ndarray, np.ndarray]:
+    """Keys that occur at least so often, and how often."""
+    name, count = np.unique(key, return_counts=True)
+    some = count >= share
+    return name[some], count[some]
 
 
 def _common(ranges: int):
     """Texts -> each shard's prefixes of one and two words that hold more of it than half a range's share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for trie in _shards(batches, 2):
-            (lang, one, n1), (up, two, n2) = trie.levels
-            a, b = np.flatnonzero(n1 * 2 * ranges >= trie.tokens), np.flatnonzero(n2 * 2 * ranges >= trie.tokens)
-            word, name = trie.words, trie.langs
+        for langs, words, lang, token in _shards(batches):
+            here = np.flatnonzero(token >= 0)
+            share, width = len(here) / (2 * ranges), len(words)
+            # only words that are common in all languages together can be so in one, or begin or end a common pair
+            often = np.append(np.bincount(token[here], minlength=width) >= share, False)
+            here = here[often[token[here]]]
+            one, n1 = _often(lang[here] * width + token[here], share)
+            here = here[here + 1 < len(token)]
+            here = here[often[token[here + 1]] & (lang[here + 1] == lang[here])]
+            two, n2 = _often((lang[here] * width + token[here]) * width + token[here + 1], share)
+            text = lambda names, at: (names[i] for i in at.tolist())
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([None, *(name[i] for i in lang[a]), *(name[i] for i in lang[up[b]])], pa.binary()).cast(pa.string()),
-                    pa.array([None, *(word[i] for i in one[a]), *(word[i] for i in one[up[b]])], pa.binary()).cast(pa.string()),
-                    pa.array([None, *(None for _ in a), *(word[i] for i in two[b])], pa.binary()).cast(pa.string()),
-                    pa.array([trie.tokens, *n1[a].tolist(), *n2[b].tolist()], pa.int64()),
+                    pa.array([None, *text(langs, one // width), *text(langs, two // width // width)], pa.binary()).cast(pa.string()),
+                    pa.array([None, *text(words, one % width), *text(words, two // width % width)], pa.binary()).cast(pa.string()),
+                    pa.array([None, *(None for _ in one), *text(words, two % width)], pa.binary()).cast(pa.string()),
+                    pa.array([int((token >= 0).sum()), *n1.tolist(), *n2.tolist()], pa.int64()),
                 ],
                 names=["lang", "one", "two", "n"],
             )
@@ -174,25 +190,34 @@ class Ranges:
         extra[0].append((own[1], up2))
         out = []
         for level, at in enumerate(own):
-            more = extra[level] if level < 2 else []
             size = len(at)
-            key = np.unique(np.concatenate([at * size + np.arange(size), *(r * size + i for r, i in more)])) if size else np.zeros(0, np.int64)
-            where, node = (key // size, key % size) if size else (key, key)
+            if level == 2 or not size:  # each in one range
+                node = np.argsort(at.astype(np.uint16) if self.count <= 1 << 16 else at, kind="stable")
+                out.append((at[node], node, np.ones(size, bool)))
+                continue
+            key = np.sort(np.concatenate([at * size + np.arange(size), *(r * size + i for r, i in extra[level])]))
+            key = key[np.concatenate([[True], key[1:] != key[:-1]])]
+            where, node = key // size, key % size
             out.append((where, node, at[node] == where))
         return out
 
 
 def _written_segment(trie: Trie, nodes: list[tuple[np.ndarray, np.ndarray]]) -> bytes:
     """Nodes (and whether they are reported here) of a range as bytes: names, then each level's parents, words and counts."""
-    used = np.unique(np.concatenate([trie.levels[d][1][at] for d, (at, _) in enumerate(nodes)]))
-    words = b"\n".join(trie.words[i] for i in used.tolist())
+    flag = np.zeros(len(trie.words), bool)
+    for (_, word, _), (at, _) in zip(trie.levels, nodes, strict=True):
+        flag[word[at]] = True
+    used = np.flatnonzero(flag)
+    number = np.empty(len(flag), np.int64)
+    number[used] = np.arange(len(used))
+    words = b"\n".join(map(trie.words.__getitem__, used.tolist()))
     langs = np.unique(trie.levels[0][0][nodes[0][0]])
     names = [trie.langs[i] for i in langs.tolist()]
     parts = [words, pack(np.array([len(x) for x in names])), b"".join(names)]
     above = langs
     for (up, word, count), (at, own) in zip(trie.levels, nodes, strict=True):
         parent = np.searchsorted(above, up[at])
-        parts += [pack(np.diff(parent, prepend=0)), pack(np.searchsorted(used, word[at])), pack(count[at] * 2 + own)]
+        parts += [pack(np.diff(parent, prepend=0)), pack(number[word[at]]), pack(count[at] * 2 + own)]
         above = at
     return b"".join([pack(np.array([len(x) for x in parts])).ljust(64, b"\x80"), *parts])
 
@@ -213,7 +238,8 @@ def _read_segment(blob: bytes) -> tuple[list[bytes], list[bytes], list[tuple[np.
 
 def _segments(ranges: Ranges):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for trie in _shards(batches):
+        for shard in _shards(batches):
+            trie = Trie(*shard)
             if not trie.tokens:
                 continue
             held = ranges.of(trie)
