@@ -13,8 +13,11 @@ from pyspark.sql import functions as F
 
 from cuesift.functions import text as T
 from cuesift.functions import vector as V
+from cuesift.operators.matrix import matrix_scores
 
 MIN_CONFIDENCE = 0.001
+#: Query vectors that are compared by column expressions.
+FEW_QUERIES = 8
 
 
 def _with_queries(frames: DataFrame, queries: Sequence[str]) -> DataFrame:
@@ -23,7 +26,12 @@ def _with_queries(frames: DataFrame, queries: Sequence[str]) -> DataFrame:
 
 
 def clip_scores(frames: DataFrame, queries: dict[str, Sequence[float]], keys: Sequence[str] = ("video_id", "frame_idx")) -> DataFrame:
-    """(keys, embedding) and query vectors -> (keys, query, score); unit vectors on both sides, scores (cos + 1) / 2."""
+    """(keys, embedding) and query vectors -> (keys, query, score); unit vectors on both sides, scores (cos + 1) / 2.
+
+    More than ``FEW_QUERIES`` are a matrix product for each batch of frames, so that no embedding is copied for each query.
+    """
+    if len(queries) > FEW_QUERIES:
+        return matrix_scores(frames, queries, keys)
     each = F.explode(F.array(*[F.struct(F.lit(q).alias("query"), V.literal(v).alias("v")) for q, v in queries.items()]))
     rows = frames.select(*keys, "embedding", each.alias("q"))
     return rows.select(*keys, F.col("q.query").alias("query"), V.affine_score(V.dot(F.col("embedding"), F.col("q.v"))).alias("score"))
@@ -135,6 +143,8 @@ def asr_scores(grid: DataFrame, segments: DataFrame, queries: Sequence[str], fps
 
 def clap_scores(frames: DataFrame, queries: dict[str, Sequence[float]], keys: Sequence[str] = ("video_id", "frame_idx")) -> DataFrame:
     """As ``clip_scores`` for sound vectors; a silent frame (null embedding) has the score of cosine 0, 0.5."""
+    if len(queries) > FEW_QUERIES:
+        return matrix_scores(frames, queries, keys, cosine=True)
     each = F.explode(F.array(*[F.struct(F.lit(q).alias("query"), V.literal(v).alias("v")) for q, v in queries.items()]))
     rows = frames.select(*keys, "embedding", each.alias("q"))
     cosine = F.when(F.col("embedding").isNull(), F.lit(0.0)).otherwise(V.cosine(F.col("embedding"), F.col("q.v")))

@@ -317,6 +317,18 @@ def _clip(spark, d):
     return S.clip_scores(_frames(spark, d), _query_vectors(spark, d)).select("video_id", "frame_idx", "query", _r("score"))
 
 
+@_query("clip_scores_many", f"WITH {_FRAMES_SQL} SELECT f.vec_id, 'v' || e.vec_id AS query, round({_SCORE}, 6) AS score FROM f, embeddings e WHERE e.vec_id < 100")
+def _clip_many(spark, d):
+    """A hundred queries: a matrix product for each batch of frames."""
+    return S.clip_scores(_frames(spark, d), _query_vectors(spark, d, 100), ["vec_id"]).select("vec_id", "query", _r("score"))
+
+
+@_query("clap_scores_many", f"WITH {_FRAMES_SQL} SELECT f.vec_id, 'v' || e.vec_id AS query, round(CASE WHEN frame_idx = 0 THEN 0.5::DOUBLE ELSE least(1.0::DOUBLE, greatest(0.0::DOUBLE, (list_cosine_similarity(f.embedding::DOUBLE[], e.embedding::DOUBLE[]) + 1) / 2)) END, 6) AS score FROM f, embeddings e WHERE e.vec_id < 20")
+def _clap_many(spark, d):
+    frames = _frames(spark, d).withColumn("embedding", F.when(F.col("frame_idx") != 0, F.col("embedding")))
+    return S.clap_scores(frames, _query_vectors(spark, d, 20), ["vec_id"]).select("vec_id", "query", _r("score"))
+
+
 _UNIT = "x / sqrt(sum(x * x) OVER (PARTITION BY {0}))"
 
 
