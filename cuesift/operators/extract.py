@@ -5,9 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
+from pyspark.resource import ResourceProfile
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
+from cuesift.config import EmbeddingPreset, embedding_preset
+
 _models: dict[object, object] = {}
 
 
@@ -17,13 +20,13 @@ def _loaded(key: object, load: Callable[[], object]) -> object:
     return _models[key]
 
 
-def extract(rows: DataFrame, name: str, load: Callable[[], object], run: Callable[[object, pd.DataFrame], Sequence], keys: Sequence[str], out: str, batch_size: int = 64, dim: int | None = None) -> DataFrame:
+def extract(rows: DataFrame, name: str, load: Callable[[], object], run: Callable[[object, pd.DataFrame], Sequence], keys: Sequence[str], out: str, batch_size: int = 64, dim: int | None = None, profile: ResourceProfile | None = None, barrier: bool = False) -> DataFrame:
     """(keys, ...) -> (keys, ``out``), a model's result for each row.
 
     ``load()`` makes the model when a worker first needs it; ``run(model, rows)`` gives one value per row of at most
     ``batch_size`` rows, in order. ``out`` is a column's name and type ("embedding array<float>"); with ``dim`` a vector of
-    another length fails. Nothing is shuffled; an empty table loads nothing. A stage of its own
-    resources (GPUs, say) is set by the session's resource profile.
+    another length fails. Nothing is shuffled; an empty table loads nothing. ``profile`` gives the model's stage
+    resources of its own (GPUs, say), ``barrier`` starts its tasks together.
     """
     column = out.split()[0]
     schema = StructType([*[rows.schema[k] for k in keys], *StructType.fromDDL(out).fields])
@@ -41,4 +44,10 @@ def extract(rows: DataFrame, name: str, load: Callable[[], object], run: Callabl
                 result[column] = pd.Series(values, dtype=object)
                 yield result
 
-    return rows.mapInPandas(batches, schema)
+    return rows.mapInPandas(batches, schema, barrier=barrier, profile=profile)
+
+
+def embed(rows: DataFrame, model: str, load: Callable[[EmbeddingPreset], object], run: Callable[[object, pd.DataFrame], Sequence], keys: Sequence[str] = ("video_id", "frame_idx"), **options) -> DataFrame:
+    """(keys, ...) -> (keys, embedding) by a named embedding model: ``load(preset)`` makes it, its batch size and width are the preset's."""
+    chosen = embedding_preset(model)
+    return extract(rows, f"embed-{chosen}", lambda: load(chosen), run, keys, "embedding array<float>", chosen.batch_size, chosen.dim, **options)

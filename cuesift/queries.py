@@ -28,7 +28,7 @@ from cuesift.plans.tree import Node
 from cuesift.sources.features import FeatureLookup, FeatureStore
 from cuesift.sources.scratch import new_path
 from cuesift.sources.text import accuracy, parse_srt, subtitle_prompt
-from cuesift.sources.video import audio_bounds, frame_grid, frames_at
+from cuesift.sources.video import audio_bounds, chunked_windows, frame_grid, frames_at
 
 KEYS = ("video_id", "qid")
 L = Node.leaf
@@ -471,6 +471,18 @@ def _audio(spark, d):
     return _frames(spark, d).select("video_id", "frame_idx", start.alias("first_sample"), end.alias("end_sample"))
 
 
+@_query("audio_slices", "WITH w AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i, value FROM events), f AS (SELECT user_id, unnest(range(0, max(i) // 16 + 3)) AS frame_idx FROM w GROUP BY 1) SELECT f.user_id AS video_id, frame_idx, count(i) AS n, round(coalesce(sum(value), 0), 3) AS total, round(coalesce(arg_min(value, i), 0), 3) AS first FROM f LEFT JOIN w ON w.user_id = f.user_id AND i >= floor(greatest(0.0::DOUBLE, frame_idx - 0.75::DOUBLE) * 16) AND i < floor((frame_idx + 0.75::DOUBLE) * 16) GROUP BY 1, 2")
+def _slices(spark, d):
+    """A user's event values as sound at 16 samples a second, a row for each second; windows around frames, two of them past the end."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    sound = _read(spark, d, "events").select(F.col("user_id").alias("video_id"), (F.row_number().over(w) - 1).alias("i"), "value")
+    chunks = sound.groupBy("video_id", F.expr("i div 16").alias("second")).agg(F.array_sort(F.collect_list(F.struct("i", "value"))).alias("v")).select("video_id", "second", F.col("v.value").alias("samples"))
+    frames = sound.groupBy("video_id").agg(F.max("i").alias("n")).select("video_id", F.explode(F.expr("sequence(0, n div 16 + 2)")).alias("frame_idx"))
+    found = chunked_windows(frames.withColumn("ts", F.col("frame_idx").cast("double")), chunks, 1.0, 16)
+    total = F.aggregate("chunk", F.lit(0.0), lambda s, x: s + x)
+    return found.select("video_id", "frame_idx", F.size("chunk").cast("long").alias("n"), F.round(total, 3).alias("total"), F.round(F.coalesce(F.get("chunk", F.lit(0)), F.lit(0.0)), 3).alias("first"))
+
+
 _CLEAN_SQL = "trim(regexp_replace(regexp_replace(coalesce(text, ''), '<[^>]*>?', '', 'g'), '[\\s]+', ' ', 'g'))"
 _STAMP_SQL = "printf('%02d:%02d:%02d,%03d', {0} // 3600, {0} // 60 % 60, {0} % 60, {1})"
 

@@ -13,6 +13,7 @@ from fractions import Fraction
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -135,6 +136,37 @@ def full_audio(spark: SparkSession, path: str, glob: str = "*", rate: int = RATE
     return _each(spark, path, glob, "samples array<float>, duration double", make, strict)
 
 
+def audio_seconds(spark: SparkSession, path: str, glob: str = "*", rate: int = RATE, strict: bool = False) -> DataFrame:
+    """(path, second, samples, error): the sound of each file, a row for each second; a file that can't be read has one row with null samples."""
+    plugins = dict(_SOUNDS)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select("path", "content")
+    schema = "path string, second int, samples array<float>, error string"
+
+    def rows(at: str, numbers: list, parts: list, error: str | None) -> pa.RecordBatch:
+        n = len(numbers)
+        return pa.RecordBatch.from_arrays([pa.array([at] * n), pa.array(numbers, pa.int32()), pa.array(parts, pa.list_(pa.float32())), pa.array([error] * n, pa.string())], names=["path", "second", "samples", "error"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(len(batch)):
+                at = batch["path"][i].as_py()
+                try:
+                    x = _plugin(plugins, at)(batch["content"][i].as_py(), rate)
+                    if not len(x):
+                        raise SourceError("no sound")
+                except Exception as e:
+                    if strict:
+                        raise SourceError(f"{at}: {e}") from e
+                    yield rows(at, [None], [None], str(e))
+                    continue
+                for a in range(0, len(x), 60 * rate):  # a minute to a batch
+                    minute = x[a : a + 60 * rate]
+                    parts = [minute[k : k + rate] for k in range(0, len(minute), rate)]
+                    yield rows(at, list(range(a // rate, a // rate + len(parts))), parts, None)
+
+    return files.mapInArrow(run, schema)
+
+
 def audio_duration(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     """(path, duration), null where a file can't be read."""
     return full_audio(spark, path, glob).select("path", "duration")

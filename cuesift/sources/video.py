@@ -20,11 +20,11 @@ def checked_videos(videos: DataFrame) -> DataFrame:
     return videos.withColumn("duration", F.when(ok, F.col("total_frames") / F.col("video_fps")).otherwise(F.raise_error(bad).cast("double")))
 
 
-def frame_grid(videos: DataFrame, fps: float = 1.0, max_frames: int | None = None, strict: bool = False) -> DataFrame:
+def frame_grid(videos: DataFrame, fps: float = 1.0, max_frames: int | None = None, strict: bool = True) -> DataFrame:
     """Sampled frames: video_id, frame_idx (0, 1, ...), source_frame, ts.
 
-    The k-th kept frame is the first at or after k intervals of max(1, video_fps / fps) source frames. With
-    ``strict`` a video without a rate or frames fails, else it has no frames.
+    The k-th kept frame is the first at or after k intervals of max(1, video_fps / fps) source frames. A video
+    without a rate or frames fails; without ``strict`` it has no frames.
     """
     videos = checked_videos(videos).where("duration is not null") if strict else videos
     step = F.greatest(F.lit(1.0), F.col("video_fps") / fps)
@@ -61,6 +61,30 @@ def audio_windows(frames: DataFrame, audio: DataFrame, fps: float, rate: int = 1
     return rows.select("video_id", "frame_idx", chunk.alias("chunk"))
 
 
+def sound_chunks(audio: DataFrame, rate: int = 16_000) -> DataFrame:
+    """(video_id, samples array) -> (video_id, second, samples): a row for each second of sound."""
+    seconds = F.ceil(F.size("samples") / rate).cast("int")
+    rows = audio.where(F.size("samples") > 0).select("video_id", "samples", F.explode(F.sequence(F.lit(0), seconds - 1)).alias("second"))
+    return rows.select("video_id", "second", F.slice("samples", F.col("second") * rate + 1, F.lit(rate)).alias("samples"))
+
+
+def chunked_windows(frames: DataFrame, chunks: DataFrame, fps: float, rate: int = 16_000, expansion: float = 0.5) -> DataFrame:
+    """(video_id, frame_idx, ts) and seconds of sound (video_id, second, samples) -> (video_id, frame_idx, chunk).
+
+    As ``audio_windows``, but no row holds a whole sound: a frame's window says which seconds it needs, they are joined by
+    number, cut, and put together in order. Frames without sound have an empty chunk.
+    """
+    start, end = audio_bounds(F.col("ts"), fps, F.lit(1 << 62), rate, expansion)
+    rows = frames.select("video_id", "frame_idx", start.alias("_a"), end.alias("_b"))
+    needed = F.when(F.col("_b") > F.col("_a"), F.sequence(F.floor(F.col("_a") / rate), F.floor((F.col("_b") - 1) / rate)))
+    rows = rows.withColumn("second", F.explode_outer(needed)).join(chunks.select("video_id", F.col("second").cast("long").alias("second"), "samples"), ["video_id", "second"], "left")
+    first = F.greatest(F.col("_a") - F.col("second") * rate, F.lit(0))
+    length = F.least(F.col("_b") - F.col("second") * rate, F.lit(rate)) - first
+    part = F.struct("second", F.slice("samples", (first + 1).cast("int"), length.cast("int")).alias("x"))
+    found = rows.groupBy("video_id", "frame_idx").agg(F.array_sort(F.collect_list(F.when(F.col("samples").isNotNull(), part))).alias("_p"))
+    return found.select("video_id", "frame_idx", F.flatten(F.col("_p.x")).alias("chunk"))
+
+
 _DECODERS: dict[str, Callable[[bytes], Iterator[dict]]] = {}
 
 

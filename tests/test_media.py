@@ -61,6 +61,10 @@ def test_tables_of_media_files(spark, tmp_path):
     assert {r.duration for r in media.audio_duration(spark, at, "*.wav").collect()} == {0.5, None}
     with pytest.raises(Exception, match="bad.wav"):
         media.full_audio(spark, at, "bad.wav", strict=True).collect()
+    (tmp_path / "long.wav").write_bytes(wav([0.5] * 40_000, 16_000))
+    seconds = sorted((r.path.rsplit("/", 1)[1], r.second, len(r.samples)) for r in media.audio_seconds(spark, at, "*.wav").collect() if r.samples is not None)
+    assert seconds == [("a.wav", 0, 8_000), ("long.wav", 0, 16_000), ("long.wav", 1, 16_000), ("long.wav", 2, 8_000)]
+    assert sorted(r.error for r in media.audio_seconds(spark, at, "none.wav").collect()) == ["no sound"]
     with pytest.raises(Exception, match="no decoder"):
         media.video_table(spark, at, "*.wav").collect()
     grid = frame_grid(videos.withColumn("video_id", F.col("path")), 2.0).withColumnRenamed("video_id", "path")
@@ -73,9 +77,9 @@ def test_tables_of_media_files(spark, tmp_path):
 
 def test_grid_can_be_strict(spark):
     videos = spark.createDataFrame([("a", 10.0, 30), ("b", 0.0, 30)], "video_id string, video_fps double, total_frames int")
-    assert {r.video_id for r in frame_grid(videos, 1.0).collect()} == {"a"}
+    assert {r.video_id for r in frame_grid(videos, 1.0, strict=False).collect()} == {"a"}
     with pytest.raises(Exception, match="without frames"):
-        frame_grid(videos, 1.0, strict=True).collect()
+        frame_grid(videos, 1.0).collect()
 
 
 def test_models_run_in_batches(spark):
@@ -94,3 +98,25 @@ def test_models_run_in_batches(spark):
     assert extract(rows.where("false"), "never", lambda: 1 / 0, run, ["frame_idx"], "embedding array<float>").count() == 0
     with pytest.raises(Exception, match="length 5"):
         extract(rows, "doubling", load, run, ["frame_idx"], "embedding array<float>", 3, 5).collect()
+
+
+def test_models_by_preset_and_profile(spark):
+    from pyspark.resource import ResourceProfileBuilder, TaskResourceRequests
+
+    from cuesift.config import EmbeddingPreset, register_embedding_preset
+    from cuesift.operators.extract import embed
+
+    register_embedding_preset(EmbeddingPreset("tiny", "T", None, 2, 8, 4))
+    rows = spark.range(10).select(F.lit("v").alias("video_id"), F.col("id").cast("int").alias("frame_idx"))
+
+    def run(model, part):
+        assert len(part) <= 4 and model == "T8"
+        return [[float(i), 1.0] for i in part["frame_idx"]]
+
+    got = embed(rows, "tiny", lambda p: f"{p.model}{p.image_size}", run).collect()
+    assert sorted(r.embedding[0] for r in got) == [float(i) for i in range(10)]
+    profile = ResourceProfileBuilder().require(TaskResourceRequests().cpus(2)).build
+    plan = embed(rows, "tiny", lambda p: p, run, profile=profile, barrier=True)._jdf.queryExecution().logical()
+    assert plan.isBarrier() and plan.profile().isDefined()
+    with pytest.raises(ValueError):
+        embed(rows, "unheard of", lambda p: p, run)
