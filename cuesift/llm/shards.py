@@ -9,6 +9,7 @@ at a time in order and writes it; a shard's file appears at once and is the same
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from cuesift.llm.bpe import encode
-from cuesift.llm.storage import new_path, written
+from cuesift.llm.storage import shared_dir, written
 from cuesift.llm.words import mix, pieces
 
 LENGTH = 512
@@ -213,9 +214,14 @@ def materialise(sequences: DataFrame, path: str, key: int = 1, length: int = LEN
     return dealt.mapInArrow(_write(path, per_shard, stride, to_arrow_type(kind)), out)
 
 
-def training_order(docs: DataFrame, key: int = 1, length: int = LENGTH, per_shard: int = SHARD_SEQUENCES) -> DataFrame:
-    """Shards of the documents' byte ids in a new folder of the shared store; their directory."""
-    return materialise(byte_ids(docs), new_path(docs.sparkSession, "shards"), key, length, 1, per_shard)
+def training_order(docs: DataFrame, key: int = 1, length: int = LENGTH, per_shard: int = SHARD_SEQUENCES, path: str | None = None) -> DataFrame:
+    """Shards of the documents' byte ids and their directory, with the folder that holds them in the column ``path``.
+
+    Without ``path`` that is a new folder of the shared store. The files are the caller's: they stay when the session ends, and
+    ``read_from(path, slot)`` reads on from any slot.
+    """
+    path = path or f"{shared_dir(docs.sparkSession)}/cuesift-shards-{uuid.uuid4().hex}"
+    return materialise(byte_ids(docs), path, key, length, 1, per_shard).withColumn("path", F.lit(path))
 
 
 def read_from(path: str, slot: int, length: int = LENGTH, width: int = 1, per_shard: int = SHARD_SEQUENCES) -> Iterator[tuple[int, bytes]]:

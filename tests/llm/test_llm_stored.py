@@ -4,6 +4,8 @@ import hashlib
 import os
 import random
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter
 
@@ -17,9 +19,11 @@ import __spark_entry__
 import corpus_pipeline
 from cuesift.llm import matroska as M
 from cuesift.llm import shards, storage
+from cuesift.llm.queries import queries
 
 SCHEMA = "doc_id long, text string"
 SF = "/root/testdata/sf0.001"
+ROOT = os.path.dirname(os.path.abspath(__spark_entry__.__file__))
 ODD = [(1, None), (2, ""), (3, "\x00"), (None, "a null id"), (4, "x" * 200_000), (4, "x" * 200_000), (5, "ünï 中文 👍"), (6, "y" * 512), (7, "y" * 513)]
 
 
@@ -91,6 +95,17 @@ def test_shards_of_odd_documents(spark, tmp_path):
     assert shards.training_order(docs.where("doc_id > 1000")).count() == 0
 
 
+def test_another_process_reads_on_from_a_slot(spark, tmp_path):
+    """The query says where its shards are, and they are there for a process that knows nothing of the session."""
+    spark.createDataFrame([(i, f"text {i} " * (i % 90)) for i in range(200)], SCHEMA).write.parquet(f"file://{tmp_path}/in/documents.parquet")
+    rows = sorted(queries()["op5_training_order"](spark, f"file://{tmp_path}/in").collect(), key=lambda r: r.slot)
+    (path,) = {r.path for r in rows}
+    assert path not in {at for _, at in storage._written}
+    code = f"import zlib; from cuesift.llm.shards import read_from; print([(s, zlib.crc32(b)) for s, b in read_from({path!r}, 37)])"
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=ROOT)
+    assert eval(out.stdout) == [(r.slot, r.crc32) for r in rows if r.slot >= 37] and len(rows) > 100
+
+
 def test_changed_partitions_are_noticed(spark, tmp_path):
     first = spark.sparkContext.broadcast((np.array([0]), np.array([0]), np.array([5])))  # partition 0 starts at 0 with 5
     run = shards._cut(first, 5, 1, 8, 1, 4)
