@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from cuesift.sources.video import SourceError
 
 RATE = 16_000
+#: Frames (16 bytes each) that are sent to every executor that reads files.
+WANTED = 2_000_000
 
 
 def wav_samples(content: bytes, rate: int = RATE) -> np.ndarray:
@@ -175,9 +177,11 @@ def audio_duration(spark: SparkSession, path: str, glob: str = "*") -> DataFrame
 def luma_frames(spark: SparkSession, path: str, grid: DataFrame, glob: str = "*.y4m") -> DataFrame:
     """Pictures of a grid's frames (path, frame_idx, source_frame): path, frame_idx, height, width, luma (bytes, row by row).
 
-    A file's wanted frames travel to where the file is read; frames past its end are left out.
+    A file's wanted frames travel to where the file is read, broadcast if they are at most ``WANTED`` in all; beyond, files are shuffled
+    to them. Frames past a file's end are left out.
     """
     wanted = grid.groupBy("path").agg(F.collect_list(F.struct("source_frame", "frame_idx")).alias("wanted"))
+    wanted = F.broadcast(wanted) if grid.count() <= WANTED else wanted
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select("path", "content").join(wanted, "path")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
