@@ -26,6 +26,8 @@ from cuesift.plans import bulk
 from cuesift.plans.compiler import compose, evaluate
 from cuesift.plans.tree import Node
 from cuesift.sources.features import FeatureLookup, FeatureStore
+from cuesift.sources.media import luma_frames, video_table, write_y4m
+from cuesift.sources.media_source import register_media_sources
 from cuesift.sources.scratch import new_path
 from cuesift.sources.text import accuracy, parse_srt, subtitle_prompt
 from cuesift.sources.video import audio_bounds, chunked_windows, frame_grid, frames_at
@@ -685,6 +687,42 @@ def _stored(spark, d):
     return chosen.select("video_id", "qid", "rank", "frame_idx", "ts", _r("score"), "phase")
 
 
+_BYTES_SQL = "floor(abs(x) * 1000)::BIGINT % 256"
+_PICTURES_SQL = f"{_FRAMES_SQL}, y AS (SELECT video_id, frame_idx, len(embedding) AS width, list_transform(embedding::DOUBLE[], lambda x: {_BYTES_SQL}) AS b FROM f)"
+_HEX_SQL = "upper(array_to_string(list_transform(b, lambda x: printf('%02x', x)), ''))"
+
+
+def _videos_written(spark, d) -> str:
+    """The vectors as grey video files, a file for each label and a picture of one line for each vector; the folder."""
+    folder = new_path(spark, "videos")
+    digits = F.transform("embedding", lambda x: F.lpad(F.hex(F.floor(F.abs(x.cast("double")) * 1000) % 256), 2, "0"))
+    pictures = _frames(spark, d).select(F.concat(F.lit(folder + "/"), "video_id", F.lit(".y4m")).alias("path"), F.col("frame_idx").alias("frame"), F.size("embedding").alias("width"), F.lit(1).alias("height"), F.unhex(F.array_join(digits, "")).alias("luma"))
+    write_y4m(pictures, 3.0)
+    return folder
+
+
+def _video_id(path: str) -> Column:
+    return F.regexp_extract(path, r"([0-9]+)\.y4m$", 1).cast("int")
+
+
+@_query("video_pictures", f"WITH {_PICTURES_SQL}, n AS (SELECT video_id, count(*) AS total_frames FROM y GROUP BY 1) SELECT video_id::INT AS video_id, total_frames, (frame_idx // 3)::INT AS frame_idx, width::INT AS width, {_HEX_SQL} AS luma FROM y JOIN n USING (video_id) WHERE frame_idx % 3 = 0")
+def _pictures(spark, d):
+    """Video files written from the vectors, probed by their headers, sampled at one frame a second and read where the frames lie."""
+    folder = _videos_written(spark, d)
+    videos = video_table(spark, folder, "*.y4m")
+    grid = frame_grid(videos.withColumn("video_id", F.col("path")), 1.0).withColumnRenamed("video_id", "path")
+    found = luma_frames(spark, folder, grid).join(videos.select("path", "total_frames"), "path")
+    return found.select(_video_id("path").alias("video_id"), "total_frames", "frame_idx", "width", F.hex("luma").alias("luma"))
+
+
+@_query("video_scan", f"WITH {_PICTURES_SQL} SELECT video_id::INT AS video_id, frame_idx::BIGINT AS frame, {_HEX_SQL} AS luma FROM y WHERE frame_idx BETWEEN 5 AND 40")
+def _scan(spark, d):
+    """Frames 5 to 40 of every video, the filter pushed into the scan of the data source."""
+    register_media_sources(spark)
+    frames = spark.read.format("y4m_frames").load(_videos_written(spark, d)).where("frame between 5 and 40")
+    return frames.select(_video_id("path").alias("video_id"), "frame", F.hex("luma").alias("luma"))
+
+
 def queries() -> dict[str, Query]:
     return dict(_queries)
 
