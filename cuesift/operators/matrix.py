@@ -7,7 +7,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
 
 #: Bytes of query vectors that go to every task; more of them go in several passes.
 MOST_BYTES = 64 << 20
@@ -28,9 +28,9 @@ def _rows(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return at[good], flat.fill_null(0.0).to_numpy(zero_copy_only=False)[place[good]]
 
 
-def _products(column: pa.Array, vectors: list[np.ndarray], cosine: bool, tiny: float = 1e-9) -> np.ndarray:
-    """Products of each list with each vector; those of unlike lengths or with nulls count as -1, the least. A cosine with a vector shorter than ``tiny`` is 0."""
-    out = np.full((len(column), len(vectors)), -1.0)
+def _products(column: pa.Array, vectors: list[np.ndarray], cosine: bool, tiny: float = 1e-9, other: float = -1.0) -> np.ndarray:
+    """Products of each list with each vector; those of unlike lengths or with nulls count as ``other``. A cosine with a vector shorter than ``tiny`` is 0."""
+    out = np.full((len(column), len(vectors)), other)
     for dim in {len(v) for v in vectors}:
         which = [i for i, v in enumerate(vectors) if len(v) == dim]
         q = np.stack([vectors[i] for i in which])
@@ -83,3 +83,25 @@ def _scored(names: list[str], vectors: list[np.ndarray], keys: list[str], cosine
                 yield pa.RecordBatch.from_arrays([*(some[k].take(each) for k in keys), pa.array(names, pa.string()).take(pa.array(np.tile(np.arange(m), n))), pa.array(score)], names=[*keys, "query", "score"])
 
     return run
+
+
+def with_cosines(rows: DataFrame, vectors: Sequence[Sequence[float]], column: str = "embedding", out: str = "cosines") -> DataFrame:
+    """``rows`` with ``out``, the cosines of their vector with each of ``vectors`` in order (array<double>), in the place of ``column``.
+
+    0 for null and zero vectors, those of another length or with null or non-finite values. Nothing is shuffled.
+    """
+    kept = [c for c in rows.columns if c != column]
+    schema = StructType([*(rows.schema[c] for c in kept), StructField(out, ArrayType(DoubleType()))])
+    given = [np.array(v, float) for v in vectors]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = max(1, AT_ONCE // max(1, len(given)))
+        for batch in batches:
+            for first in range(0, len(batch), step):
+                some = batch.slice(first, step)
+                found = _products(some[column], given, True, other=0.0) if given else np.zeros((len(some), 0))
+                found = np.where(np.isfinite(found), np.clip(found, -1.0, 1.0), 0.0)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * len(given)), pa.array(found.ravel()))
+                yield pa.RecordBatch.from_arrays([*(some[c] for c in kept), lists], names=[*kept, out])
+
+    return rows.select(*kept, column).mapInArrow(run, schema)

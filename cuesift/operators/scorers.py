@@ -6,14 +6,17 @@ rows. Extracting features from pictures and sound is a plugin's task (see ``sour
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuesift.functions import text as T
 from cuesift.functions import vector as V
-from cuesift.operators.matrix import matrix_scores
+from cuesift.operators.extract import extract
+from cuesift.operators.matrix import MOST_BYTES, matrix_scores, with_cosines
 
 MIN_CONFIDENCE = 0.001
 #: Query vectors that are compared by column expressions.
@@ -122,25 +125,64 @@ def segment_frames_irregular(segments: DataFrame, frames: DataFrame, fps: float)
     return rows.withColumn("weight", F.least(F.lit(1.0), F.greatest(F.lit(0.0), overlap) * fps))
 
 
-def asr_scores(grid: DataFrame, segments: DataFrame, queries: Sequence[str], fps: float = 1.0, cosines: DataFrame | None = None) -> DataFrame:
+def long_queries(queries: Sequence[str]) -> list[str]:
+    """Queries that sentence vectors are for: those that aren't matched by their letters."""
+    return [q for q in queries if len(re.findall(r"\S+", q, re.ASCII)) >= T.SHORT_WORDS]
+
+
+def asr_scores(
+    grid: DataFrame, segments: DataFrame, queries: Sequence[str], fps: float = 1.0, cosines: DataFrame | None = None, vectors: dict[str, Sequence[float]] | None = None, sentences: DataFrame | None = None
+) -> DataFrame:
     """Transcript segments (video_id, seg_idx, start, end, text) -> scores on the whole grid.
 
-    Queries of one or two words are matched by their letters, longer ones by ``cosines`` (video_id,
-    seg_idx, query, cosine) of sentence vectors, or by containment alone without it.
+    Queries of one or two words are matched by their letters; longer ones score 1 where a text contains them, else the
+    cosine of sentence vectors, at least 0. Cosines come from ``vectors`` of the long queries and the segments' own
+    vectors (a column ``embedding``) or those of distinct texts (``sentences``: text, embedding; see ``sentence_vectors``),
+    as matrix products; or they are given (video_id, seg_idx, query, cosine). Where there is none containment counts alone.
     """
-    rows = _with_queries(segments.select("video_id", "seg_idx", "start", "end", "text"), queries)
-    if cosines is None:
-        rows = rows.withColumn("cosine", F.lit(None).cast("double"))
-    else:
-        rows = rows.join(cosines, ["video_id", "seg_idx", "query"], "left")
-    q, t = F.col("query"), F.col("text")
-    rows = rows.withColumn("similarity", F.when(T.is_short(q), T.short_match(q, t)).otherwise(T.long_match(q, t, F.col("cosine")))).where("similarity > 0")
+    parts = [list(queries)]
+    if vectors is not None and cosines is None:
+        most = max(1, MOST_BYTES // (8 * max([1, *(len(v) for v in vectors.values())])))
+        parts = [list(queries[a : a + most]) for a in range(0, len(queries), most)] or [[]]
+    rows = reduce(DataFrame.unionByName, [_spoken(segments, part, cosines, vectors, sentences) for part in parts])
     size = grid.groupBy("video_id").agg((F.max("frame_idx") + 1).alias("n"))
     hit = segment_frames(rows.join(size, "video_id"), fps, F.col("n")).groupBy("video_id", "frame_idx", "query").agg(F.max(F.col("similarity") * F.col("weight")).alias("_s"))
     out = _with_queries(grid.select("video_id", "frame_idx"), queries).join(hit, ["video_id", "frame_idx", "query"], "left")
     return out.select("video_id", "frame_idx", "query", F.coalesce("_s", F.lit(0.0)).alias("score"))
 
 
+def _spoken(segments: DataFrame, queries: Sequence[str], cosines: DataFrame | None, vectors: dict[str, Sequence[float]] | None, sentences: DataFrame | None) -> DataFrame:
+    """Segments with each query that they match: video_id, seg_idx, start, end, query, similarity."""
+    told = ["video_id", "seg_idx", "start", "end", "text"]
+    compared = [q for q in long_queries(queries) if q in vectors] if vectors is not None and cosines is None else []
+    if compared and sentences is not None:
+        known = sentences.select("text", "embedding").dropDuplicates(["text"])
+        texts = with_cosines(segments.select("text").distinct().join(known, "text"), [vectors[q] for q in compared])
+        rows = segments.select(*told).join(texts, "text", "left")
+    elif compared and "embedding" in segments.columns:
+        rows = with_cosines(segments.select(*told, "embedding"), [vectors[q] for q in compared])
+    else:
+        rows, compared = segments.select(*told), []
+    if compared:
+        place = {q: i for i, q in enumerate(compared)}
+        each = F.array(*[F.struct(F.lit(q).alias("query"), F.lit(place.get(q)).cast("int").alias("at")) for q in queries])
+        rows = rows.withColumn("_q", F.explode(each)).select(*told, F.col("_q.query").alias("query"), F.get("cosines", F.col("_q.at")).alias("cosine"))
+    elif cosines is not None:
+        rows = _with_queries(rows, queries).join(cosines, ["video_id", "seg_idx", "query"], "left")
+    else:
+        rows = _with_queries(rows, queries).withColumn("cosine", F.lit(None).cast("double"))
+    q, t = F.col("query"), F.col("text")
+    rows = rows.withColumn("similarity", F.when(T.is_short(q), T.short_match(q, t)).otherwise(T.long_match(q, t, F.col("cosine"))))
+    return rows.where("similarity > 0").select("video_id", "seg_idx", "start", "end", "query", "similarity")
+
+
+def sentence_vectors(segments: DataFrame, load: Callable[[], object], run: Callable[[object, list[str]], Sequence], batch_size: int = 64, dim: int | None = None, **options) -> DataFrame:
+    """Distinct texts of segments with their vectors: text, embedding. ``run(model, texts)`` gives a vector for each text of a batch; a text
+    that many segments share is embedded once. Null texts and those of white space have none."""
+    texts = segments.select("text").where(F.length(T.strip(F.col("text"))) > 0).distinct()
+    return extract(texts, f"sentences-{id(load)}", load, lambda model, part: run(model, part["text"].tolist()), ["text"], "embedding array<float>", batch_size, dim, **options)
+
+
 def clap_scores(frames: DataFrame, queries: dict[str, Sequence[float]], keys: Sequence[str] = ("video_id", "frame_idx")) -> DataFrame:
     """As ``clip_scores`` for sound vectors; a silent frame (null embedding) has the score of cosine 0, 0.5."""
     if len(queries) > FEW_QUERIES:

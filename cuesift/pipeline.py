@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from cuesift.config import EXPERTS, Settings, preset
 from cuesift.operators.blocks import normalize_blocks, smooth_blocks
 from cuesift.operators.normalize import expert_group, normalize, normalize_joint
-from cuesift.operators.scorers import scorer, template_vectors
+from cuesift.operators.scorers import long_queries, scorer, template_vectors
 from cuesift.operators.select import create_strategy, select
 from cuesift.operators.smooth import smooth_by_expert
 from cuesift.plans.compiler import MissingLeaf, compose, pivot
@@ -41,7 +41,8 @@ class FrameSelector:
     """Selects frames by question. Features are tables by expert; a frame grid says which frames there are.
 
     ``features`` maps an expert to what its scorer needs: CLIP and CLAP {"frames": DataFrame, "queries":
-    {query: vector}}, OVD {"detections"}, OCR {"texts"}, ASR {"segments", "cosines" (optional)}.
+    {query: vector}}, OVD {"detections"}, OCR {"texts"}, ASR {"segments", and for
+    queries of three words or more "vectors" or "embed" (texts -> vectors) with segments' "embedding" or "sentences", or "cosines"}.
     """
 
     def __init__(self, config: Settings | None = None, parser: QueryParser | None = None, on_missing: str = "error"):
@@ -90,7 +91,9 @@ class FrameSelector:
             elif expert == "OCR":
                 rows = scorer(expert)(grid, given["texts"], queries)
             elif expert == "ASR":
-                rows = scorer(expert)(grid, given["segments"], queries, fps, given.get("cosines"))
+                long = long_queries(queries) if "embed" in given else []
+                vectors = {**dict(zip(long, given["embed"](long) if long else [], strict=True)), **given.get("vectors", {})} or None
+                rows = scorer(expert)(grid, given["segments"], queries, fps, given.get("cosines"), vectors, given.get("sentences"))
             else:
                 rows = scorer(expert)(grid, given, queries)
             parts.append(rows.select("video_id", "frame_idx", F.lit(expert).alias("expert"), "query", "score"))

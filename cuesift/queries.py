@@ -431,6 +431,21 @@ def _asr_scores(spark, d):
     return S.asr_scores(grid, segments, _SAID[:2]).select("video_id", F.col("frame_idx").cast("long").alias("frame_idx"), "query", F.round("score", 4).alias("score"))
 
 
+_ASKED = ("how the house was built", "a walk by the river")
+
+
+@_query("asr_scores_mixed", "WITH c AS (SELECT conv_id, turn, t, regexp_extract_all(t, '[a-z0-9'']+') AS ws FROM (SELECT conv_id, turn, lower(trim(text)) AS t FROM conversations)), m AS (" + _short_sql(_SAID[0]) + "".join(f" UNION ALL SELECT conv_id, turn, '{q}' AS query, CASE WHEN contains(lower(trim(coalesce(text, ''))), '{q}') THEN 1.0::DOUBLE WHEN length(trim(coalesce(text, ''))) = 0 THEN 0 ELSE greatest(0.0::DOUBLE, coalesce(list_cosine_similarity(s.embedding::DOUBLE[], v.embedding::DOUBLE[]), 0)) END AS score FROM conversations LEFT JOIN embeddings s ON s.vec_id = conv_id + turn LEFT JOIN embeddings v ON v.vec_id = {i}" for i, q in enumerate(_ASKED)) + f"), {_SEGMENTS_SQL}, h AS (SELECT gr.video_id, gr.frame_idx, m.query, max(m.score * least(1.0::DOUBLE, greatest(0.0::DOUBLE, least(b, frame_idx + 0.5::DOUBLE) - greatest(a, frame_idx - 0.5::DOUBLE)))) AS x FROM gr JOIN sg ON sg.video_id = gr.video_id AND b >= frame_idx - 0.5 AND a <= frame_idx + 0.5 JOIN m ON m.conv_id = sg.video_id AND m.turn = sg.seg_idx WHERE m.score > 0 GROUP BY 1, 2, 3) SELECT gr.video_id, gr.frame_idx, q.query, round(coalesce(x, 0), 4) AS score FROM gr CROSS JOIN (VALUES ('{_SAID[0]}'), ('{_ASKED[0]}'), ('{_ASKED[1]}')) q(query) LEFT JOIN h USING (video_id, frame_idx, query)")
+def _asr_mixed(spark, d):
+    """A short query by its letters and two long ones by sentence vectors, for which embeddings stand in."""
+    vectors = _read(spark, d, "embeddings").select("vec_id", "embedding")
+    segments = _segments(spark, d).withColumn("vec_id", F.col("video_id") + F.col("seg_idx")).join(vectors, "vec_id", "left")
+    asked = {r.vec_id: r.embedding for r in vectors.where(F.col("vec_id") < len(_ASKED)).collect()}
+    size = segments.groupBy("video_id").agg((F.max("seg_idx") * 3 + 6).alias("n"))
+    grid = size.select("video_id", F.explode(F.sequence(F.lit(0), F.col("n").cast("int"))).alias("frame_idx"))
+    scores = S.asr_scores(grid, segments, [_SAID[0], *_ASKED], vectors={q: asked[i] for i, q in enumerate(_ASKED) if i in asked})
+    return scores.select("video_id", F.col("frame_idx").cast("long").alias("frame_idx"), "query", F.round("score", 4).alias("score"))
+
+
 @_query("asr_long_match", "SELECT conv_id, turn, round(CASE WHEN length(trim(t)) = 0 THEN 0.0::DOUBLE WHEN contains(lower(trim(t)), q) THEN 1.0::DOUBLE ELSE greatest(0.0::DOUBLE, coalesce(x, 0)) END, 6) AS score FROM (SELECT conv_id, turn, CASE WHEN turn % 5 = 4 THEN '' ELSE coalesce(text, '') END AS t, CASE WHEN turn % 2 = 0 THEN lower(trim(substr(coalesce(text, ''), 3, 30))) ELSE 'how the house was built' END AS q, CASE WHEN conv_id % 7 > 0 THEN (conv_id % 11 - 3) / 10.0::DOUBLE END AS x FROM conversations) WHERE q <> ''")
 def _asr_long(spark, d):
     """Texts that contain the query, that don't (the cosine counts, not below 0), without cosine, and empty ones."""
