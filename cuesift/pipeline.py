@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -15,10 +15,13 @@ from cuesift.operators.normalize import expert_group, normalize, normalize_joint
 from cuesift.operators.scorers import long_queries, scorer, template_vectors
 from cuesift.operators.select import create_strategy, select
 from cuesift.operators.smooth import smooth_by_expert
-from cuesift.plans.compiler import MissingLeaf, compose, pivot
+from cuesift.plans.bulk import bound_tree, parsed
+from cuesift.plans.compiler import compose, pivot
+from cuesift.plans.leveled import leaf_table, leveled_curves
 from cuesift.plans.parsing import QueryParser, format_question
-from cuesift.plans.tree import Node, leaves_by_expert, prune
+from cuesift.plans.tree import Node, leaves_by_expert
 from cuesift.sources.features import FeatureLookup
+from cuesift.sources.scratch import new_path
 
 KEYS = ("video_id", "qid")
 
@@ -62,15 +65,7 @@ class FrameSelector:
 
     def bound(self, tree: Node) -> Node:
         """The tree with leaves of enabled experts only; what becomes of others says ``on_missing``."""
-        enabled = set(self.config.experts)
-        if self.on_missing == "error":
-            if off := [leaf.query for leaf in tree.leaves() if leaf.expert not in enabled]:
-                raise MissingLeaf(f"leaves of disabled experts: {off}")
-            return tree
-        left = prune(tree, enabled)
-        if left is None:
-            raise MissingLeaf("no leaf of an enabled expert is left")
-        return left.validate()
+        return bound_tree(tree, set(self.config.experts), self.on_missing)
 
     def scores(self, grid: DataFrame, tree: Node, features: dict[str, dict], fps: float) -> DataFrame:
         """(video_id, frame_idx, expert, query, score): every expert scores its distinct queries in one pass."""
@@ -106,13 +101,13 @@ class FrameSelector:
         rows = scores.withColumn("qid", F.lit(question.qid)).withColumn("_l", F.explode(F.filter(ids, lambda x: (x["e"] == F.col("expert")) & (x["q"] == F.col("query")))))
         return self._cleaned(rows.select(*KEYS, F.col("_l.node_id").alias("node_id"), "expert", "query", "frame_idx", "score"), fps)
 
-    def _cleaned(self, rows: DataFrame, fps: float) -> DataFrame:
-        """Raw leaf scores -> signals, all questions of a video in one place."""
+    def _cleaned(self, rows: DataFrame, fps: float, place: Sequence[str] = ("video_id",)) -> DataFrame:
+        """Raw leaf scores -> signals; rows that share ``place`` are in one task."""
         config, n = self.config, self.config.signals
         options = {"method": n.method, "delta": n.least_spread, "gamma": n.steepness}
         if config.tree.block:
             return self._cleaned_blocks(rows, fps, options)
-        rows = rows.repartition("video_id")
+        rows = rows.repartition(*place)
         rows = normalize_joint(rows, by=KEYS, **options) if n.joint else normalize(rows, [*KEYS, "node_id"], **options)
         return smooth_by_expert(rows, config.signals, fps, [*KEYS, "node_id"])
 
@@ -177,6 +172,60 @@ class FrameSelector:
         chosen = select(self.curves(grid, questions, features, fps), k, create_strategy(self.config.choice), fps)
         return chosen.select(*KEYS, "rank", "frame_idx", (F.col("frame_idx") / fps).alias("ts"), "score", "phase")
 
+    def parse_table(self, questions: DataFrame, make: Callable[[], QueryParser] | None = None) -> DataFrame:
+        """Questions (qid; question, candidates, tree (JSON) and video_id where there are such columns) -> qid, own (the video or null), tree, error.
+
+        Each distinct question is parsed once, on executors, and the trees are written to the shared folder, so that a model isn't asked again.
+        ``make`` makes a parser there; without it this selector's own is sent. A null qid is an error; of rows with the same qid and video one is kept.
+        """
+        if make is None and self.parser is not None:
+            own = self.parser
+            make = lambda: own
+        kinds = {"question": "string", "candidates": "array<string>", "tree": "string", "video_id": "string"}
+        rows = questions.select(F.col("qid").cast("string").alias("qid"), *[(F.col(c) if c in questions.columns else F.lit(None)).cast(t).alias(c) for c, t in kinds.items()])
+        rows = rows.dropDuplicates(["qid", "video_id"]).select("qid", F.col("video_id").alias("own"), "question", "candidates", "tree")
+        texts = parsed(rows.select("question", "candidates", "tree").distinct(), make, self.config.experts, self.on_missing, self.config.temperature)
+        same = reduce(lambda a, b: a & b, [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ("question", "candidates", "tree")])
+        path = new_path(questions.sparkSession, "trees")
+        error = F.when(F.col("qid").isNull(), F.lit("no qid")).otherwise(F.col("error"))
+        rows.alias("a").join(texts.alias("b"), same).select("qid", "own", F.when(error.isNull(), F.col("bound")).alias("tree"), error.alias("error")).write.parquet(path)
+        return questions.sparkSession.read.parquet(path)
+
+    def curves_table(self, grid: DataFrame, trees: DataFrame, features: dict[str, dict], fps: float) -> DataFrame:
+        """As ``curves`` for trees (qid, own, tree) in a table: one plan whatever their number and shapes.
+
+        Leaves, trees and shapes stay rows; the driver holds the distinct queries alone, which are expressions of the plan.
+        """
+        if self.config.tree.block:
+            raise ValueError("questions in a table go with whole timelines; use curves for blocks")
+        named = trees.select(F.concat_ws("\x00", "qid", F.coalesce("own", F.lit(""))).alias("key"), "qid", "own", "tree").where("tree is not null")
+        flat = leaf_table(named, "key").join(named.select("key", "qid", "own"), "key")
+        path = new_path(grid.sparkSession, "leaves")
+        flat.write.parquet(path)
+        flat = grid.sparkSession.read.parquet(path)
+        wanted: dict[str, list[str]] = {}
+        for row in flat.select("expert", "query").distinct().orderBy("expert", "query").toLocalIterator():
+            wanted.setdefault(row["expert"], []).append(row["query"])
+        if not wanted:
+            return grid.select("video_id", F.lit("").alias("qid"), "frame_idx", F.lit(0.0).alias("score")).where("false")
+        scores = self.scores_of(grid, wanted, features, fps)
+        asked = scores.join(flat.select("key", "own", "node_id", "expert", "query"), ["expert", "query"]).where(F.col("own").isNull() | (F.col("own") == F.col("video_id").cast("string")))
+        # the key parts questions of one qid that are bound to several videos
+        signals = self._cleaned(asked.select("video_id", F.col("key").alias("qid"), "node_id", "expert", "query", "frame_idx", "score"), fps, KEYS)
+        out = leveled_curves(signals, flat.select(F.col("key").alias("qid"), "node_id", "node", "up"), self.config.tree, fps)
+        return out.select("video_id", F.substring_index("qid", "\x00", 1).alias("qid"), "frame_idx", "score")
+
+    def select_table(self, grid: DataFrame, questions: DataFrame, features: dict[str, dict], k: int = 16, fps: float | None = None, make: Callable[[], QueryParser] | None = None) -> DataFrame:
+        """As ``select`` for a table of questions (see ``parse_table``), with a column ``error``: a question without a
+        valid tree is one row that says why (its own video or null, no rank and frames). A question without a video is asked of all."""
+        fps = fps or self.config.fps
+        trees = self.parse_table(questions, make)
+        chosen = select(self.curves_table(grid, trees, features, fps), k, create_strategy(self.config.choice), fps)
+        chosen = chosen.select(*KEYS, "rank", "frame_idx", (F.col("frame_idx") / fps).alias("ts"), "score", "phase", F.lit(None).cast("string").alias("error"))
+        kinds = {f.name: f.dataType for f in chosen.schema.fields}
+        bad = trees.where("error is not null").withColumn("video_id", F.col("own"))
+        return chosen.unionByName(bad.select(*[(F.col(c) if c in ("video_id", "qid", "error") else F.lit(None)).cast(t).alias(c) for c, t in kinds.items()]))
+
     def select_stored(self, videos: DataFrame, grid: DataFrame, questions: Sequence[Question], lookup: FeatureLookup, given: dict[str, dict] | None = None, k: int = 16, fps: float | None = None) -> DataFrame:
         """As ``select``, features coming from a store: what it lacks is extracted once and kept.
 

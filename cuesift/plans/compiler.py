@@ -15,15 +15,11 @@ from pyspark.sql import functions as F
 from cuesift.config import TreeRules
 from cuesift.operators.blocks import rescale_blocks, right_after_blocks, seq_blocks
 from cuesift.operators.logic import AND_MODES, fuzzy_and, fuzzy_or, right_after, seq
-from cuesift.plans.tree import Node
+from cuesift.plans.tree import MissingLeaf, Node
 
 FLAT = 1e-8
 
 
-class MissingLeaf(ValueError):
-    """A leaf without a signal."""
-
-
 def pivot(signals: DataFrame, node_ids: Sequence[int], keys: Sequence[str] = ("video_id", "qid"), order: str = "frame_idx", score: str = "score") -> DataFrame:
     """(keys, frame, node_id, score) -> (keys, frame, n0, n1, ...)."""
     return signals.groupBy(*keys, order).agg(*[F.max(F.when(F.col("node_id") == i, F.col(score))).alias(f"n{i}") for i in node_ids])

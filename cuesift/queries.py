@@ -667,6 +667,21 @@ def _bound(spark, d):
     return chosen.select("video_id", "qid", "rank", "frame_idx", "ts", _r("score"), "phase")
 
 
+_TABLE_SQL = "t2 AS (SELECT video_id, frame_idx, CASE video_id % 3 WHEN 0 THEN r_n0 + r_n1 - r_n0 * r_n1 ELSE r_n0 * r_n1 END AS y FROM p WHERE video_id % 3 < 2)"
+
+
+@_query("pipeline_question_table", f"{_PIPELINE_SQL}, {_TABLE_SQL}, {_pass_sql('t2')} SELECT video_id::INT AS video_id, 'q' || video_id AS qid, rank, frame_idx, frame_idx::DOUBLE AS ts, round(y, 6) AS score, phase, '' AS error FROM pass_ UNION ALL SELECT DISTINCT video_id::INT, 'q' || video_id, -1, -1, -1, -1, '', 'unknown operator ' || chr(39) || 'NOT' || chr(39) FROM p WHERE video_id % 3 = 2")
+def _question_table(spark, d):
+    """A question for each video, given as trees: every third an OR, every third an AND, every third with an operator that isn't known."""
+    grid, features = _features(spark, d)
+    either = Node.of("OR", *BOTH.children)
+    wrong = '{"op": "NOT", "children": [{"op": "LEAF", "expert": "CLIP", "query": "v0"}]}'
+    tree = F.element_at(F.array(*[F.lit(x) for x in (either.to_json(), BOTH.to_json(), wrong)]), (F.col("video_id") % 3 + 1).cast("int"))
+    questions = grid.select("video_id").distinct().select(F.concat(F.lit("q"), "video_id").alias("qid"), "video_id", tree.alias("tree"))
+    chosen = FrameSelector().select_table(grid, questions, features, 16).fillna(-1, ["rank", "frame_idx", "ts", "score"]).fillna("", ["phase", "error"])
+    return chosen.select("video_id", "qid", "rank", "frame_idx", "ts", _r("score"), "phase", "error")
+
+
 @_query("feature_store", f"WITH {_FRAMES_SQL} SELECT video_id::VARCHAR AS video_id, count(*) AS frames, round(sum(embedding[1]::DOUBLE), 4) AS first FROM f WHERE video_id % 2 = 0 GROUP BY 1")
 def _store(spark, d):
     """Vectors saved under their videos' keys, then read back for the even videos only."""
